@@ -23,10 +23,11 @@ CONCEPT_KEYS = ["label", "model", "concept"]
 MODEL_KEYS = ["label", "model"]
 
 
-def dimension_scores(q: DataFrame) -> DataFrame:
-    """RU1 (+RU5 default weight)."""
+def dimension_scores(q: DataFrame, extra: dict | None = None) -> DataFrame:
+    """RU1 (+RU5 default weight).  ``extra``: more aggregates of the same pass."""
     return (q.groupBy(*DIM_KEYS)
             .agg(round3(F.avg("score")).alias("score"),
+                 *[c.alias(n) for n, c in (extra or {}).items()],
                  F.min("model_pos").alias("model_pos"),
                  F.min("concept_pos").alias("concept_pos"),
                  F.min("dim_pos").alias("dim_pos"),
@@ -35,7 +36,7 @@ def dimension_scores(q: DataFrame) -> DataFrame:
                  F.bool_or(F.col("error").isNotNull()).alias("failed")))
 
 
-def concept_scores(d: DataFrame, weighted: bool = False) -> DataFrame:
+def concept_scores(d: DataFrame, weighted: bool = False, extra: dict | None = None) -> DataFrame:
     """RU2; ``weighted=True`` (RU6) uses the stored dimension weights:
     ``sum(s*w) / sum(w over non-null s)``."""
     if weighted:
@@ -45,29 +46,34 @@ def concept_scores(d: DataFrame, weighted: bool = False) -> DataFrame:
         mean = F.avg("score")
     return (d.groupBy(*CONCEPT_KEYS)
             .agg(round3(mean).alias("score"),
+                 *[c.alias(n) for n, c in (extra or {}).items()],
                  F.min("model_pos").alias("model_pos"),
                  F.min("concept_pos").alias("concept_pos"),
                  F.coalesce(F.min("concept_weight"), F.lit(1.0)).alias("weight"),
                  F.bool_or("failed").alias("failed")))
 
 
-def model_scores(c: DataFrame) -> DataFrame:
+def model_scores(c: DataFrame, extra: dict | None = None) -> DataFrame:
     """RU3 + EV13 status: a failed rater has a NULL model score."""
+    extra = extra or {}
     return (c.groupBy(*MODEL_KEYS)
             .agg(round3(F.avg("score")).alias("_s"),
                  F.min("model_pos").alias("model_pos"),
-                 F.bool_or("failed").alias("failed"))
+                 F.bool_or("failed").alias("failed"),
+                 *[col.alias(n) for n, col in extra.items()])
             .select(*MODEL_KEYS, F.when(~F.col("failed"), F.col("_s")).alias("score"),
                     "model_pos", F.lit(1.0).alias("weight"),
-                    F.when(F.col("failed"), F.lit("error")).otherwise(F.lit("ok")).alias("status")))
+                    F.when(F.col("failed"), F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+                    *extra.keys()))
 
 
-def text_scores(m: DataFrame) -> DataFrame:
+def text_scores(m: DataFrame, extra: dict | None = None) -> DataFrame:
     """RU4: mean over raters that succeeded and have a score."""
     ok = F.when(F.col("status") == "ok", F.col("score"))
     return (m.groupBy("label")
             .agg(round3(F.avg(ok)).alias("score"),
-                 F.count(ok).alias("n_models")))
+                 F.count(ok).alias("n_models"),
+                 *[c.alias(n) for n, c in (extra or {}).items()]))
 
 
 def run_metadata(q: DataFrame, system_prompt: str, base_prompt: str) -> DataFrame:

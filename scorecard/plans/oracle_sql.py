@@ -229,3 +229,176 @@ SELECT sheet, label, arg_max(sc, ord) AS score FROM cls WHERE reason IS NULL GRO
 SELECT label, model, concept, dimension, question_label, answer, score, {r6('logprob')} AS logprob, rating FROM hq"""
     o["human_rollup"] = hwith + ",\n" + rollup_ctes("hq") + " SELECT label, model, score, status FROM ms"
     return o
+
+
+# ---------------------------------------------------------------- phase 4
+def gmean(x: str = "score", digits: int = 3) -> str:
+    f = 10 ** digits
+    return (f"(CAST(sum(CAST(round_even(({x}) * {float(f)}, 0) AS BIGINT)) AS DOUBLE) / "
+            f"CAST(count({x}) * {f} AS DOUBLE))")
+
+
+def flat_union(p: str = "", q: str = "qs") -> str:
+    n = "CAST(NULL AS VARCHAR)"
+    return f"""SELECT label, model, 'TEXT' AS concept, {n} AS dimension, {n} AS question, score, 'model' AS level FROM {p}ms
+UNION ALL SELECT label, model, concept, {n}, {n}, score, 'concept' FROM {p}cs
+UNION ALL SELECT label, model, concept, dimension, {n}, score, 'dimension' FROM {p}ds
+UNION ALL SELECT label, model, concept, dimension, question_label, score, 'question' FROM {q}"""
+
+
+def d_and_human_with() -> str:
+    return ("WITH " + d_question_ctes() + ",\n" + rollup_ctes("qs") + ",\n" + HUMAN_CTES + ",\n" +
+            rollup_ctes("hq", prefix="h_"))
+
+
+E_CTES = f"""e_raw AS (SELECT event_id, CAST(user_id AS VARCHAR) AS label, event_type AS model, 'EV' AS concept,
+      'd' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS VARCHAR) AS dimension,
+      'k' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR) AS question,
+      value / 500.0 AS score FROM events),
+e AS (SELECT label, model, concept, dimension, question, {gmean('score', 6)} AS score
+    FROM e_raw GROUP BY label, model, concept, dimension, question),
+e_agg AS (SELECT label, concept, dimension, question, {gmean('score', 6)} AS score FROM e
+    WHERE model IN ('click', 'error', 'signup', 'view') GROUP BY label, concept, dimension, question),
+e_all AS (SELECT label, concept, dimension, question, model, score FROM e
+    UNION ALL SELECT label, concept, dimension, question, 'aggregate_models', score FROM e_agg),
+ref AS (SELECT label, concept, dimension, question, score AS ref_score FROM e_all
+    WHERE model = 'purchase' AND score IS NOT NULL),
+pairs AS (SELECT o.label, o.concept, o.dimension, o.question, o.model, o.score, r.ref_score
+    FROM e_all o JOIN ref r ON o.label = r.label AND o.concept = r.concept AND o.dimension = r.dimension
+     AND o.question = r.question WHERE o.model <> 'purchase' AND o.score IS NOT NULL),
+diffs AS (SELECT label, concept, dimension, question, model, abs(score - ref_score) AS diff FROM pairs),
+outl AS (SELECT c.label, c.concept, c.dimension, c.question, s.max_diff, s.mean_diff, s.avg_diff_excl
+    FROM (SELECT DISTINCT label, concept, dimension, question FROM e_all) c LEFT JOIN
+    (SELECT label, concept, dimension, question, max(diff) AS max_diff, avg(diff) AS mean_diff,
+            avg(CASE WHEN model <> 'view' THEN diff END) AS avg_diff_excl
+     FROM diffs GROUP BY label, concept, dimension, question) s
+    ON c.label = s.label AND c.concept = s.concept AND c.dimension = s.dimension AND c.question = s.question)"""
+
+E_RATERS = ["click", "error", "signup", "view", "aggregate_models"]
+
+
+def spearman_sql(group: list[str]) -> str:
+    g = ", ".join(group)
+    return f"""rk AS (SELECT {g}, score, ref_score,
+      rank() OVER (PARTITION BY {g} ORDER BY score) + (count(*) OVER (PARTITION BY {g}, score) - 1) / 2.0 AS r1,
+      rank() OVER (PARTITION BY {g} ORDER BY ref_score) + (count(*) OVER (PARTITION BY {g}, ref_score) - 1) / 2.0 AS r2
+    FROM pairs),
+st AS (SELECT {g}, covar_pop(r1, r2) / nullif(stddev_pop(r1) * stddev_pop(r2), 0) AS rho, count(*) AS n_pairs
+    FROM rk GROUP BY {g})"""
+
+
+L_CTE = """l AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS text_key, l_returnflag AS model,
+      l_linestatus AS concept, CAST(l_linenumber AS VARCHAR) AS dimension,
+      CAST(l_suppkey % 10 AS VARCHAR) AS question, l_discount * 10.0 AS score FROM lineitem)"""
+
+
+def l_avg(keys: str, where: str = "") -> str:
+    w = f" WHERE {where}" if where else ""
+    return f"SELECT {keys}, {gmean()} AS score FROM l{w} GROUP BY {keys}"
+
+
+def l_pivot(src: str, index: str) -> str:
+    cols = ", ".join(f"max(score) FILTER (WHERE text_key = '{y}') AS \"{y}\"" for y in fx.L_YEARS)
+    return f"SELECT {index}, {cols} FROM {src} GROUP BY {index}"
+
+
+def more_oracles(o: dict[str, str]) -> None:
+    fw = d_with(rollup_ctes())
+    o["flat_scores"] = fw + "\n" + flat_union()
+    o["nested_roundtrip"] = o["flat_scores"]
+    both = d_and_human_with()
+    six = "label, model, concept, dimension, question, score"
+    o["flat_export"] = (both + f"\nSELECT {six} FROM ({flat_union('h_', 'hq')}) "
+                        f"UNION ALL SELECT {six} FROM ({flat_union()})")
+    o["flat_scan"] = o["flat_export"]
+    o["eval_rows"] = fw + f"\nSELECT label, model, concept, dimension, question, score, {r6('logprob')} AS logprob FROM qs"
+    o["eval_union"] = both + f"""
+SELECT 'model_eval' AS text_key, label, model, concept, dimension, question, score, {r6('logprob')} AS logprob FROM qs
+UNION ALL SELECT 'human_eval', label, model, concept, dimension, question, score, {r6('logprob')} FROM hq"""
+    o["compare_sources"] = "WITH " + E_CTES + f"""
+SELECT label, model, concept, dimension, question,
+  {r6("avg(score) FILTER (WHERE event_id % 2 = 0)")} AS file1,
+  {r6("avg(score) FILTER (WHERE event_id % 2 = 1)")} AS file2,
+  {r6("avg(score) FILTER (WHERE event_id % 2 = 1) - avg(score) FILTER (WHERE event_id % 2 = 0)")} AS difference
+FROM e_raw WHERE score IS NOT NULL GROUP BY label, model, concept, dimension, question"""
+    # ---- phase 5: analysis on L
+    lw = "WITH " + L_CTE + "\n"
+    o["avg_question"] = lw + l_avg("concept, dimension, question, text_key")
+    o["avg_dimension"] = lw + l_avg("concept, dimension, text_key")
+    o["avg_concept"] = lw + l_avg("concept, text_key")
+    o["cross_model"] = lw + l_avg("text_key, concept, dimension")
+    cm = "WITH " + L_CTE + ", cm AS (" + l_avg("text_key, concept, dimension") + ")\n"
+    o["overall_by_text"] = cm + f"SELECT text_key, {r6('avg(score)')} AS score FROM cm GROUP BY text_key"
+    o["dim_by_text"] = cm + f"SELECT dimension, text_key, {r6('avg(score)')} AS score FROM cm GROUP BY dimension, text_key"
+    o["dim_by_model"] = lw + l_avg("concept, dimension, text_key", "model = 'R'")
+    o["filter_dimension"] = lw + l_avg("concept, dimension, question, text_key", "dimension = '3'")
+    o["filter_threshold"] = lw + l_avg("concept, dimension, question, text_key", "score >= 0.5")
+    o["filter_models"] = lw + ("SELECT text_key, model, concept, dimension, question, score FROM l "
+                               "WHERE model IN ('A', 'R') AND concept = 'F'")
+    o["distinct_options"] = lw + " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}' AS kind, CAST({c} AS VARCHAR) AS value FROM l"
+        for c in ["model", "concept", "text_key", "dimension"])
+    o["pivot_dimension"] = (cm + f", dt AS (SELECT dimension, text_key, {r6('avg(score)')} AS score "
+                            "FROM cm GROUP BY dimension, text_key)\n" + l_pivot("dt", "dimension"))
+    aq = ("WITH " + L_CTE + ", aq AS (" +
+          l_avg("concept, dimension, question, text_key", "dimension = '3'") + ")\n")
+    o["pivot_question"] = aq + l_pivot("aq", "concept, question")
+    years = ", ".join(f"'{y}'" for y in fx.L_YEARS)
+    o["question_ranking"] = (aq + ", pv AS (" + l_pivot("aq", "concept, question") + "),\n"
+                             f"ra AS (SELECT concept, question, avg(score) AS a FROM aq WHERE text_key IN ({years}) "
+                             "GROUP BY concept, question)\n"
+                             "SELECT pv.*, CAST(row_number() OVER (ORDER BY " + r6("ra.a") +
+                             " DESC NULLS LAST, pv.concept, pv.question) AS BIGINT) AS position "
+                             "FROM pv LEFT JOIN ra ON pv.concept = ra.concept AND pv.question = ra.question")
+    # ---- phase 6: agreement on E
+    ew = "WITH " + E_CTES
+    models = ["click", "error", "purchase", "signup", "view", "aggregate_models"]
+    o["wide_by_model"] = ew + "\nSELECT label, concept, dimension, question, " + ", ".join(
+        f"max(score) FILTER (WHERE model = '{m}') AS {m}" for m in models) + \
+        " FROM e_all GROUP BY label, concept, dimension, question"
+    o["aggregate_models"] = ew + """
+SELECT k.label, k.concept, k.dimension, k.question, a.score AS aggregate_models
+FROM (SELECT DISTINCT label, concept, dimension, question FROM e) k LEFT JOIN e_agg a
+  ON k.label = a.label AND k.concept = a.concept AND k.dimension = a.dimension AND k.question = a.question"""
+    o["spearman_overall"] = ew + ",\n" + spearman_sql(["model"]) + f"""
+SELECT m.model, {r6('st.rho')} AS spearman_r, st.n_pairs
+FROM (SELECT DISTINCT model FROM e_all WHERE model <> 'purchase') m LEFT JOIN st ON m.model = st.model"""
+    o["spearman_by_dimension"] = (ew.replace("pairs AS (SELECT", "pairs_all AS (SELECT") +
+                                  ",\npairs AS (SELECT * FROM pairs_all WHERE model <> 'aggregate_models'),\n" +
+                                  spearman_sql(["dimension", "model"]) + f"""
+SELECT p.dimension, p.model, {r6('st.rho')} AS spearman_r, st.n_pairs
+FROM (SELECT DISTINCT dimension, model FROM e WHERE model <> 'purchase' AND score IS NOT NULL) p
+LEFT JOIN st ON p.dimension = st.dimension AND p.model = st.model""")
+    o["abs_diff"] = ew + f"\nSELECT label, concept, dimension, question, model, {r6('diff')} AS diff FROM diffs"
+    o["outlier_scores"] = ew + f"""
+SELECT label, concept, dimension, question, {r6('max_diff')} AS max_diff, {r6('mean_diff')} AS mean_diff,
+       {r6('avg_diff_excl')} AS avg_diff_excl FROM outl"""
+    dcols = ", ".join(f"{r6(f'max(diff) FILTER (WHERE d.model = {_lit(r)})')} AS diff_{r}" for r in E_RATERS)
+    o["outliers_top"] = ew + f""",
+top AS (SELECT * FROM outl ORDER BY max_diff DESC NULLS LAST, label, concept, dimension, question LIMIT 20)
+SELECT t.label, t.concept, t.dimension, t.question, {dcols},
+       {r6('min(t.max_diff)')} AS max_diff, {r6('min(t.mean_diff)')} AS mean_diff
+FROM top t LEFT JOIN diffs d ON t.label = d.label AND t.concept = d.concept AND t.dimension = d.dimension
+  AND t.question = d.question GROUP BY t.label, t.concept, t.dimension, t.question"""
+    acols = ", ".join(f"avg(diff) FILTER (WHERE model = {_lit(r)}) AS avg_diff_{r}" for r in E_RATERS)
+    ebd = (f""",
+pr AS (SELECT dimension, {acols} FROM diffs GROUP BY dimension),
+sm AS (SELECT dimension, avg(mean_diff) AS avg_mean_diff, avg(max_diff) AS avg_max_diff,
+       avg(avg_diff_excl) AS avg_avg_diff_excl FROM outl GROUP BY dimension),
+ebd AS (SELECT sm.*, {', '.join(f'pr.avg_diff_{r}' for r in E_RATERS)} FROM sm LEFT JOIN pr ON sm.dimension = pr.dimension)""")
+    rcols = ["avg_mean_diff", "avg_max_diff", "avg_avg_diff_excl"] + [f"avg_diff_{r}" for r in E_RATERS]
+    o["error_by_dimension"] = ew + ebd + "\nSELECT dimension, " + ", ".join(
+        f"{r6(c)} AS {c}" for c in rcols) + " FROM ebd"
+    strict = "CASE WHEN count(*) FILTER (WHERE {c} IS NULL) = 0 THEN sum({c}) END"
+    o["error_totals"] = ew + ebd + "\nSELECT " + \
+        f"{r6(strict.format(c='avg_avg_diff_excl'))} AS total_avg_diff_excl, " + \
+        f"{r6(strict.format(c='avg_mean_diff'))} AS total_mean_diff FROM ebd"
+
+
+_base_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811 - extends the phase 1-3 set
+    o = _base_oracles()
+    more_oracles(o)
+    return o

@@ -145,3 +145,241 @@ def q_human_question_scores(spark, sf_dir):
 @query("human_rollup")
 def q_human_rollup(spark, sf_dir):
     return d_human(spark, sf_dir).model_scores.select("label", "model", "score", "status")
+
+
+# ------------------------------------------------- phase 4: flatten / combine
+from ..operators import flatten as fl  # noqa: E402
+from ..operators.assemble import assemble_text_evals  # noqa: E402
+from ..operators.compare import compare_datasets  # noqa: E402
+from ..operators.grid import QUESTION_PROMPT_TEMPLATE, SYSTEM_PROMPT_TEMPLATE  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources.readers import read_flat_scores, read_text_evals  # noqa: E402
+from ..sources.sinks import normalize_and_export, write_json  # noqa: E402
+
+RUN_DATE = "2026-12-02"
+
+
+def d_nested(spark, sf_dir, ev: Evaluation | None = None, with_text: bool = True):
+    """AS1 over fixture D: one TextEval row per document."""
+    ev = ev or d_evaluation(spark, sf_dir)
+    rubric_doc = rb.nest_rubric(fx.d_flat_rubric(spark), fx.D_CONCEPT)
+    texts = fx.d_texts(spark, sf_dir) if with_text else None
+    return assemble_text_evals(ev.question_scores, texts=texts, rubric_doc=rubric_doc,
+                               models_used=fx.D_MODELS, system_prompt=SYSTEM_PROMPT_TEMPLATE,
+                               base_prompt=QUESTION_PROMPT_TEMPLATE, timestamp=RUN_DATE)
+
+
+@query("flat_scores")
+def q_flat_scores(spark, sf_dir):
+    return fl.flat_scores(d_evaluation(spark, sf_dir))
+
+
+@query("flat_export")
+def q_flat_export(spark, sf_dir):
+    human = fl.flat_scores(d_human(spark, sf_dir))
+    model = fl.flat_scores(d_evaluation(spark, sf_dir))
+    return normalize_and_export(human, model)
+
+
+@query("flat_scan")
+def q_flat_scan(spark, sf_dir):
+    human = fl.flat_scores(d_human(spark, sf_dir))
+    model = fl.flat_scores(d_evaluation(spark, sf_dir))
+    path = shared_path(spark, "flat_export")
+    normalize_and_export(human, model, path)
+    return read_flat_scores(spark, path)
+
+
+@query("eval_rows")
+def q_eval_rows(spark, sf_dir):
+    rows = fl.eval_rows(d_nested(spark, sf_dir, with_text=False))
+    return rows.select("label", "model", "concept", "dimension", "question", "score",
+                       round6("logprob").alias("logprob"))
+
+
+@query("eval_union")
+def q_eval_union(spark, sf_dir):
+    model = fl.eval_rows(d_nested(spark, sf_dir, with_text=False))
+    human_ev = d_human(spark, sf_dir)
+    human = fl.eval_rows(assemble_text_evals(human_ev.question_scores, timestamp=RUN_DATE))
+    both = fl.combine_eval_frames({"model_eval": model, "human_eval": human})
+    return both.select("text_key", "label", "model", "concept", "dimension", "question", "score",
+                       round6("logprob").alias("logprob"))
+
+
+@query("nested_roundtrip")
+def q_nested_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "model_eval_data")
+    write_json(d_nested(spark, sf_dir), path)
+    back = read_text_evals(spark, path, multiline=False)
+    return fl.flatten_text_evals(back)
+
+
+@query("compare_sources")
+def q_compare_sources(spark, sf_dir):
+    raw = fx.e_raw(spark, sf_dir)
+    even = raw.where(F.col("event_id") % 2 == 0).drop("event_id")
+    odd = raw.where(F.col("event_id") % 2 == 1).drop("event_id")
+    c = compare_datasets(even, odd)
+    return c.select("label", "model", "concept", "dimension", "question",
+                    round6("file1").alias("file1"), round6("file2").alias("file2"),
+                    round6("difference").alias("difference"))
+
+
+# ------------------------------------------------- phase 5: analysis on L
+from ..operators import analysis as an  # noqa: E402
+from ..operators import filters as flt  # noqa: E402
+
+L_DIGITS = 3  # scores are 3-decimal values: exact, order-independent means
+L_DIMENSION = "3"
+L_MODEL = "R"
+
+
+def _l(spark, sf_dir):
+    return fx.l_scores(spark, sf_dir)
+
+
+@query("avg_question")
+def q_avg_question(spark, sf_dir):
+    return an.avg_question(_l(spark, sf_dir), L_DIGITS)
+
+
+@query("avg_dimension")
+def q_avg_dimension(spark, sf_dir):
+    return an.avg_dimension(_l(spark, sf_dir), L_DIGITS)
+
+
+@query("avg_concept")
+def q_avg_concept(spark, sf_dir):
+    return an.avg_concept(_l(spark, sf_dir), L_DIGITS)
+
+
+@query("cross_model")
+def q_cross_model(spark, sf_dir):
+    return an.cross_model(_l(spark, sf_dir), L_DIGITS)
+
+
+@query("overall_by_text")
+def q_overall_by_text(spark, sf_dir):
+    o = an.overall_by_text(_l(spark, sf_dir), L_DIGITS)
+    return o.select("text_key", round6("score").alias("score"))
+
+
+@query("dim_by_text")
+def q_dim_by_text(spark, sf_dir):
+    o = an.dim_by_text(_l(spark, sf_dir), L_DIGITS)
+    return o.select("dimension", "text_key", round6("score").alias("score"))
+
+
+@query("dim_by_model")
+def q_dim_by_model(spark, sf_dir):
+    return an.avg_dimension(flt.filter_model(_l(spark, sf_dir), L_MODEL), L_DIGITS)
+
+
+@query("filter_dimension")
+def q_filter_dimension(spark, sf_dir):
+    return an.avg_question(flt.filter_dimension(_l(spark, sf_dir), L_DIMENSION), L_DIGITS)
+
+
+@query("filter_threshold")
+def q_filter_threshold(spark, sf_dir):
+    return an.avg_question(flt.filter_threshold(_l(spark, sf_dir), 0.5), L_DIGITS)
+
+
+@query("filter_models")
+def q_filter_models(spark, sf_dir):
+    return flt.filter_models(_l(spark, sf_dir), ["A", "R"], concept="F")
+
+
+@query("distinct_options")
+def q_distinct_options(spark, sf_dir):
+    return flt.distinct_options(_l(spark, sf_dir), ["model", "concept", "text_key", "dimension"])
+
+
+@query("pivot_dimension")
+def q_pivot_dimension(spark, sf_dir):
+    cells = an.dim_by_text(_l(spark, sf_dir), L_DIGITS).withColumn("score", round6("score"))
+    return an.pivot_cells(cells, ["dimension"], "text_key", fx.L_YEARS)
+
+
+@query("pivot_question")
+def q_pivot_question(spark, sf_dir):
+    cells = an.avg_question(flt.filter_dimension(_l(spark, sf_dir), L_DIMENSION), L_DIGITS)
+    return an.pivot_cells(cells, ["concept", "question"], "text_key", fx.L_YEARS)
+
+
+@query("question_ranking")
+def q_question_ranking(spark, sf_dir):
+    cells = an.avg_question(flt.filter_dimension(_l(spark, sf_dir), L_DIMENSION), L_DIGITS)
+    return an.question_ranking(cells, ["concept", "question"], "text_key", fx.L_YEARS)
+
+
+# ------------------------------------------------- phase 6: agreement on E
+from ..operators import agreement as ag  # noqa: E402
+from ..operators.compare import AGGREGATE_MODEL, aggregate_models, wide_by_model, with_aggregate  # noqa: E402
+
+E_OTHERS = [m for m in fx.E_MODELS if m != fx.E_REFERENCE]
+E_RATERS = E_OTHERS + [AGGREGATE_MODEL]
+E_KEYS = ["label", "concept", "dimension", "question"]
+
+
+def e_long(spark, sf_dir):
+    """Fixture E cells plus the aggregate pseudo-rater (6-digit means)."""
+    return with_aggregate(fx.e_scores(spark, sf_dir), E_OTHERS, digits=6)
+
+
+@query("wide_by_model")
+def q_wide_by_model(spark, sf_dir):
+    return wide_by_model(e_long(spark, sf_dir), fx.E_MODELS + [AGGREGATE_MODEL])
+
+
+@query("aggregate_models")
+def q_aggregate_models(spark, sf_dir):
+    cells = fx.e_scores(spark, sf_dir)
+    agg = aggregate_models(cells, E_OTHERS, digits=6).select(*E_KEYS, F.col("score").alias(AGGREGATE_MODEL))
+    return cells.select(*E_KEYS).distinct().join(agg, E_KEYS, "left")
+
+
+@query("spearman_overall")
+def q_spearman_overall(spark, sf_dir):
+    s = ag.spearman_overall(e_long(spark, sf_dir), fx.E_REFERENCE)
+    return s.select("model", round6("spearman_r").alias("spearman_r"), "n_pairs")
+
+
+@query("spearman_by_dimension")
+def q_spearman_by_dimension(spark, sf_dir):
+    s = ag.spearman_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE)
+    return s.select("dimension", "model", round6("spearman_r").alias("spearman_r"), "n_pairs")
+
+
+@query("abs_diff")
+def q_abs_diff(spark, sf_dir):
+    d = ag.abs_diff(e_long(spark, sf_dir), fx.E_REFERENCE)
+    return d.select(*E_KEYS, "model", round6("diff").alias("diff"))
+
+
+@query("outlier_scores")
+def q_outlier_scores(spark, sf_dir):
+    o = ag.outlier_scores(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED)
+    return o.select(*E_KEYS, round6("max_diff").alias("max_diff"), round6("mean_diff").alias("mean_diff"),
+                    round6("avg_diff_excl").alias("avg_diff_excl"))
+
+
+@query("outliers_top")
+def q_outliers_top(spark, sf_dir):
+    o = ag.outliers_top(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS, n=20)
+    cols = [f"diff_{r}" for r in E_RATERS] + ["max_diff", "mean_diff"]
+    return o.select(*E_KEYS, *[round6(c).alias(c) for c in cols])
+
+
+@query("error_by_dimension")
+def q_error_by_dimension(spark, sf_dir):
+    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS)
+    return e.select("dimension", *[round6(c).alias(c) for c in e.columns if c != "dimension"])
+
+
+@query("error_totals")
+def q_error_totals(spark, sf_dir):
+    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS)
+    t = ag.error_totals(e)
+    return t.select(*[round6(c).alias(c) for c in t.columns])
