@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
-def _expand(left: DataFrame, right: DataFrame, max_rows: int) -> DataFrame:
+def expand(left: DataFrame, right: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Every left row x every row of a configuration table (size-checked)."""
     n = right.count()  # size check on a configuration table
     if n <= max_rows:
         return left.crossJoin(F.broadcast(right))
@@ -41,7 +42,7 @@ def evaluation_grid(texts: DataFrame, raters: DataFrame, rubric: DataFrame,
     n_raters, n_questions = raters.count(), rubric.count()  # config-sized jobs
     if n_raters * n_questions <= max_broadcast_rows:
         return by_label.crossJoin(F.broadcast(raters.crossJoin(rubric)))
-    return _expand(_expand(by_label, raters, max_broadcast_rows), rubric, max_broadcast_rows)
+    return expand(expand(by_label, raters, max_broadcast_rows), rubric, max_broadcast_rows)
 
 
 # --------------------------------------------------------------------------

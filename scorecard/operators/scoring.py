@@ -29,7 +29,7 @@ class Scorer:
     """Interface: ``prepare`` keeps per-text columns before the grid is
     built; ``respond`` adds ``top_logprobs`` and ``error`` to grid rows."""
 
-    def prepare(self, texts: DataFrame) -> DataFrame:  # pragma: no cover - interface
+    def prepare(self, texts: DataFrame, extra: dict | None = None) -> DataFrame:  # pragma: no cover
         raise NotImplementedError
 
     def respond(self, grid: DataFrame) -> DataFrame:  # pragma: no cover - interface
@@ -75,8 +75,9 @@ class RuleScorer(Scorer):
         self.error_message = error_message
         self.clip = clip
 
-    def prepare(self, texts: DataFrame) -> DataFrame:
-        return texts.select("label", *[c.alias(n) for n, c in self.features.items()])
+    def prepare(self, texts: DataFrame, extra: dict | None = None) -> DataFrame:
+        cols = {**self.features, **(extra or {})}
+        return texts.select("label", *[c.alias(n) for n, c in cols.items()])
 
     def probability(self, grid: DataFrame) -> Column:
         z = self.logit()
@@ -116,8 +117,8 @@ class PandasScorer(Scorer):
         self.fn = fn
         self.n_logprobs = n_logprobs
 
-    def prepare(self, texts: DataFrame) -> DataFrame:
-        return texts.select("label", "input_text")
+    def prepare(self, texts: DataFrame, extra: dict | None = None) -> DataFrame:
+        return texts.select("label", "input_text", *[c.alias(n) for n, c in (extra or {}).items()])
 
     def respond(self, grid: DataFrame) -> DataFrame:
         fn, n = self.fn, self.n_logprobs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rollup
-from ..operators.grid import evaluation_grid
+from ..operators.grid import evaluation_grid, with_temperatures
 from ..operators.human import human_question_scores
 from ..operators.scoring import Scorer, score_responses
 from ..session import ensure_checkpoint_dir
@@ -63,9 +63,14 @@ def _persist(df: DataFrame) -> DataFrame:
 
 
 def responses(texts: DataFrame, raters: DataFrame, rubric: DataFrame, scorer: Scorer,
-              num_partitions: int | None = None) -> DataFrame:
-    """EV1 + EV4: grid rows with the scorer's ``top_logprobs`` / ``error``."""
-    grid = evaluation_grid(scorer.prepare(texts), raters, rubric, num_partitions)
+              num_partitions: int | None = None, text_columns: dict | None = None,
+              temperatures: list[float] | None = None) -> DataFrame:
+    """EV1 + EV4 (+EV12): grid rows with the scorer's ``top_logprobs`` /
+    ``error``.  ``text_columns`` are extra per-text columns computed before
+    the grid expansion (e.g. the text hash of the cache key)."""
+    grid = evaluation_grid(scorer.prepare(texts, text_columns), raters, rubric, num_partitions)
+    if temperatures is not None:
+        grid = with_temperatures(grid, temperatures)
     return scorer.respond(grid)
 
 

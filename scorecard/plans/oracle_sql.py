@@ -402,3 +402,133 @@ def oracles() -> dict[str, str]:  # noqa: F811 - extends the phase 1-3 set
     o = _base_oracles()
     more_oracles(o)
     return o
+
+
+# ---------------------------------------------------------------- phase 7-8
+def _models_values() -> str:
+    return "(VALUES " + ", ".join(f"({_lit(m)})" for m in fx.D_MODELS) + ") AS pm(model)"
+
+
+def profile_ctes() -> str:
+    models = ", ".join(_lit(m) for m in fx.D_MODELS)
+    return f""",
+flat AS ({flat_union()}),
+pf AS (SELECT * FROM flat WHERE concept = {_lit(fx.D_CONCEPT)} AND model IN ({models})),
+pdims AS (SELECT DISTINCT label, dimension FROM pf WHERE dimension IS NOT NULL AND dimension <> ''),
+pord AS (SELECT DISTINCT dimension, dim_pos FROM rubric),
+pgrid AS (SELECT d.label, d.dimension, o.dim_pos, pm.model FROM pdims d LEFT JOIN pord o ON d.dimension = o.dimension
+          CROSS JOIN {_models_values()}),
+psc AS (SELECT label, model, dimension, score FROM pf WHERE level = 'dimension'),
+prof AS (SELECT g.label, g.model, g.dimension, g.dim_pos, coalesce(s.score, CAST(0.0 AS DOUBLE)) AS score
+         FROM pgrid g LEFT JOIN psc s ON g.label = s.label AND g.model = s.model AND g.dimension = s.dimension)"""
+
+
+def band_sql(score: str = "score") -> str:
+    return (f"CASE WHEN {score} IS NULL THEN 'dim' WHEN {score} < 0.4 THEN 'red' "
+            f"WHEN {score} < 0.7 THEN 'yellow' ELSE 'green' END")
+
+
+def _pad(c: str) -> str:
+    return f"lpad(CAST({c} AS VARCHAR), 3, '0')"
+
+
+def report_sql() -> str:
+    n = "CAST(NULL AS VARCHAR)"
+    return f"""SELECT *, {band_sql()} AS band FROM (
+SELECT CAST(doc_id AS VARCHAR) AS label, '000' AS sort_path, CAST(0 AS BIGINT) AS depth, 'text' AS kind,
+       {n} AS name, CAST(NULL AS DOUBLE) AS score, {n} AS answer, 'Input Text: ' || coalesce(text, '') AS line
+  FROM documents
+UNION ALL SELECT label, {_pad('model_pos')}, CAST(0 AS BIGINT), 'model', model, score, {n}, 'Model: ' || model FROM ms
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')}, CAST(1 AS BIGINT), 'concept', concept,
+       score, {n}, chr(9) || 'Concept: ' || concept FROM cs
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')} || '.' || {_pad('dim_pos')},
+       CAST(2 AS BIGINT), 'dimension', dimension, score, {n}, chr(9) || chr(9) || 'Dimension: ' || dimension FROM ds
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')} || '.' || {_pad('dim_pos')} || '.' ||
+       {_pad('q_pos')}, CAST(3 AS BIGINT), 'question', question, score, answer,
+       chr(9) || chr(9) || chr(9) || 'Question: ' || question FROM qs)"""
+
+
+def render_sql(template: str, cols: dict[str, str]) -> str:
+    from ..operators.grid import template_parts
+    parts = []
+    for kind, val in template_parts(template):
+        parts.append(_lit(val) if kind == "lit" else f"coalesce(CAST({cols[val]} AS VARCHAR), '')")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+KEYED = """th AS (SELECT CAST(doc_id AS VARCHAR) AS label, sha256(text) AS text_hash FROM documents),
+keyed AS (SELECT r.*, sha256(concat_ws('|', r.model, '{pv}', r.concept, r.dimension, r.question_label, '',
+          th.text_hash)) AS cache_key FROM resp r JOIN th ON r.label = th.label),
+cache AS (SELECT cache_key, min(top_logprobs) AS top_logprobs, min(error) AS error FROM keyed
+          WHERE CAST(label AS BIGINT) % 3 = 0 GROUP BY cache_key)"""
+
+
+def token_sql(n: int, extra: str = "") -> str:
+    return f"""SELECT label, model, question_label{extra}, CAST(i AS BIGINT) AS rank, top_logprobs[i].token AS token,
+       {r6('top_logprobs[i].logprob')} AS logprob,
+       round_even(exp(top_logprobs[i].logprob) * 100.0 * 100.0, 0) / 100.0 AS probability_pct
+FROM (SELECT *, unnest(generate_series(1, len(top_logprobs))) AS i FROM resp WHERE top_logprobs IS NOT NULL)
+WHERE i <= {n}"""
+
+
+def phase78_oracles(o: dict[str, str]) -> None:
+    from ..operators.grid import QUESTION_PROMPT_TEMPLATE, SYSTEM_PROMPT_TEMPLATE
+    fw = d_with(rollup_ctes())
+    o["profile"] = fw + profile_ctes() + "\nSELECT label, model, dimension, dim_pos, score FROM prof"
+    o["profile_polar"] = fw + profile_ctes() + f""",
+pn AS (SELECT *, row_number() OVER (PARTITION BY label, model ORDER BY dim_pos) - 1 AS i,
+       count(*) OVER (PARTITION BY label, model) AS n FROM prof),
+pts AS (SELECT label, model, i + 1 AS point, dimension, 2.0 * pi() * i / n AS angle, score FROM pn WHERE n >= 3
+        UNION ALL SELECT label, model, n + 1, dimension, 2.0 * pi() * 0 / n, score FROM pn WHERE i = 0 AND n >= 3)
+SELECT label, model, CAST(point AS BIGINT) AS point, dimension, {r6('angle')} AS angle, score FROM pts"""
+    o["score_bands"] = fw + f"\nSELECT *, {band_sql()} AS band FROM ({flat_union()})"
+    o["report_lines"] = fw + "\n" + report_sql()
+    o["quality_report"] = d_and_human_with() + ",\n" + H_VALID + ",\n" + E_CTES + """
+SELECT 'sheet_short_row' AS reason, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'sheet_empty_cell', count(*) FROM cls WHERE reason = 'empty_cell'
+UNION ALL SELECT 'sheet_bad_cast', count(*) FROM cls WHERE reason = 'bad_cast'
+UNION ALL SELECT 'sheet_superseded', CAST(coalesce(sum(c - 1), 0) AS BIGINT)
+  FROM (SELECT count(*) AS c FROM cls WHERE reason IS NULL GROUP BY sheet, label)
+UNION ALL SELECT 'rating_out_of_range', count(*)
+  FROM (SELECT arg_max(sc, ord) AS s FROM cls WHERE reason IS NULL GROUP BY sheet, label) WHERE s < 1 OR s > 5
+UNION ALL SELECT 'missing_rating', count(*) FROM hq WHERE NOT matched
+UNION ALL SELECT 'no_answer_match', count(*) FROM qs WHERE error IS NULL AND NOT matched
+UNION ALL SELECT 'scorer_error', count(*) FROM qs WHERE error IS NOT NULL
+UNION ALL SELECT 'duplicate_cell', CAST(coalesce(sum(c - 1), 0) AS BIGINT)
+  FROM (SELECT count(*) AS c FROM e_raw GROUP BY label, model, concept, dimension, question)"""
+    keyed = "WITH " + d_response_ctes() + ",\n" + KEYED.format(pv=fx.PROMPT_VERSION)
+    o["cache_missing"] = keyed + """
+SELECT k.label, k.model, k.question_label, k.cache_key FROM keyed k
+WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.cache_key = k.cache_key)"""
+    o["cache_lookup"] = keyed + """,
+lk AS (SELECT k.label, k.model, k.question_label, k.positive_contribution, c.top_logprobs,
+       c.cache_key IS NOT NULL AS cached FROM keyed k LEFT JOIN cache c ON k.cache_key = c.cache_key),
+""" + SCAN.format(src="lk") + f"""
+SELECT label, model, question_label, cached,
+  CASE WHEN positive_contribution THEN {r3('exp(m.logprob)')}
+       WHEN NOT positive_contribution THEN CAST(1.0 AS DOUBLE) - {r3('exp(m.logprob)')} END AS cached_score
+FROM scan"""
+    o["token_probabilities"] = "WITH " + d_response_ctes() + "\n" + token_sql(5)
+    o["token_sweep"] = "WITH " + d_response_ctes(temperature=True) + "\n" + token_sql(3, ", temperature")
+    cols = {"concept": "q.concept", "dimension": "q.dimension", "question": "q.question",
+            "examples": "q.examples", "input_text": "d.text"}
+    o["prompt_render"] = ("WITH " + d_rubric_values() + "\nSELECT CAST(d.doc_id AS VARCHAR) AS label, q.concept, "
+                          "q.dimension, q.question_label, " + render_sql(SYSTEM_PROMPT_TEMPLATE, cols) +
+                          " AS system_prompt, " + render_sql(QUESTION_PROMPT_TEMPLATE, cols) +
+                          " AS user_prompt FROM documents d CROSS JOIN rubric q")
+    o["model_status"] = fw + """
+SELECT label, model, CASE WHEN bool_or(error IS NOT NULL) THEN 'error' ELSE 'ok' END AS status,
+       min(error) AS error, count(*) AS n_questions, count(score) AS n_scored FROM qs GROUP BY label, model"""
+    o["run_metadata"] = fw + f"""
+SELECT label, array_to_string(list_sort(list_distinct(list(model))), ',') AS models_used,
+       {_lit(SYSTEM_PROMPT_TEMPLATE)} AS system_prompt, {_lit(QUESTION_PROMPT_TEMPLATE)} AS base_prompt
+FROM qs GROUP BY label"""
+
+
+_phase6_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811 - extends the phase 1-6 set
+    o = _phase6_oracles()
+    phase78_oracles(o)
+    return o

@@ -383,3 +383,139 @@ def q_error_totals(spark, sf_dir):
     e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS)
     t = ag.error_totals(e)
     return t.select(*[round6(c).alias(c) for c in t.columns])
+
+
+# ------------------------------------------------- phase 7: profile, report, QA
+from ..operators import report as rp  # noqa: E402
+from ..operators.human import rejected_rows, superseded_count  # noqa: E402
+
+
+def _d_dim_order(spark):
+    return fx.d_rubric(spark).select("dimension", "dim_pos").distinct()
+
+
+@query("profile")
+def q_profile(spark, sf_dir):
+    flat = fl.flat_scores(d_evaluation(spark, sf_dir))
+    return rp.profile(flat, fx.D_CONCEPT, fx.D_MODELS, _d_dim_order(spark))
+
+
+@query("profile_polar")
+def q_profile_polar(spark, sf_dir):
+    flat = fl.flat_scores(d_evaluation(spark, sf_dir))
+    pol = rp.profile_polar(rp.profile(flat, fx.D_CONCEPT, fx.D_MODELS, _d_dim_order(spark)))
+    return pol.select("label", "model", "point", "dimension", round6("angle").alias("angle"), "score")
+
+
+@query("score_bands")
+def q_score_bands(spark, sf_dir):
+    flat = fl.flat_scores(d_evaluation(spark, sf_dir))
+    return flat.withColumn("band", rp.score_band("score"))
+
+
+@query("report_lines")
+def q_report_lines(spark, sf_dir):
+    return rp.report_lines(d_evaluation(spark, sf_dir), fx.d_texts(spark, sf_dir))
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    raw = fx.h_raw(spark, sf_dir)
+    rej = rejected_rows(raw)
+    parts = [rp.count_rows(rej.where(F.col("reject_reason") == r), f"sheet_{r}")
+             for r in ("short_row", "empty_cell", "bad_cast")]
+    parts.append(superseded_count(raw).select(F.lit("sheet_superseded").alias("reason"), "n"))
+    kept = clean_ratings(raw)
+    parts.append(rp.count_rows(kept.where((F.col("score") < 1) | (F.col("score") > 5)),
+                               "rating_out_of_range"))
+    hq = d_human(spark, sf_dir).question_scores
+    parts.append(rp.count_rows(hq.where(~F.col("matched")), "missing_rating"))
+    q = d_evaluation(spark, sf_dir).question_scores
+    parts.append(rp.count_rows(q.where(F.col("error").isNull() & ~F.col("matched")), "no_answer_match"))
+    parts.append(rp.count_rows(q.where(F.col("error").isNotNull()), "scorer_error"))
+    cells = (fx.e_raw(spark, sf_dir).groupBy("label", "model", "concept", "dimension", "question")
+             .agg(F.count(F.lit(1)).alias("c")))
+    parts.append(cells.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("n"))
+                 .select(F.lit("duplicate_cell").alias("reason"), "n"))
+    return rp.quality_report(parts)
+
+
+# ------------------------------------------------- phase 8: cache, tokens, prompts
+from ..functions.answers import answer_columns  # noqa: E402
+from ..operators import cache as ch  # noqa: E402
+from ..operators.grid import expand, prompt_columns  # noqa: E402
+from ..operators.rollup import run_metadata  # noqa: E402
+from ..operators.scoring import model_status, token_probabilities  # noqa: E402
+from .evaluation import responses  # noqa: E402
+
+SWEEP_TEMPERATURES = [0.0, 0.5, 1.0]
+
+
+def d_keyed_responses(spark, sf_dir, texts=None):
+    texts = texts if texts is not None else fx.d_texts(spark, sf_dir)
+    resp = responses(texts, fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(),
+                     text_columns={"text_hash": ch.text_hash()})
+    return ch.with_cache_key(resp, fx.PROMPT_VERSION)
+
+
+def d_cache(spark, sf_dir):
+    """Cache table: responses already computed for the cached documents."""
+    cached_texts = fx.d_texts(spark, sf_dir).where(fx.cache_flag(F.col("label")))
+    return d_keyed_responses(spark, sf_dir, cached_texts).select("cache_key", "top_logprobs", "error")
+
+
+def d_keyed_grid(spark, sf_dir):
+    texts = fx.d_texts(spark, sf_dir).select("label", ch.text_hash().alias("text_hash"))
+    return ch.with_cache_key(evaluation_grid(texts, fx.d_raters(spark), fx.d_rubric(spark)),
+                             fx.PROMPT_VERSION)
+
+
+@query("cache_missing")
+def q_cache_missing(spark, sf_dir):
+    todo = ch.missing(d_keyed_grid(spark, sf_dir), d_cache(spark, sf_dir))
+    return todo.select("label", "model", "question_label", "cache_key")
+
+
+@query("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    hit = ch.lookup(d_keyed_grid(spark, sf_dir), d_cache(spark, sf_dir))
+    cols = answer_columns(top_logprobs="cached_top_logprobs")
+    return hit.select("label", "model", "question_label", "cached",
+                      cols["score"].alias("cached_score"))
+
+
+@query("token_probabilities")
+def q_token_probabilities(spark, sf_dir):
+    resp = responses(fx.d_texts(spark, sf_dir), fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer())
+    t = token_probabilities(resp, ["label", "model", "question_label"], n=5)
+    return t.select("label", "model", "question_label", "rank", "token",
+                    round6("logprob").alias("logprob"), "probability_pct")
+
+
+@query("token_sweep")
+def q_token_sweep(spark, sf_dir):
+    resp = responses(fx.d_texts(spark, sf_dir), fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(),
+                     temperatures=SWEEP_TEMPERATURES)
+    t = token_probabilities(resp, ["label", "model", "question_label", "temperature"], n=3)
+    return t.select("label", "model", "question_label", "temperature", "rank", "token",
+                    round6("logprob").alias("logprob"), "probability_pct")
+
+
+@query("prompt_render")
+def q_prompt_render(spark, sf_dir):
+    grid = expand(fx.d_texts(spark, sf_dir), fx.d_rubric(spark))
+    p = prompt_columns(grid)
+    return p.select("label", "concept", "dimension", "question_label", "system_prompt", "user_prompt")
+
+
+@query("model_status")
+def q_model_status(spark, sf_dir):
+    return model_status(d_evaluation(spark, sf_dir).question_scores)
+
+
+@query("run_metadata")
+def q_run_metadata(spark, sf_dir):
+    md = run_metadata(d_evaluation(spark, sf_dir).question_scores, SYSTEM_PROMPT_TEMPLATE,
+                      QUESTION_PROMPT_TEMPLATE)
+    return md.select("label", F.concat_ws(",", "models_used").alias("models_used"),
+                     "system_prompt", "base_prompt")
