@@ -69,3 +69,10 @@ def grid_mean(col, digits: int | None = None) -> Column:
     units = F.rint(c * F.lit(float(factor))).cast("bigint")
     return F.try_divide(F.sum(units).cast("double"),
                         (F.count(c) * F.lit(factor)).cast("double"))
+
+
+def grid_sum(col, digits: int) -> Column:
+    """Order-independent sum of values taken on their ``10^-digits`` grid."""
+    factor = 10 ** digits
+    units = F.rint(_c(col) * F.lit(float(factor))).cast("bigint")
+    return F.sum(units).cast("double") / F.lit(float(factor))

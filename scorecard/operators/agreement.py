@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pearson
+from ..functions.numeric import grid_mean, grid_sum, pearson
 from ..functions.ranking import distinct_value_ranks
 from .compare import AGGREGATE_MODEL, WIDE_KEYS
 
@@ -64,22 +64,24 @@ def abs_diff(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> Da
 
 
 def outlier_scores(long: DataFrame, reference: str, excluded: str,
-                   keys: list[str] = WIDE_KEYS) -> DataFrame:
+                   keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
     """AG4: per cell, max / mean of the rater differences and the mean
-    without one rater; NULL when a cell has no difference at all."""
+    without one rater; NULL when a cell has no difference at all.
+    ``digits``: exact grid means (see ``grid_mean``)."""
     diffs = abs_diff(long, reference, keys)
     summary = diffs.groupBy(*keys).agg(
-        F.max("diff").alias("max_diff"), F.avg("diff").alias("mean_diff"),
-        F.avg(F.when(F.col("model") != excluded, F.col("diff"))).alias("avg_diff_excl"))
+        F.max("diff").alias("max_diff"), grid_mean("diff", digits).alias("mean_diff"),
+        grid_mean(F.when(F.col("model") != excluded, F.col("diff")), digits).alias("avg_diff_excl"))
     cells = long.select(*keys).distinct()
     return cells.join(summary, keys, "left")
 
 
 def outliers_top(long: DataFrame, reference: str, excluded: str, raters: list[str],
-                 n: int = 20, keys: list[str] = WIDE_KEYS) -> DataFrame:
+                 n: int = 20, keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
     """AG5: the ``n`` cells with the largest ``max_diff`` (NULLs last, ties by
-    key), with one ``diff_<rater>`` column per other rater."""
-    scores = outlier_scores(long, reference, excluded, keys)
+    key), with one ``diff_<rater>`` column per other rater.  A top-k report:
+    the limit is the feature (ordered top-k per partition, then merged)."""
+    scores = outlier_scores(long, reference, excluded, keys, digits)
     top = scores.orderBy(F.desc_nulls_last("max_diff"), *keys).limit(n)
     wide = (abs_diff(long, reference, keys).join(top.select(*keys), keys, "left_semi")
             .groupBy(*keys).pivot("model", raters).agg(F.first("diff"))
@@ -89,22 +91,24 @@ def outliers_top(long: DataFrame, reference: str, excluded: str, raters: list[st
 
 
 def error_by_dimension(long: DataFrame, reference: str, excluded: str, raters: list[str],
-                       keys: list[str] = WIDE_KEYS) -> DataFrame:
+                       keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
     """AG6: per dimension, the mean of every ``diff_<rater>`` and of the
     three row summaries (``avg_<column>``), NULLs ignored."""
     per_rater = (abs_diff(long, reference, keys).groupBy("dimension")
-                 .pivot("model", raters).agg(F.avg("diff"))
+                 .pivot("model", raters).agg(grid_mean("diff", digits))
                  .select("dimension", *[F.col(r).alias(f"avg_diff_{r}") for r in raters]))
-    summ = outlier_scores(long, reference, excluded, keys).groupBy("dimension").agg(
-        F.avg("mean_diff").alias("avg_mean_diff"), F.avg("max_diff").alias("avg_max_diff"),
-        F.avg("avg_diff_excl").alias("avg_avg_diff_excl"))
+    summ = outlier_scores(long, reference, excluded, keys, digits).groupBy("dimension").agg(
+        grid_mean("mean_diff", digits).alias("avg_mean_diff"),
+        grid_mean("max_diff", digits).alias("avg_max_diff"),
+        grid_mean("avg_diff_excl", digits).alias("avg_avg_diff_excl"))
     return summ.join(per_rater, "dimension", "left")
 
 
-def error_totals(by_dimension: DataFrame) -> DataFrame:
+def error_totals(by_dimension: DataFrame, digits: int | None = None) -> DataFrame:
     """AG7: sums over dimensions of ``avg_avg_diff_excl`` and ``avg_mean_diff``;
     like R's ``sum``, NULL as soon as one dimension is NULL."""
     def strict_sum(c: str) -> F.Column:
-        return F.when(F.count_if(F.col(c).isNull()) == 0, F.sum(c))
+        total = F.sum(c) if digits is None else grid_sum(c, digits)
+        return F.when(F.count_if(F.col(c).isNull()) == 0, total)
     return by_dimension.agg(strict_sum("avg_avg_diff_excl").alias("total_avg_diff_excl"),
                             strict_sum("avg_mean_diff").alias("total_mean_diff"))

@@ -39,9 +39,10 @@ def evaluation_grid(texts: DataFrame, raters: DataFrame, rubric: DataFrame,
     """
     by_label = (texts.repartition(num_partitions, "label") if num_partitions
                 else texts.repartition("label"))
-    n_raters, n_questions = raters.count(), rubric.count()  # config-sized jobs
-    if n_raters * n_questions <= max_broadcast_rows:
-        return by_label.crossJoin(F.broadcast(raters.crossJoin(rubric)))
+    config = raters.crossJoin(F.broadcast(rubric)).cache()
+    if config.count() <= max_broadcast_rows:  # size check, materialises the cache
+        return by_label.crossJoin(F.broadcast(config))
+    config.unpersist()
     return expand(expand(by_label, raters, max_broadcast_rows), rubric, max_broadcast_rows)
 
 

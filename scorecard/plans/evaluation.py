@@ -19,6 +19,7 @@ from ..operators import rollup
 from ..operators.grid import evaluation_grid, with_temperatures
 from ..operators.human import human_question_scores
 from ..operators.scoring import Scorer, score_responses
+from ..functions.partitioning import spread
 from ..session import ensure_checkpoint_dir
 
 QUESTION_COLUMNS = [
@@ -68,7 +69,8 @@ def responses(texts: DataFrame, raters: DataFrame, rubric: DataFrame, scorer: Sc
     """EV1 + EV4 (+EV12): grid rows with the scorer's ``top_logprobs`` /
     ``error``.  ``text_columns`` are extra per-text columns computed before
     the grid expansion (e.g. the text hash of the cache key)."""
-    grid = evaluation_grid(scorer.prepare(texts, text_columns), raters, rubric, num_partitions)
+    grid = evaluation_grid(scorer.prepare(spread(texts), text_columns), raters, rubric,
+                           num_partitions)
     if temperatures is not None:
         grid = with_temperatures(grid, temperatures)
     return scorer.respond(grid)

@@ -269,8 +269,8 @@ pairs AS (SELECT o.label, o.concept, o.dimension, o.question, o.model, o.score,
 diffs AS (SELECT label, concept, dimension, question, model, abs(score - ref_score) AS diff FROM pairs),
 outl AS (SELECT c.label, c.concept, c.dimension, c.question, s.max_diff, s.mean_diff, s.avg_diff_excl
     FROM (SELECT DISTINCT label, concept, dimension, question FROM e_all) c LEFT JOIN
-    (SELECT label, concept, dimension, question, max(diff) AS max_diff, avg(diff) AS mean_diff,
-            avg(CASE WHEN model <> 'view' THEN diff END) AS avg_diff_excl
+    (SELECT label, concept, dimension, question, max(diff) AS max_diff, {gmean('diff', 9)} AS mean_diff,
+            {gmean("CASE WHEN model <> 'view' THEN diff END", 9)} AS avg_diff_excl
      FROM diffs GROUP BY label, concept, dimension, question) s
     ON c.label = s.label AND c.concept = s.concept AND c.dimension = s.dimension AND c.question = s.question)"""
 
@@ -380,16 +380,18 @@ SELECT t.label, t.concept, t.dimension, t.question, {dcols},
        {r6('min(t.max_diff)')} AS max_diff, {r6('min(t.mean_diff)')} AS mean_diff
 FROM top t LEFT JOIN diffs d ON t.label = d.label AND t.concept = d.concept AND t.dimension = d.dimension
   AND t.question = d.question GROUP BY t.label, t.concept, t.dimension, t.question"""
-    acols = ", ".join(f"avg(diff) FILTER (WHERE model = {_lit(r)}) AS avg_diff_{r}" for r in E_RATERS)
+    acols = ", ".join(f"{gmean(f'CASE WHEN model = {_lit(r)} THEN diff END', 9)} AS avg_diff_{r}"
+                      for r in E_RATERS)
     ebd = (f""",
 pr AS (SELECT dimension, {acols} FROM diffs GROUP BY dimension),
-sm AS (SELECT dimension, avg(mean_diff) AS avg_mean_diff, avg(max_diff) AS avg_max_diff,
-       avg(avg_diff_excl) AS avg_avg_diff_excl FROM outl GROUP BY dimension),
+sm AS (SELECT dimension, {gmean('mean_diff', 9)} AS avg_mean_diff, {gmean('max_diff', 9)} AS avg_max_diff,
+       {gmean('avg_diff_excl', 9)} AS avg_avg_diff_excl FROM outl GROUP BY dimension),
 ebd AS (SELECT sm.*, {', '.join(f'pr.avg_diff_{r}' for r in E_RATERS)} FROM sm LEFT JOIN pr ON sm.dimension = pr.dimension)""")
     rcols = ["avg_mean_diff", "avg_max_diff", "avg_avg_diff_excl"] + [f"avg_diff_{r}" for r in E_RATERS]
     o["error_by_dimension"] = ew + ebd + "\nSELECT dimension, " + ", ".join(
         f"{r6(c)} AS {c}" for c in rcols) + " FROM ebd"
-    strict = "CASE WHEN count(*) FILTER (WHERE {c} IS NULL) = 0 THEN sum({c}) END"
+    strict = ("CASE WHEN count(*) FILTER (WHERE {c} IS NULL) = 0 THEN "
+              "CAST(sum(CAST(round_even({c} * 1000000000.0, 0) AS BIGINT)) AS DOUBLE) / 1000000000.0 END")
     o["error_totals"] = ew + ebd + "\nSELECT " + \
         f"{r6(strict.format(c='avg_avg_diff_excl'))} AS total_avg_diff_excl, " + \
         f"{r6(strict.format(c='avg_mean_diff'))} AS total_mean_diff FROM ebd"

@@ -321,6 +321,7 @@ from ..operators.compare import AGGREGATE_MODEL, aggregate_models, wide_by_model
 E_OTHERS = [m for m in fx.E_MODELS if m != fx.E_REFERENCE]
 E_RATERS = E_OTHERS + [AGGREGATE_MODEL]
 E_KEYS = ["label", "concept", "dimension", "question"]
+E_DIGITS = 9  # error means on a 1e-9 grid: exact, identical under any partitioning
 
 
 def e_long(spark, sf_dir):
@@ -360,28 +361,31 @@ def q_abs_diff(spark, sf_dir):
 
 @query("outlier_scores")
 def q_outlier_scores(spark, sf_dir):
-    o = ag.outlier_scores(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED)
+    o = ag.outlier_scores(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, digits=E_DIGITS)
     return o.select(*E_KEYS, round6("max_diff").alias("max_diff"), round6("mean_diff").alias("mean_diff"),
                     round6("avg_diff_excl").alias("avg_diff_excl"))
 
 
 @query("outliers_top")
 def q_outliers_top(spark, sf_dir):
-    o = ag.outliers_top(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS, n=20)
+    o = ag.outliers_top(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS, n=20,
+                        digits=E_DIGITS)
     cols = [f"diff_{r}" for r in E_RATERS] + ["max_diff", "mean_diff"]
     return o.select(*E_KEYS, *[round6(c).alias(c) for c in cols])
 
 
 @query("error_by_dimension")
 def q_error_by_dimension(spark, sf_dir):
-    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS)
+    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS,
+                              digits=E_DIGITS)
     return e.select("dimension", *[round6(c).alias(c) for c in e.columns if c != "dimension"])
 
 
 @query("error_totals")
 def q_error_totals(spark, sf_dir):
-    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS)
-    t = ag.error_totals(e)
+    e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS,
+                              digits=E_DIGITS)
+    t = ag.error_totals(e, digits=E_DIGITS)
     return t.select(*[round6(c).alias(c) for c in t.columns])
 
 

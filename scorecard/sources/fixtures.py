@@ -50,19 +50,33 @@ PROMPT_VERSION = hashlib.sha256(
     (SYSTEM_PROMPT_TEMPLATE + QUESTION_PROMPT_TEMPLATE).encode("utf-8")).hexdigest()[:16]
 
 
+_CONFIG: dict[tuple, DataFrame] = {}
+
+
+def _config(spark: SparkSession, name: str, build) -> DataFrame:
+    """Configuration tables are tiny and fixed: build them once per
+    application and keep them cached (recomputed from their definition if a
+    cached block is lost)."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _CONFIG:
+        _CONFIG[key] = build().cache()
+    return _CONFIG[key]
+
+
 def d_flat_rubric(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(D_RUBRIC_ROWS)]
-    return spark.createDataFrame(
+    return _config(spark, "d_flat_rubric", lambda: spark.createDataFrame(
         rows, "ord bigint, Dimension string, Label string, Question string, "
-              "positive_contribution boolean, Examples string")
+              "positive_contribution boolean, Examples string"))
 
 
 def d_rubric(spark: SparkSession) -> DataFrame:
-    return long_rubric(d_flat_rubric(spark), D_CONCEPT)
+    return _config(spark, "d_rubric", lambda: long_rubric(d_flat_rubric(spark), D_CONCEPT))
 
 
 def d_raters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(D_RATERS, "model string, model_pos bigint, k double, max_chars bigint")
+    return _config(spark, "d_raters", lambda: spark.createDataFrame(
+        D_RATERS, "model string, model_pos bigint, k double, max_chars bigint"))
 
 
 def d_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +85,24 @@ def d_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("label"), F.col("text").alias("input_text"))
 
 
-def _count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+WHITESPACE = (" ", "\n", "\t")
+
+
+def _count_char(text: Column, ch: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+
+
+def word_count(text: Column) -> Column:
+    """Pieces of the trimmed text split on runs of space/newline/tab.
+
+    Computed without materialising the trimmed copy: split the text itself
+    and drop the empty first/last piece a leading/trailing run produces
+    (an all-blank text still counts one, empty, piece).
+    """
+    pieces = F.size(F.split(text, r"[ \n\t]+"))
+    lead = F.substring(text, 1, 1).isin(*WHITESPACE).cast("int")
+    trail = F.substring(text, -1, 1).isin(*WHITESPACE).cast("int")
+    return F.greatest(pieces - lead - trail, F.lit(1))
 
 
 def d_features() -> dict[str, Column]:
@@ -80,13 +110,12 @@ def d_features() -> dict[str, Column]:
     text split on runs of space/newline/tab), sentence marks, newlines,
     commas."""
     t = F.col("input_text")
-    trimmed = F.regexp_replace(t, r"\A[ \n\t]+|[ \n\t]+\z", "")
     return {
         "n": F.length(t).cast("double"),
-        "w": F.size(F.split(trimmed, r"[ \n\t]+")).cast("double"),
-        "st": _count_chars(t, ".!?").cast("double"),
-        "nl": _count_chars(t, "\n").cast("double"),
-        "cm": _count_chars(t, ",").cast("double"),
+        "w": word_count(t).cast("double"),
+        "st": (F.length(t) - F.length(F.regexp_replace(t, "[.!?]", ""))).cast("double"),
+        "nl": _count_char(t, "\n").cast("double"),
+        "cm": _count_char(t, ",").cast("double"),
     }
 
 
