@@ -31,8 +31,15 @@ def spearman(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
     """Spearman rank correlation per group: average-tie ranks of both sides
     within the group's complete pairs, then Pearson of the ranks.  Constant
     ranks or fewer than two pairs give NULL."""
-    r_s = distinct_value_ranks(pairs, group_cols, "score", "r_score")
-    r_ref = distinct_value_ranks(pairs, group_cols, "ref_score", "r_ref")
+    # both sides ranked in one pass (one range partitioning, one checkpoint)
+    sides = (pairs.select(*group_cols, F.lit("s").alias("_side"), F.col("score").alias("_v"))
+             .unionByName(pairs.select(*group_cols, F.lit("r").alias("_side"),
+                                       F.col("ref_score").alias("_v"))))
+    ranks = distinct_value_ranks(sides, [*group_cols, "_side"], "_v", "_rank")
+    r_s = ranks.where(F.col("_side") == "s").select(
+        *group_cols, F.col("_v").alias("score"), F.col("_rank").alias("r_score"))
+    r_ref = ranks.where(F.col("_side") == "r").select(
+        *group_cols, F.col("_v").alias("ref_score"), F.col("_rank").alias("r_ref"))
     ranked = (pairs.join(r_s, [*group_cols, "score"], "inner")
               .join(r_ref, [*group_cols, "ref_score"], "inner"))
     return ranked.groupBy(*group_cols).agg(

@@ -75,20 +75,25 @@ def long_rubric(flat: DataFrame, concept_name: str, concept_pos: int = 1) -> Dat
 
     Columns: concept, concept_pos, concept_weight, dimension, dim_pos,
     dim_weight, question_label, question, positive_contribution, examples,
-    q_pos.  This is what the evaluation grid joins against.
+    q_pos.  This is what the evaluation grid joins against.  Computed with
+    window functions (one exchange per dimension, one global window over the
+    configuration-sized table) instead of separate aggregations and joins.
     """
     q = questions(flat)
-    dims = dimension_order(flat).join(dimension_weights(flat).select("dimension", "weight"),
-                                      "dimension")
-    w = Window.partitionBy("dimension").orderBy("ord")
-    return (q.join(dims, "dimension")
-            .select(F.lit(concept_name).alias("concept"),
+    by_dim = Window.partitionBy("dimension")
+    q = (q.withColumn("q_pos", F.row_number().over(by_dim.orderBy("ord")).cast("bigint"))
+         .withColumn("dim_ord", F.min("ord").over(by_dim))
+         .withColumn("n_q", F.count(F.lit(1)).over(by_dim)))
+    everything = Window.partitionBy()  # rubric rows: configuration-sized
+    q = (q.withColumn("dim_pos", F.dense_rank().over(Window.orderBy("dim_ord")).cast("bigint"))
+         .withColumn("n_total", F.count(F.lit(1)).over(everything)))
+    return q.select(F.lit(concept_name).alias("concept"),
                     F.lit(concept_pos).cast("bigint").alias("concept_pos"),
                     F.lit(DEFAULT_WEIGHT).alias("concept_weight"),
-                    "dimension", "dim_pos", F.col("weight").alias("dim_weight"),
+                    "dimension", "dim_pos",
+                    (F.col("n_q") / F.col("n_total")).alias("dim_weight"),
                     F.col("label").alias("question_label"), "question",
-                    "positive_contribution", "examples",
-                    F.row_number().over(w).cast("bigint").alias("q_pos")))
+                    "positive_contribution", "examples", "q_pos")
 
 
 def nest_rubric(flat: DataFrame, concept_name: str) -> DataFrame:
