@@ -22,15 +22,11 @@ def _sorted(pos: str, value) -> F.Column:
                        lambda s: s["v"])
 
 
-def assemble_text_evals(question_scores: DataFrame, texts: DataFrame | None = None,
-                        rubric_doc: DataFrame | None = None, models_used: list[str] | None = None,
-                        system_prompt: str = "", base_prompt: str = "",
-                        timestamp: str | None = None, weighted: bool = False) -> DataFrame:
-    """One row per text with the TextEval fields.
-
-    A failed rater keeps its ModelEval struct with NULL scores (the
-    reference stores ``null`` instead; readers accept both).
-    """
+def model_documents(question_scores: DataFrame, weighted: bool = False) -> DataFrame:
+    """The roll-up with nested children: one row per (text, rater) with
+    ``score, model_pos, weight, status`` and ``concepts_scores`` (concept ->
+    dimension -> question structs, in rubric order).  One chain of three
+    aggregations, all keyed by a ``label`` prefix."""
     q = question_scores
     qv = F.struct(F.col("question_label").alias("label"), "question", "answer", "score",
                   "logprob", "positive_contribution")
@@ -41,7 +37,19 @@ def assemble_text_evals(question_scores: DataFrame, texts: DataFrame | None = No
                                      extra={"dimensions": _sorted("dim_pos", dv)})
     cv = F.struct(F.col("concept").alias("concept_description"), "dimensions",
                   F.col("score").alias("overall_score"), "weight")
-    models = rollup.model_scores(concepts, extra={"concepts_scores": _sorted("concept_pos", cv)})
+    return rollup.model_scores(concepts, extra={"concepts_scores": _sorted("concept_pos", cv)})
+
+
+def assemble_text_evals(question_scores: DataFrame, texts: DataFrame | None = None,
+                        rubric_doc: DataFrame | None = None, models_used: list[str] | None = None,
+                        system_prompt: str = "", base_prompt: str = "",
+                        timestamp: str | None = None, weighted: bool = False) -> DataFrame:
+    """One row per text with the TextEval fields.
+
+    A failed rater keeps its ModelEval struct with NULL scores (the
+    reference stores ``null`` instead; readers accept both).
+    """
+    models = model_documents(question_scores, weighted)
     mv = F.struct(F.col("model").alias("model_name"), "concepts_scores",
                   F.col("score").alias("overall_score"), "weight")
     entry = F.struct(F.col("model").alias("k"), mv.alias("v"))

@@ -20,46 +20,57 @@ def _null() -> F.Column:
     return F.lit(None).cast("string")
 
 
+def _rows(model_score, concepts) -> F.Column:
+    """All flat rows of one rater of one text as an array of structs: the
+    rater total, then concept, dimension and question rows.  Missing lists
+    count as empty."""
+    def empty(x):
+        return F.coalesce(x, F.array())
+
+    def row(concept, dimension, question, score, level):
+        return F.struct(concept.cast("string").alias("concept"),
+                        dimension.cast("string").alias("dimension"),
+                        question.cast("string").alias("question"),
+                        score.cast("double").alias("score"), F.lit(level).alias("level"))
+
+    none = F.lit(None)
+    cs = empty(concepts)
+    top = F.array(row(F.lit(TEXT_CONCEPT), none, none, model_score, "model"))
+    crow = F.transform(cs, lambda c: row(c["concept_description"], none, none, c["overall_score"],
+                                         "concept"))
+    drow = F.flatten(F.transform(cs, lambda c: F.transform(
+        empty(c["dimensions"]), lambda d: row(c["concept_description"], d["dimension_description"],
+                                              none, d["overall_score"], "dimension"))))
+    qrow = F.flatten(F.transform(cs, lambda c: F.flatten(F.transform(
+        empty(c["dimensions"]), lambda d: F.transform(
+            empty(d["questions"]), lambda q: row(c["concept_description"], d["dimension_description"],
+                                                 q["label"], q["score"], "question"))))))
+    return F.concat(top, crow, drow, qrow)
+
+
+def flat_from_model_documents(models: DataFrame) -> DataFrame:
+    """CMP1 in one pass: one generator over the nested per-rater rows."""
+    return models.select("label", "model", F.inline(_rows(F.col("score"), F.col("concepts_scores"))))
+
+
 def flat_scores(evaluation) -> DataFrame:
-    """CMP1 from the long tables of an :class:`Evaluation` (stored scores)."""
-    m = evaluation.model_scores.select(
-        "label", "model", F.lit(TEXT_CONCEPT).alias("concept"), _null().alias("dimension"),
-        _null().alias("question"), "score", F.lit("model").alias("level"))
-    c = evaluation.concept_scores.select(
-        "label", "model", "concept", _null().alias("dimension"), _null().alias("question"),
-        "score", F.lit("concept").alias("level"))
-    d = evaluation.dimension_scores.select(
-        "label", "model", "concept", "dimension", _null().alias("question"), "score",
-        F.lit("dimension").alias("level"))
-    q = evaluation.question_scores.select(
-        "label", "model", "concept", "dimension", F.col("question_label").alias("question"),
-        "score", F.lit("question").alias("level"))
-    return m.unionByName(c).unionByName(d).unionByName(q)
+    """CMP1 from an :class:`Evaluation` (stored, staged scores).
+
+    The staged roll-up runs once and every level is generated from its
+    nested output, so the texts are read and scored once (a union of four
+    levels would run the scorer once per level)."""
+    from .assemble import model_documents
+    return flat_from_model_documents(
+        model_documents(evaluation.question_scores, evaluation.weighted)).select(*FLAT_COLUMNS)
 
 
 def flatten_text_evals(te: DataFrame) -> DataFrame:
     """CMP1 from nested TextEval rows: question column = question *label*,
     model = ``model_name`` (map key if the value is NULL).  NULL model values
-    and empty lists are tolerated (one NULL row, no children)."""
+    and empty lists are tolerated (one NULL row, no children).  One pass."""
     m = te.select("label", F.explode_outer("evaluations").alias("model_key", "me"))
-    m = m.select("label", F.coalesce(F.col("me.model_name"), F.col("model_key")).alias("model"), "me")
-    model_rows = m.select("label", "model", F.lit(TEXT_CONCEPT).alias("concept"),
-                          _null().alias("dimension"), _null().alias("question"),
-                          F.col("me.overall_score").alias("score"), F.lit("model").alias("level"))
-    c = m.select("label", "model", F.explode("me.concepts_scores").alias("c"))
-    concept_rows = c.select("label", "model", F.col("c.concept_description").alias("concept"),
-                            _null().alias("dimension"), _null().alias("question"),
-                            F.col("c.overall_score").alias("score"), F.lit("concept").alias("level"))
-    d = c.select("label", "model", F.col("c.concept_description").alias("concept"),
-                 F.explode("c.dimensions").alias("d"))
-    dim_rows = d.select("label", "model", "concept",
-                        F.col("d.dimension_description").alias("dimension"), _null().alias("question"),
-                        F.col("d.overall_score").alias("score"), F.lit("dimension").alias("level"))
-    q = d.select("label", "model", "concept", F.col("d.dimension_description").alias("dimension"),
-                 F.explode("d.questions").alias("q"))
-    q_rows = q.select("label", "model", "concept", "dimension", F.col("q.label").alias("question"),
-                      F.col("q.score").alias("score"), F.lit("question").alias("level"))
-    return model_rows.unionByName(concept_rows).unionByName(dim_rows).unionByName(q_rows)
+    return m.select("label", F.coalesce(F.col("me.model_name"), F.col("model_key")).alias("model"),
+                    F.inline(_rows(F.col("me.overall_score"), F.col("me.concepts_scores"))))
 
 
 def eval_rows(te: DataFrame) -> DataFrame:

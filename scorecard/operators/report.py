@@ -61,47 +61,60 @@ def profile_polar(prof: DataFrame, min_dimensions: int = MIN_PROFILE_DIMENSIONS)
                      F.col("p.score").alias("score"))
 
 
-def _pad(c: str) -> Column:
-    return F.lpad(F.col(c).cast("string"), 3, "0")
+def _pad(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.lpad(c.cast("string"), 3, "0")
+
+
+def _line(path, depth: int, kind: str, name, score, answer, text) -> Column:
+    return F.struct(path.alias("sort_path"), F.lit(depth).cast("bigint").alias("depth"),
+                    F.lit(kind).alias("kind"), name.cast("string").alias("name"),
+                    score.cast("double").alias("score"), answer.cast("string").alias("answer"),
+                    text.alias("line"))
 
 
 def report_lines(evaluation, texts: DataFrame | None = None) -> DataFrame:
     """RP2: the pre-order report (text -> rater -> concept -> dimension ->
     question) as rows ``label, sort_path, depth, kind, name, score, band,
-    answer, line``; ``orderBy(label, sort_path)`` gives the printed order."""
-    q = evaluation.question_scores
-    lines = []
+    answer, line``; ``orderBy(label, sort_path)`` gives the printed order.
+
+    ``sort_path`` holds 1-based positions within the parent (rater position,
+    then concept, dimension, question).  The rows are generated in one pass
+    from the staged roll-up's nested output."""
+    from .assemble import model_documents
+    models = model_documents(evaluation.question_scores, evaluation.weighted)
+    none = F.lit(None)
+    mp = _pad("model_pos")
+
+    def questions(d, cpath, di):
+        dpath = F.concat_ws(".", cpath, _pad(di + 1))
+        return F.transform(F.coalesce(d["questions"], F.array()), lambda q, qi: _line(
+            F.concat_ws(".", dpath, _pad(qi + 1)), 3, "question", q["question"], q["score"],
+            q["answer"], F.concat(F.lit("\t\t\tQuestion: "), q["question"])))
+
+    def dimensions(c, ci):
+        cpath = F.concat_ws(".", mp, _pad(ci + 1))
+        return F.concat(
+            F.array(_line(cpath, 1, "concept", c["concept_description"], c["overall_score"], none,
+                          F.concat(F.lit("\tConcept: "), c["concept_description"]))),
+            F.flatten(F.transform(F.coalesce(c["dimensions"], F.array()), lambda d, di: F.concat(
+                F.array(_line(F.concat_ws(".", cpath, _pad(di + 1)), 2, "dimension",
+                              d["dimension_description"], d["overall_score"], none,
+                              F.concat(F.lit("\t\tDimension: "), d["dimension_description"]))),
+                questions(d, cpath, di)))))
+
+    rows = F.concat(
+        F.array(_line(mp, 0, "model", F.col("model"), F.col("score"), none,
+                      F.concat(F.lit("Model: "), F.col("model")))),
+        F.flatten(F.transform(F.coalesce(F.col("concepts_scores"), F.array()), dimensions)))
+    out = models.select("label", F.inline(rows))
     if texts is not None:
-        lines.append(texts.select(
+        header = texts.select(
             "label", F.lit("000").alias("sort_path"), F.lit(0).cast("bigint").alias("depth"),
             F.lit("text").alias("kind"), F.lit(None).cast("string").alias("name"),
             F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("answer"),
-            F.concat(F.lit("Input Text: "), F.coalesce(F.col("input_text"), F.lit(""))).alias("line")))
-    m = evaluation.model_scores
-    lines.append(m.select("label", _pad("model_pos").alias("sort_path"),
-                          F.lit(0).cast("bigint").alias("depth"), F.lit("model").alias("kind"),
-                          F.col("model").alias("name"), "score",
-                          F.lit(None).cast("string").alias("answer"),
-                          F.concat(F.lit("Model: "), F.col("model")).alias("line")))
-    c = evaluation.concept_scores
-    lines.append(c.select("label", F.concat_ws(".", _pad("model_pos"), _pad("concept_pos")).alias("sort_path"),
-                          F.lit(1).cast("bigint").alias("depth"), F.lit("concept").alias("kind"),
-                          F.col("concept").alias("name"), "score",
-                          F.lit(None).cast("string").alias("answer"),
-                          F.concat(F.lit("\t"), F.lit("Concept: "), F.col("concept")).alias("line")))
-    d = evaluation.dimension_scores
-    lines.append(d.select("label", F.concat_ws(".", _pad("model_pos"), _pad("concept_pos"), _pad("dim_pos"))
-                          .alias("sort_path"),
-                          F.lit(2).cast("bigint").alias("depth"), F.lit("dimension").alias("kind"),
-                          F.col("dimension").alias("name"), "score",
-                          F.lit(None).cast("string").alias("answer"),
-                          F.concat(F.lit("\t\t"), F.lit("Dimension: "), F.col("dimension")).alias("line")))
-    lines.append(q.select("label", F.concat_ws(".", _pad("model_pos"), _pad("concept_pos"), _pad("dim_pos"),
-                                               _pad("q_pos")).alias("sort_path"),
-                          F.lit(3).cast("bigint").alias("depth"), F.lit("question").alias("kind"),
-                          F.col("question").alias("name"), "score", "answer",
-                          F.concat(F.lit("\t\t\t"), F.lit("Question: "), F.col("question")).alias("line")))
-    out = reduce(lambda a, b: a.unionByName(b), lines)
+            F.concat(F.lit("Input Text: "), F.coalesce(F.col("input_text"), F.lit(""))).alias("line"))
+        out = header.unionByName(out)
     return out.withColumn("band", score_band("score"))
 
 
@@ -110,6 +123,14 @@ def count_rows(df: DataFrame, reason: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(reason).alias("reason"), "n")
 
 
+def unpivot_counts(counts: DataFrame) -> DataFrame:
+    """One-row frame of named counts -> ``(reason, n)`` rows."""
+    cols = counts.columns
+    expr = "stack({}, {}) AS (reason, n)".format(
+        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols))
+    return counts.selectExpr(expr)
+
+
 def quality_report(parts: list[DataFrame]) -> DataFrame:
     """QA1: union of ``(reason, n)`` rows."""
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -436,17 +436,20 @@ def _pad(c: str) -> str:
 
 def report_sql() -> str:
     n = "CAST(NULL AS VARCHAR)"
+    cp = "dense_rank() OVER (PARTITION BY label, model ORDER BY concept_pos)"
+    dp = "dense_rank() OVER (PARTITION BY label, model, concept ORDER BY dim_pos)"
+    qp = "row_number() OVER (PARTITION BY label, model, concept, dimension ORDER BY q_pos)"
     return f"""SELECT *, {band_sql()} AS band FROM (
 SELECT CAST(doc_id AS VARCHAR) AS label, '000' AS sort_path, CAST(0 AS BIGINT) AS depth, 'text' AS kind,
        {n} AS name, CAST(NULL AS DOUBLE) AS score, {n} AS answer, 'Input Text: ' || coalesce(text, '') AS line
   FROM documents
 UNION ALL SELECT label, {_pad('model_pos')}, CAST(0 AS BIGINT), 'model', model, score, {n}, 'Model: ' || model FROM ms
-UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')}, CAST(1 AS BIGINT), 'concept', concept,
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad(cp)}, CAST(1 AS BIGINT), 'concept', concept,
        score, {n}, chr(9) || 'Concept: ' || concept FROM cs
-UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')} || '.' || {_pad('dim_pos')},
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad(cp)} || '.' || {_pad(dp)},
        CAST(2 AS BIGINT), 'dimension', dimension, score, {n}, chr(9) || chr(9) || 'Dimension: ' || dimension FROM ds
-UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad('concept_pos')} || '.' || {_pad('dim_pos')} || '.' ||
-       {_pad('q_pos')}, CAST(3 AS BIGINT), 'question', question, score, answer,
+UNION ALL SELECT label, {_pad('model_pos')} || '.' || {_pad(cp)} || '.' || {_pad(dp)} || '.' ||
+       {_pad(qp)}, CAST(3 AS BIGINT), 'question', question, score, answer,
        chr(9) || chr(9) || chr(9) || 'Question: ' || question FROM qs)"""
 
 

@@ -424,24 +424,24 @@ def q_report_lines(spark, sf_dir):
 
 @query("quality_report")
 def q_quality_report(spark, sf_dir):
+    """QA1: one aggregation per source, unpivoted to ``(reason, n)`` rows."""
     raw = fx.h_raw(spark, sf_dir)
-    rej = rejected_rows(raw)
-    parts = [rp.count_rows(rej.where(F.col("reject_reason") == r), f"sheet_{r}")
-             for r in ("short_row", "empty_cell", "bad_cast")]
-    parts.append(superseded_count(raw).select(F.lit("sheet_superseded").alias("reason"), "n"))
-    kept = clean_ratings(raw)
-    parts.append(rp.count_rows(kept.where((F.col("score") < 1) | (F.col("score") > 5)),
-                               "rating_out_of_range"))
-    hq = d_human(spark, sf_dir).question_scores
-    parts.append(rp.count_rows(hq.where(~F.col("matched")), "missing_rating"))
-    q = d_evaluation(spark, sf_dir).question_scores
-    parts.append(rp.count_rows(q.where(F.col("error").isNull() & ~F.col("matched")), "no_answer_match"))
-    parts.append(rp.count_rows(q.where(F.col("error").isNotNull()), "scorer_error"))
+    rej = rejected_rows(raw).agg(*[
+        F.count_if(F.col("reject_reason") == r).alias(f"sheet_{r}")
+        for r in ("short_row", "empty_cell", "bad_cast")])
+    kept = clean_ratings(raw).agg(
+        F.count_if((F.col("score") < 1) | (F.col("score") > 5)).alias("rating_out_of_range"))
+    hq = d_human(spark, sf_dir).question_scores.agg(
+        F.count_if(~F.col("matched")).alias("missing_rating"))
+    q = d_evaluation(spark, sf_dir).question_scores.agg(
+        F.count_if(F.col("error").isNull() & ~F.col("matched")).alias("no_answer_match"),
+        F.count_if(F.col("error").isNotNull()).alias("scorer_error"))
     cells = (fx.e_raw(spark, sf_dir).groupBy("label", "model", "concept", "dimension", "question")
-             .agg(F.count(F.lit(1)).alias("c")))
-    parts.append(cells.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("n"))
-                 .select(F.lit("duplicate_cell").alias("reason"), "n"))
-    return rp.quality_report(parts)
+             .agg(F.count(F.lit(1)).alias("c"))
+             .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicate_cell")))
+    sup = superseded_count(raw).withColumnRenamed("n", "sheet_superseded")
+    parts = [rej, sup, kept, hq, q, cells]
+    return rp.quality_report([rp.unpivot_counts(p) for p in parts])
 
 
 # ------------------------------------------------- phase 8: cache, tokens, prompts
