@@ -37,8 +37,8 @@ def profile(flat: DataFrame, concept: str, models: list[str], dim_order: DataFra
     dims = (f.where(F.col("dimension").isNotNull() & (F.col("dimension") != ""))
             .select("label", "dimension").distinct()
             .join(F.broadcast(dim_order), "dimension", "left"))
-    raters = f.sparkSession.createDataFrame([(m,) for m in models], "model string")
-    grid = dims.crossJoin(F.broadcast(raters))  # models: a short config list
+    # models: a short config list, expanded in place (no join)
+    grid = dims.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     scores = f.where(F.col("level") == "dimension").select("label", "model", "dimension", "score")
     return (grid.join(scores, ["label", "model", "dimension"], "left")
             .select("label", "model", "dimension", "dim_pos",

@@ -325,8 +325,9 @@ E_DIGITS = 9  # error means on a 1e-9 grid: exact, identical under any partition
 
 
 def e_long(spark, sf_dir):
-    """Fixture E cells plus the aggregate pseudo-rater (6-digit means)."""
-    return with_aggregate(fx.e_scores(spark, sf_dir), E_OTHERS, digits=6)
+    """Fixture E cells (FL5: rows with a dimension) plus the aggregate
+    pseudo-rater (exact 1e-6 grid means)."""
+    return with_aggregate(flt.with_dimension(fx.e_scores(spark, sf_dir)), E_OTHERS, digits=6)
 
 
 @query("wide_by_model")

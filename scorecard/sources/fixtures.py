@@ -14,6 +14,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.numeric import grid_mean
 from ..operators.grid import QUESTION_PROMPT_TEMPLATE, SYSTEM_PROMPT_TEMPLATE
@@ -63,11 +64,20 @@ def _config(spark: SparkSession, name: str, build) -> DataFrame:
     return _CONFIG[key]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table built from literals inside the JVM (no Python-side
+    RDD): ``inline`` of an array of literal structs."""
+    st = StructType.fromDDL(schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def d_flat_rubric(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(D_RUBRIC_ROWS)]
-    return _config(spark, "d_flat_rubric", lambda: spark.createDataFrame(
-        rows, "ord bigint, Dimension string, Label string, Question string, "
-              "positive_contribution boolean, Examples string"))
+    return _config(spark, "d_flat_rubric", lambda: literal_table(
+        spark, rows, "ord bigint, Dimension string, Label string, Question string, "
+                     "positive_contribution boolean, Examples string"))
 
 
 def d_rubric(spark: SparkSession) -> DataFrame:
@@ -75,8 +85,8 @@ def d_rubric(spark: SparkSession) -> DataFrame:
 
 
 def d_raters(spark: SparkSession) -> DataFrame:
-    return _config(spark, "d_raters", lambda: spark.createDataFrame(
-        D_RATERS, "model string, model_pos bigint, k double, max_chars bigint"))
+    return _config(spark, "d_raters", lambda: literal_table(
+        spark, D_RATERS, "model string, model_pos bigint, k double, max_chars bigint"))
 
 
 def d_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,3 +133,12 @@ def test_pandas_scorer_isolates_failures(spark):
 def test_shared_path_under_checkpoint_dir(spark):
     p = shared_path(spark, "x")
     assert local_path(spark.sparkContext.getCheckpointDir()) in local_path(p)
+
+
+def test_available_files_strips_directory_and_suffix(spark, tmpdir_path):
+    from scorecard.sources.readers import available_files
+    for name in ("epson_printer.json", "b1 voorbeeld.json", "notes.txt"):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write("[]")
+    got = sorted(r["file"] for r in available_files(spark, tmpdir_path).collect())
+    assert got == ["b1 voorbeeld", "epson_printer"]
