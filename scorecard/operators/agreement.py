@@ -71,14 +71,19 @@ def abs_diff(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> Da
 
 
 def outlier_scores(long: DataFrame, reference: str, excluded: str,
-                   keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
+                   keys: list[str] = WIDE_KEYS, digits: int | None = None,
+                   raters: list[str] | None = None) -> DataFrame:
     """AG4: per cell, max / mean of the rater differences and the mean
     without one rater; NULL when a cell has no difference at all.
-    ``digits``: exact grid means (see ``grid_mean``)."""
+    ``raters`` adds one ``diff_<rater>`` column each (AG3 in wide form),
+    computed in the same aggregation.  ``digits``: exact grid means."""
     diffs = abs_diff(long, reference, keys)
+    per_rater = [F.max(F.when(F.col("model") == r, F.col("diff"))).alias(f"diff_{r}")
+                 for r in (raters or [])]
     summary = diffs.groupBy(*keys).agg(
         F.max("diff").alias("max_diff"), grid_mean("diff", digits).alias("mean_diff"),
-        grid_mean(F.when(F.col("model") != excluded, F.col("diff")), digits).alias("avg_diff_excl"))
+        grid_mean(F.when(F.col("model") != excluded, F.col("diff")), digits).alias("avg_diff_excl"),
+        *per_rater)
     cells = long.select(*keys).distinct()
     return cells.join(summary, keys, "left")
 
@@ -88,27 +93,22 @@ def outliers_top(long: DataFrame, reference: str, excluded: str, raters: list[st
     """AG5: the ``n`` cells with the largest ``max_diff`` (NULLs last, ties by
     key), with one ``diff_<rater>`` column per other rater.  A top-k report:
     the limit is the feature (ordered top-k per partition, then merged)."""
-    scores = outlier_scores(long, reference, excluded, keys, digits)
-    top = scores.orderBy(F.desc_nulls_last("max_diff"), *keys).limit(n)
-    wide = (abs_diff(long, reference, keys).join(top.select(*keys), keys, "left_semi")
-            .groupBy(*keys).pivot("model", raters).agg(F.first("diff"))
-            .select(*keys, *[F.col(r).alias(f"diff_{r}") for r in raters]))
-    return top.join(wide, keys, "left").select(
-        *keys, *[f"diff_{r}" for r in raters], "max_diff", "mean_diff")
+    scores = outlier_scores(long, reference, excluded, keys, digits, raters)
+    return (scores.orderBy(F.desc_nulls_last("max_diff"), *keys).limit(n)
+            .select(*keys, *[f"diff_{r}" for r in raters], "max_diff", "mean_diff"))
 
 
 def error_by_dimension(long: DataFrame, reference: str, excluded: str, raters: list[str],
                        keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
     """AG6: per dimension, the mean of every ``diff_<rater>`` and of the
-    three row summaries (``avg_<column>``), NULLs ignored."""
-    per_rater = (abs_diff(long, reference, keys).groupBy("dimension")
-                 .pivot("model", raters).agg(grid_mean("diff", digits))
-                 .select("dimension", *[F.col(r).alias(f"avg_diff_{r}") for r in raters]))
-    summ = outlier_scores(long, reference, excluded, keys, digits).groupBy("dimension").agg(
+    three row summaries (``avg_<column>``), NULLs ignored.  One aggregation
+    over the per-cell rows of AG4."""
+    cells = outlier_scores(long, reference, excluded, keys, digits, raters)
+    return cells.groupBy("dimension").agg(
         grid_mean("mean_diff", digits).alias("avg_mean_diff"),
         grid_mean("max_diff", digits).alias("avg_max_diff"),
-        grid_mean("avg_diff_excl", digits).alias("avg_avg_diff_excl"))
-    return summ.join(per_rater, "dimension", "left")
+        grid_mean("avg_diff_excl", digits).alias("avg_avg_diff_excl"),
+        *[grid_mean(f"diff_{r}", digits).alias(f"avg_diff_{r}") for r in raters])
 
 
 def error_totals(by_dimension: DataFrame, digits: int | None = None) -> DataFrame:
