@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import grid_mean, grid_sum, pearson
 from ..functions.ranking import distinct_value_ranks
+from ..session import ensure_checkpoint_dir
 from .compare import AGGREGATE_MODEL, WIDE_KEYS
 
 
@@ -27,10 +28,17 @@ def complete_pairs(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS)
     return other.select(*keys, "model", "score").join(ref, keys, "inner")
 
 
-def spearman(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
+def spearman(pairs: DataFrame, group_cols: list[str], checkpoint: bool = True) -> DataFrame:
     """Spearman rank correlation per group: average-tie ranks of both sides
     within the group's complete pairs, then Pearson of the ranks.  Constant
-    ranks or fewer than two pairs give NULL."""
+    ranks or fewer than two pairs give NULL.
+
+    The pairs feed three consumers (ranks of each side, the join back, the
+    correlation); with ``checkpoint`` they are written once to the shared
+    checkpoint folder instead of being recomputed from the inputs."""
+    if checkpoint:
+        ensure_checkpoint_dir(pairs.sparkSession)
+        pairs = pairs.checkpoint(eager=True)
     # both sides ranked in one pass (one range partitioning, one checkpoint)
     sides = (pairs.select(*group_cols, F.lit("s").alias("_side"), F.col("score").alias("_v"))
              .unionByName(pairs.select(*group_cols, F.lit("r").alias("_side"),

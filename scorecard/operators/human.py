@@ -72,7 +72,9 @@ def human_question_scores(texts: DataFrame, rubric: DataFrame, ratings: DataFram
     label partitioning for the roll-up.  A missing sheet or question label
     gives a NULL score instead of the reference's KeyError/TypeError.
     """
-    base = texts.select("label").join(ratings_by_text(ratings), "label", "left")
+    # label-partitioned texts: whichever join Spark picks (broadcast of the
+    # ratings or sort-merge), the grid keeps this partitioning for the roll-up
+    base = texts.select("label").repartition("label").join(ratings_by_text(ratings), "label", "left")
     grid = base.crossJoin(F.broadcast(rubric))
     rating = F.try_element_at(F.col("ratings"), F.col("question_label"))
     pc = F.col("positive_contribution")
