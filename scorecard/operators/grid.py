@@ -21,9 +21,21 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
+_SIZES: dict[tuple, int] = {}
+
+
+def config_rows(df: DataFrame) -> int:
+    """Row count of a configuration table, remembered per plan (the same
+    rubric and raters are size-checked once per application)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _SIZES:
+        _SIZES[key] = df.count()
+    return _SIZES[key]
+
+
 def expand(left: DataFrame, right: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every left row x every row of a configuration table (size-checked)."""
-    n = right.count()  # size check on a configuration table
+    n = config_rows(right)  # size check on a configuration table
     if n <= max_rows:
         return left.crossJoin(F.broadcast(right))
     return left.crossJoin(right)
@@ -40,7 +52,7 @@ def evaluation_grid(texts: DataFrame, raters: DataFrame, rubric: DataFrame,
     by_label = (texts.repartition(num_partitions, "label") if num_partitions
                 else texts.repartition("label"))
     config = raters.crossJoin(F.broadcast(rubric)).cache()
-    if config.count() <= max_broadcast_rows:  # size check, materialises the cache
+    if config_rows(config) <= max_broadcast_rows:  # size check
         return by_label.crossJoin(F.broadcast(config))
     config.unpersist()
     return expand(expand(by_label, raters, max_broadcast_rows), rubric, max_broadcast_rows)
