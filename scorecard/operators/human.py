@@ -74,6 +74,10 @@ def human_question_scores(texts: DataFrame, rubric: DataFrame, ratings: DataFram
     """
     # label-partitioned texts: whichever join Spark picks (broadcast of the
     # ratings or sort-merge), the grid keeps this partitioning for the roll-up
+    # only ratings of rubric questions: keeps each text's map bounded by the
+    # rubric even if a sheet carries many unrelated rows
+    known = F.broadcast(rubric.select(F.col("question_label").alias("label")).distinct())
+    ratings = ratings.join(known, "label", "left_semi")
     base = texts.select("label").repartition("label").join(ratings_by_text(ratings), "label", "left")
     grid = base.crossJoin(F.broadcast(rubric))
     rating = F.try_element_at(F.col("ratings"), F.col("question_label"))

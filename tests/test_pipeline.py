@@ -142,3 +142,33 @@ def test_available_files_strips_directory_and_suffix(spark, tmpdir_path):
             f.write("[]")
     got = sorted(r["file"] for r in available_files(spark, tmpdir_path).collect())
     assert got == ["b1 voorbeeld", "epson_printer"]
+
+
+def test_long_tables_sink_cache_append_and_strict_sheets(spark, tmpdir_path):
+    from scorecard.operators import cache as ch
+    from scorecard.operators.filters import ordered_dimensions
+    from scorecard.operators.human import missing_sheets
+    from scorecard.sources.sinks import write_long_tables
+
+    ev = Q.d_evaluation(spark, SF001)
+    out = os.path.join(tmpdir_path, "tables")
+    write_long_tables({"text_scores": ev.text_scores, "dimension_scores": ev.dimension_scores},
+                      out, "2024-05-01")
+    back = spark.read.parquet(f"{out}/text_scores")
+    assert back.where("run_date = DATE'2024-05-01'").count() == ev.text_scores.count()
+
+    keyed = Q.d_keyed_responses(spark, SF001)
+    first = keyed.where(F.col("label").cast("bigint") % 2 == 0)
+    cache = ch.unique(first.select("cache_key", "top_logprobs", "error"))
+    grown = ch.append(cache, keyed)
+    n_keys = keyed.select("cache_key").distinct().count()
+    assert grown.count() == n_keys and grown.select("cache_key").distinct().count() == n_keys
+    assert ch.missing(keyed, grown).count() == 0
+
+    texts = fx.d_texts(spark, SF001)
+    ratings = fx.d_ratings(spark, SF001)
+    n_labelled = spark.read.parquet(f"{SF001}/labels.parquet").count()
+    assert missing_sheets(texts, ratings).count() == texts.count() - n_labelled
+
+    dims = {r["dimension"]: r["dim_pos"] for r in ordered_dimensions(ev.dimension_scores).collect()}
+    assert dims == {"sentences": 1, "words": 2, "structure": 3}
