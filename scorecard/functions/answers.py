@@ -63,6 +63,32 @@ def answer_columns(top_logprobs="top_logprobs",
     }
 
 
+def with_answers(df, top_logprobs="top_logprobs", positive="positive_contribution",
+                 negative_mode: str = "reference"):
+    """Add ``answer, score, logprob, matched`` to ``df``.
+
+    The matching candidate (a higher-order ``filter``, evaluated row by row)
+    is computed once into a column and then read four times."""
+    m = first_match(top_logprobs, positive)
+    last = F.try_element_at(_c(top_logprobs), F.lit(-1))["token"]
+    staged = df.withColumns({"_match": m, "_last_token": last})
+    mc = F.col("_match")
+    p = _c(positive)
+    prob = round3(F.exp(mc["logprob"]))
+    if negative_mode == "reference":
+        neg = F.lit(1.0) - prob
+    elif negative_mode == "aligned":
+        neg = prob
+    else:
+        raise ValueError(f"unknown negative_mode {negative_mode!r}")
+    return staged.withColumns({
+        "answer": F.coalesce(mc["token"], F.lower(F.col("_last_token"))),
+        "score": F.when(p, prob).when(~p, neg),
+        "logprob": mc["logprob"],
+        "matched": mc.isNotNull(),
+    }).drop("_match", "_last_token")
+
+
 def token_table(df, n: int, keep: list[str], top_logprobs="top_logprobs"):
     """Top-``n`` candidate table: 1-based ``rank``, token, logprob and
     probability in percent rounded to 2 decimals (half-to-even)."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.answers import answer_columns, token_table
+from ..functions.answers import token_table, with_answers
 from .grid import prompt_columns
 
 
@@ -87,7 +87,8 @@ class RuleScorer(Scorer):
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
     def respond(self, grid: DataFrame) -> DataFrame:
-        top = binary_candidates(self.probability(grid))
+        grid = grid.withColumn("_p", self.probability(grid))  # computed once per row
+        top = binary_candidates(F.col("_p"))
         if self.abstain is not None:
             top = F.when(self.abstain(), candidates(
                 (self.abstain_token, F.log(F.lit(self.abstain_p))))).otherwise(top)
@@ -96,7 +97,7 @@ class RuleScorer(Scorer):
         else:
             err = F.lit(None).cast("string")
         return grid.withColumn("error", err).withColumn(
-            "top_logprobs", F.when(F.col("error").isNull(), top))
+            "top_logprobs", F.when(F.col("error").isNull(), top)).drop("_p")
 
 
 RESPONSE_FIELDS = [T.StructField("top_logprobs", schemas.TOP_LOGPROBS, True),
@@ -148,7 +149,7 @@ class PandasScorer(Scorer):
 
 def score_responses(responses: DataFrame, negative_mode: str = "reference") -> DataFrame:
     """EV5-EV10: responses -> answer, score, logprob, matched."""
-    return responses.withColumns(answer_columns(negative_mode=negative_mode))
+    return with_answers(responses, negative_mode=negative_mode)
 
 
 def token_probabilities(responses: DataFrame, keep: list[str], n: int = 5) -> DataFrame:
