@@ -50,13 +50,15 @@ def dim_by_text(df: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def pivot_cells(df: DataFrame, index: list[str], column: str, values: list[str],
-                value: str = "score") -> DataFrame:
+                value: str = "score", strict: bool = False) -> DataFrame:
     """PV1/PV2: ``index`` x ``values`` pivot of unique cells.
 
     Values are explicit (no discovery job).  Duplicate cells are resolved
-    by ``first`` here; :func:`duplicate_cells` counts them (the reference
-    raises on duplicates).
+    by ``first``; :func:`duplicate_cells` counts them.  ``strict=True``
+    raises on duplicates like the reference (one extra aggregation job).
     """
+    if strict and not duplicate_cells(df, index, column).isEmpty():
+        raise ValueError("pivot: duplicate cells for " + ", ".join(index + [column]))
     return df.groupBy(*index).pivot(column, values).agg(F.first(value))
 
 

@@ -76,9 +76,12 @@ def text_scores(m: DataFrame, extra: dict | None = None) -> DataFrame:
                  *[c.alias(n) for n, c in (extra or {}).items()]))
 
 
-def run_metadata(q: DataFrame, system_prompt: str, base_prompt: str) -> DataFrame:
-    """RU7: per text, the raters used and the prompt templates."""
+def run_metadata(q: DataFrame, system_prompt: str, base_prompt: str,
+                 run_date: str | None = None) -> DataFrame:
+    """RU7: per text, the raters used, the prompt templates and the run day
+    (``yyyy-MM-dd``; today unless given)."""
+    day = F.lit(run_date) if run_date else F.date_format(F.current_date(), "yyyy-MM-dd")
     return (q.groupBy("label")
             .agg(F.array_sort(F.collect_set("model")).alias("models_used"))
             .withColumns({"system_prompt": F.lit(system_prompt),
-                          "base_prompt": F.lit(base_prompt)}))
+                          "base_prompt": F.lit(base_prompt), "run_date": day}))

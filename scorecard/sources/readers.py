@@ -41,6 +41,12 @@ def read_text_evals(spark: SparkSession, paths, multiline: bool = True) -> DataF
                                                       r"\.json$", ""))
 
 
+def read_named_evals(spark: SparkSession, base_dir: str, names: list[str]) -> DataFrame:
+    """SRC3: the result files ``<base_dir>/<name>.json`` of the given names
+    (``text_key`` = name)."""
+    return read_text_evals(spark, [f"{base_dir.rstrip('/')}/{n}.json" for n in names])
+
+
 def read_flat_scores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """SRC5: long comparison table; empty cells are NULL."""
     if fmt == "parquet":

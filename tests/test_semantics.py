@@ -114,3 +114,18 @@ def test_sheet_cleaning_last_wins_and_rejects(spark):
     assert got == {"q1": 2, "q4": 5}
     reasons = sorted(r["reject_reason"] for r in rejected_rows(raw).collect())
     assert reasons == ["bad_cast", "bad_cast", "empty_cell", "empty_cell", "short_row"]
+
+
+def test_strict_options(spark):
+    from scorecard.operators.analysis import pivot_cells
+
+    cells = spark.createDataFrame([("q", "a", 0.1), ("q", "a", 0.2), ("r", "a", 0.3)],
+                                  "question string, text_key string, score double")
+    assert pivot_cells(cells.where("question = 'r'"), ["question"], "text_key", ["a"],
+                       strict=True).count() == 1
+    with pytest.raises(ValueError):
+        pivot_cells(cells, ["question"], "text_key", ["a"], strict=True)
+    raw = spark.createDataFrame([("s", "q1", "6", 1, 3), ("s", "q2", "3", 2, 3)],
+                                "sheet string, label string, score_text string, ord bigint, n_cells bigint")
+    got = {r["label"]: r["score"] for r in clean_ratings(raw, strict_range=True).collect()}
+    assert got == {"q1": None, "q2": 3}
