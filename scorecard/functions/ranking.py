@@ -36,9 +36,11 @@ def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     counts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col)
               .agg(F.count(F.lit(1)).alias("_n")))
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.repartitionByRange(n_parts, *group_cols, value_col)
-              .withColumn("_pid", F.spark_partition_id()))
+    # without an explicit count AQE may merge adjacent ranges, which keeps
+    # the range order the prefix sum relies on
+    ranged = (counts.repartitionByRange(num_partitions, *group_cols, value_col) if num_partitions
+              else counts.repartitionByRange(*group_cols, value_col))
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     if checkpoint:
         ensure_checkpoint_dir(spark)
         ranged = ranged.checkpoint(eager=True)
