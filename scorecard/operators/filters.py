@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +44,14 @@ def with_dimension(df: DataFrame) -> DataFrame:
 
 
 def distinct_options(df: DataFrame, columns: list[str]) -> DataFrame:
-    """DS1: the distinct values of each column as ``(kind, value)`` rows."""
-    parts = [df.select(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")).distinct()
-             for c in columns]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """DS1: the distinct values of each column as ``(kind, value)`` rows.
+
+    One scan: every row is expanded into its ``(kind, value)`` pairs and a
+    single distinct (partial aggregation before the shuffle) removes
+    duplicates."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    return df.select(F.inline(pairs)).distinct()
 
 
 def ordered_dimensions(df: DataFrame, order_col: str = "dim_pos",
