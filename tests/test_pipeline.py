@@ -172,3 +172,18 @@ def test_long_tables_sink_cache_append_and_strict_sheets(spark, tmpdir_path):
 
     dims = {r["dimension"]: r["dim_pos"] for r in ordered_dimensions(ev.dimension_scores).collect()}
     assert dims == {"sentences": 1, "words": 2, "structure": 3}
+
+
+def test_persisted_evaluation_and_union_with_human(spark):
+    from scorecard.plans.evaluation import evaluate_text
+
+    texts = fx.d_texts(spark, SF001)
+    ev = evaluate(texts, fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(), persist=True)
+    lazy = Q.d_evaluation(spark, SF001)
+    assert ev.text_scores.exceptAll(lazy.text_scores).count() == 0
+    both = ev.union(Q.d_human(spark, SF001))
+    n = {r["label"]: r["n"] for r in both.model_scores.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert set(n.values()) == {4}
+    one = evaluate_text(spark, "Short text. Two sentences here!", "x", fx.d_rubric(spark),
+                        fx.d_raters(spark), fx.d_scorer())
+    assert one.text_scores.count() == 1
