@@ -107,3 +107,45 @@ def evaluate_text(spark, text: str, label: str, rubric: DataFrame, raters: DataF
 
 __all__ = ["Evaluation", "evaluate", "evaluate_human", "evaluate_text", "responses",
            "QUESTION_COLUMNS", "F"]
+
+
+def read_cache(spark, path: str) -> DataFrame:
+    """The response cache at ``path``; an empty table if there is none yet."""
+    from .. import schemas
+    from pyspark.sql import types as T
+    try:
+        return spark.read.parquet(path).select("cache_key", "top_logprobs", "error")
+    except Exception as exc:  # noqa: BLE001 - only a missing path is expected here
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+        schema = T.StructType([T.StructField("cache_key", T.StringType()),
+                               T.StructField("top_logprobs", schemas.TOP_LOGPROBS),
+                               T.StructField("error", T.StringType())])
+        return spark.createDataFrame([], schema)
+
+
+def evaluate_cached(texts: DataFrame, raters: DataFrame, rubric: DataFrame, scorer: Scorer,
+                    cache_path: str, prompt_version: str, negative_mode: str = "reference",
+                    weighted: bool = False, num_partitions: int | None = None) -> Evaluation:
+    """PIPE1 with the response cache (EV14): each distinct prompt is scored
+    at most once across runs.
+
+    Grid rows get a content-addressed key; only keys missing from the cache
+    table at ``cache_path`` are scored (one row per distinct key), and the
+    new responses are appended to it (this write is where the scorer runs).
+    All rows are then answered from the cache.
+    """
+    from ..operators import cache as ch
+
+    spark = texts.sparkSession
+    prepared = scorer.prepare(spread(texts), {"text_hash": ch.text_hash()})
+    grid = ch.with_cache_key(evaluation_grid(prepared, raters, rubric, num_partitions),
+                             prompt_version)
+    todo = ch.work_keys(ch.missing(grid, read_cache(spark, cache_path)))
+    ch.write(scorer.respond(todo), cache_path, mode="append")
+    answered = (ch.lookup(grid.drop("input_text") if "input_text" in grid.columns else grid,
+                          read_cache(spark, cache_path))
+                .withColumnRenamed("cached_top_logprobs", "top_logprobs")
+                .withColumnRenamed("cached_error", "error"))
+    q = score_responses(answered, negative_mode).select(*QUESTION_COLUMNS)
+    return Evaluation(q, weighted=weighted)

@@ -187,3 +187,22 @@ def test_persisted_evaluation_and_union_with_human(spark):
     one = evaluate_text(spark, "Short text. Two sentences here!", "x", fx.d_rubric(spark),
                         fx.d_raters(spark), fx.d_scorer())
     assert one.text_scores.count() == 1
+
+
+def test_cached_evaluation_scores_each_prompt_once(spark, tmpdir_path):
+    from scorecard.operators import cache as ch
+    from scorecard.plans.evaluation import evaluate_cached, read_cache
+
+    path = os.path.join(tmpdir_path, "responses")
+    texts = fx.d_texts(spark, SF001)
+    first = evaluate_cached(texts, fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(), path,
+                            fx.PROMPT_VERSION)
+    want = Q.d_evaluation(spark, SF001).text_scores
+    assert first.text_scores.exceptAll(want).count() == 0
+    n_cached = read_cache(spark, path).count()
+    assert n_cached == read_cache(spark, path).select("cache_key").distinct().count()
+    # second run: nothing left to score, same results
+    second = evaluate_cached(texts, fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(), path,
+                             fx.PROMPT_VERSION)
+    assert read_cache(spark, path).count() == n_cached
+    assert second.text_scores.exceptAll(want).count() == 0
