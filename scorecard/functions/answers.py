@@ -33,19 +33,7 @@ def first_match(top_logprobs, positive) -> Column:
     return F.try_element_at(hits, F.lit(1))
 
 
-def answer_columns(top_logprobs="top_logprobs",
-                   positive="positive_contribution",
-                   negative_mode: str = "reference") -> dict[str, Column]:
-    """Columns ``answer, score, logprob, matched`` for one response row.
-
-    * positive: ``round3(exp(lp))`` of the ``true`` candidate;
-    * negative: ``1 - round3(exp(lp))`` of the ``false`` candidate (not
-      re-rounded), the reference formula.  ``negative_mode="aligned"`` uses
-      ``round3(exp(lp))`` of ``false`` instead, i.e. P(false).
-    * no match: score and logprob NULL, the answer is the lower-cased last
-      candidate scanned (NULL for an empty or missing list).
-    """
-    m = first_match(top_logprobs, positive)
+def _scored(m: Column, last_token: Column, positive, negative_mode: str) -> dict[str, Column]:
     p = _c(positive)
     prob = round3(F.exp(m["logprob"]))
     if negative_mode == "reference":
@@ -54,39 +42,42 @@ def answer_columns(top_logprobs="top_logprobs",
         neg = prob
     else:
         raise ValueError(f"unknown negative_mode {negative_mode!r}")
-    last = F.try_element_at(_c(top_logprobs), F.lit(-1))
     return {
-        "answer": F.coalesce(m["token"], F.lower(last["token"])),
+        "answer": F.coalesce(m["token"], F.lower(last_token)),
         "score": F.when(p, prob).when(~p, neg),
         "logprob": m["logprob"],
         "matched": m.isNotNull(),
     }
 
 
+def answer_columns(top_logprobs="top_logprobs",
+                   positive="positive_contribution",
+                   negative_mode: str = "reference") -> dict[str, Column]:
+    """Columns ``answer, score, logprob, matched`` for one response row.
+
+    * positive: ``round3(exp(lp))`` of the ``true`` candidate;
+    * negative: ``1 - round3(exp(lp))`` of the ``false`` candidate (not
+      re-rounded), the reference formula.  ``negative_mode="aligned"`` uses
+      ``round3(exp(lp))`` of ``false`` instead, i.e. P(false).
+    * no match: score and logprob NULL, the answer is the lower-cased last
+      candidate scanned (NULL for an empty or missing list).
+    """
+    last = F.try_element_at(_c(top_logprobs), F.lit(-1))["token"]
+    return _scored(first_match(top_logprobs, positive), last, positive, negative_mode)
+
+
 def with_answers(df, top_logprobs="top_logprobs", positive="positive_contribution",
                  negative_mode: str = "reference"):
-    """Add ``answer, score, logprob, matched`` to ``df``.
+    """Add ``answer, score, logprob, matched`` to ``df`` (rules as in
+    :func:`answer_columns`).
 
     The matching candidate (a higher-order ``filter``, evaluated row by row)
     is computed once into a column and then read four times."""
-    m = first_match(top_logprobs, positive)
-    last = F.try_element_at(_c(top_logprobs), F.lit(-1))["token"]
-    staged = df.withColumns({"_match": m, "_last_token": last})
-    mc = F.col("_match")
-    p = _c(positive)
-    prob = round3(F.exp(mc["logprob"]))
-    if negative_mode == "reference":
-        neg = F.lit(1.0) - prob
-    elif negative_mode == "aligned":
-        neg = prob
-    else:
-        raise ValueError(f"unknown negative_mode {negative_mode!r}")
-    return staged.withColumns({
-        "answer": F.coalesce(mc["token"], F.lower(F.col("_last_token"))),
-        "score": F.when(p, prob).when(~p, neg),
-        "logprob": mc["logprob"],
-        "matched": mc.isNotNull(),
-    }).drop("_match", "_last_token")
+    staged = df.withColumns({
+        "_match": first_match(top_logprobs, positive),
+        "_last_token": F.try_element_at(_c(top_logprobs), F.lit(-1))["token"]})
+    cols = _scored(F.col("_match"), F.col("_last_token"), positive, negative_mode)
+    return staged.withColumns(cols).drop("_match", "_last_token")
 
 
 def token_table(df, n: int, keep: list[str], top_logprobs="top_logprobs"):
