@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import rollup
 from ..operators.grid import evaluation_grid, with_temperatures
@@ -105,8 +104,8 @@ def evaluate_text(spark, text: str, label: str, rubric: DataFrame, raters: DataF
     return evaluate(texts, raters, rubric, scorer)
 
 
-__all__ = ["Evaluation", "evaluate", "evaluate_human", "evaluate_text", "responses",
-           "QUESTION_COLUMNS", "F"]
+__all__ = ["Evaluation", "evaluate", "evaluate_human", "evaluate_text", "evaluate_cached",
+           "read_cache", "responses", "QUESTION_COLUMNS"]
 
 
 def read_cache(spark, path: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,4 +71,4 @@ def local_path(path: str) -> str:
 
 
 __all__ = ["get_session", "ensure_checkpoint_dir", "shared_path", "local_path",
-           "DEFAULT_CONF", "os"]
+           "DEFAULT_CONF"]
