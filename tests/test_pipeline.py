@@ -206,3 +206,25 @@ def test_cached_evaluation_scores_each_prompt_once(spark, tmpdir_path):
                              fx.PROMPT_VERSION)
     assert read_cache(spark, path).count() == n_cached
     assert second.text_scores.exceptAll(want).count() == 0
+
+
+def test_filters_push_down_to_stored_long_tables(spark, tmpdir_path):
+    from scorecard.operators import filters as flt
+    from scorecard.sources.sinks import write_long_tables
+
+    ev = Q.d_evaluation(spark, SF001)
+    out = os.path.join(tmpdir_path, "tables")
+    write_long_tables({"question_scores": ev.question_scores.select(
+        "label", "model", "concept", "dimension", "question_label", "score")}, out, "2024-05-01")
+    write_long_tables({"question_scores": ev.question_scores.select(
+        "label", "model", "concept", "dimension", "question_label", "score")}, out, "2024-05-02")
+    stored = spark.read.parquet(f"{out}/question_scores")
+    q = (flt.filter_threshold(flt.filter_dimension(stored, "words"), 0.5)
+         .where(F.col("run_date") == F.lit("2024-05-02").cast("date"))
+         .select("label", "score"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(dimension), IsNotNull(score), EqualTo(dimension,words), " \
+           "GreaterThanOrEqual(score,0.5)]" in plan
+    assert "PartitionFilters: [isnotnull(run_date" in plan
+    assert "ReadSchema: struct<label:string,dimension:string,score:double>" in plan
+    assert q.count() == ev.question_scores.where("dimension = 'words' AND score >= 0.5").count()
