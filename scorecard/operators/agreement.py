@@ -78,20 +78,47 @@ def abs_diff(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> Da
     return pairs.select(*keys, "model", F.abs(F.col("score") - F.col("ref_score")).alias("diff"))
 
 
+def _row_mean(cols: list[F.Column], digits: int | None) -> F.Column:
+    """Mean of the non-NULL values among ``cols`` (NULL if none); with
+    ``digits`` the same exact grid arithmetic as ``grid_mean``."""
+    n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    if digits is None:
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
+        return F.when(n > 0, total / n.cast("double"))
+    factor = float(10 ** digits)
+    units = sum((F.coalesce(F.rint(c * F.lit(factor)), F.lit(0.0)) for c in cols), F.lit(0.0))
+    return F.when(n > 0, units / (n.cast("double") * F.lit(factor)))
+
+
 def outlier_scores(long: DataFrame, reference: str, excluded: str,
                    keys: list[str] = WIDE_KEYS, digits: int | None = None,
                    raters: list[str] | None = None) -> DataFrame:
     """AG4: per cell, max / mean of the rater differences and the mean
     without one rater; NULL when a cell has no difference at all.
-    ``raters`` adds one ``diff_<rater>`` column each (AG3 in wide form),
-    computed in the same aggregation.  ``digits``: exact grid means."""
+    ``digits``: exact grid means (see ``grid_mean``).
+
+    With the rater list given, one aggregation per cell pivots every rater's
+    score next to the reference score and the differences (with one
+    ``diff_<rater>`` column each, AG3 in wide form) are row expressions: one
+    shuffle, no join.  Without it, the differences come from the pair join.
+    """
+    if raters:
+        m, sc = F.col("model"), F.col("score")
+        wide = long.groupBy(*keys).agg(
+            F.max(F.when(m == reference, sc)).alias("_ref"),
+            *[F.max(F.when(m == r, sc)).alias(f"_s_{r}") for r in raters])
+        diffs = {r: F.abs(F.col(f"_s_{r}") - F.col("_ref")) for r in raters}
+        kept = [d for r, d in diffs.items() if r != excluded]
+        top = F.greatest(*diffs.values()) if len(diffs) > 1 else next(iter(diffs.values()))
+        return wide.select(
+            *keys, top.alias("max_diff"), _row_mean(list(diffs.values()), digits).alias("mean_diff"),
+            _row_mean(kept, digits).alias("avg_diff_excl") if kept else
+            F.lit(None).cast("double").alias("avg_diff_excl"),
+            *[d.alias(f"diff_{r}") for r, d in diffs.items()])
     diffs = abs_diff(long, reference, keys)
-    per_rater = [F.max(F.when(F.col("model") == r, F.col("diff"))).alias(f"diff_{r}")
-                 for r in (raters or [])]
     summary = diffs.groupBy(*keys).agg(
         F.max("diff").alias("max_diff"), grid_mean("diff", digits).alias("mean_diff"),
-        grid_mean(F.when(F.col("model") != excluded, F.col("diff")), digits).alias("avg_diff_excl"),
-        *per_rater)
+        grid_mean(F.when(F.col("model") != excluded, F.col("diff")), digits).alias("avg_diff_excl"))
     cells = long.select(*keys).distinct()
     return cells.join(summary, keys, "left")
 

@@ -362,7 +362,8 @@ def q_abs_diff(spark, sf_dir):
 
 @query("outlier_scores")
 def q_outlier_scores(spark, sf_dir):
-    o = ag.outlier_scores(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, digits=E_DIGITS)
+    o = ag.outlier_scores(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, digits=E_DIGITS,
+                          raters=E_RATERS)
     return o.select(*E_KEYS, round6("max_diff").alias("max_diff"), round6("mean_diff").alias("mean_diff"),
                     round6("avg_diff_excl").alias("avg_diff_excl"))
 
