@@ -55,20 +55,44 @@ def spearman(pairs: DataFrame, group_cols: list[str], checkpoint: bool = True) -
         F.count(F.lit(1)).alias("n_pairs"))
 
 
-def spearman_overall(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> DataFrame:
-    """AG1: one row per other rater (aggregate included when present)."""
-    raters = long.where(F.col("model") != reference).select("model").distinct()
-    stats = spearman(complete_pairs(long, reference, keys), ["model"])
-    return raters.join(stats, "model", "left")
-
-
-def spearman_by_dimension(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> DataFrame:
+def pivot_pairs(long: DataFrame, reference: str, raters: list[str],
+                keys: list[str] = WIDE_KEYS) -> DataFrame:
+    """Complete pairs without a join: one aggregation per cell puts every
+    listed rater's score next to the reference score, then the pairs are
+    unstacked (``model, score, ref_score``, both non-NULL)."""
+    m, sc = F.col("model"), F.col("score")
+    wide = long.groupBy(*keys).agg(
+        F.max(F.when(m == reference, sc)).alias("ref_score"),
+        *[F.max(F.when(m == r, sc)).alias(f"_s_{r}") for r in raters])
+    stacked = F.array(*[F.struct(F.lit(r).alias("model"), F.col(f"_s_{r}").alias("score"))
+                        for r in raters])
+    return (wide.where(F.col("ref_score").isNotNull())
+            .select(*keys, "ref_score", F.inline(stacked))
+            .where(F.col("score").isNotNull())
+            .select(*keys, "model", "score", "ref_score"))
+
+
+def spearman_overall(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS,
+                     raters: list[str] | None = None) -> DataFrame:
+    """AG1: one row per other rater (aggregate included when present).
+    With ``raters`` given the pairs come from one per-cell aggregation."""
+    present = long.where(F.col("model") != reference).select("model").distinct()
+    pairs = (pivot_pairs(long, reference, raters, keys) if raters
+             else complete_pairs(long, reference, keys))
+    return present.join(spearman(pairs, ["model"]), "model", "left")
+
+
+def spearman_by_dimension(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS,
+                          raters: list[str] | None = None) -> DataFrame:
     """AG2: per (dimension, rater), aggregate excluded; raters without any
     score in a dimension are skipped."""
     body = long.where(F.col("model") != AGGREGATE_MODEL)
     present = (body.where((F.col("model") != reference) & F.col("score").isNotNull())
                .select("dimension", "model").distinct())
-    stats = spearman(complete_pairs(body, reference, keys), ["dimension", "model"])
+    listed = [r for r in (raters or []) if r != AGGREGATE_MODEL]
+    pairs = (pivot_pairs(body, reference, listed, keys) if listed
+             else complete_pairs(body, reference, keys))
+    stats = spearman(pairs, ["dimension", "model"])
     return present.join(stats, ["dimension", "model"], "left")
 
 

@@ -344,13 +344,13 @@ def q_aggregate_models(spark, sf_dir):
 
 @query("spearman_overall")
 def q_spearman_overall(spark, sf_dir):
-    s = ag.spearman_overall(e_long(spark, sf_dir), fx.E_REFERENCE)
+    s = ag.spearman_overall(e_long(spark, sf_dir), fx.E_REFERENCE, raters=E_RATERS)
     return s.select("model", round6("spearman_r").alias("spearman_r"), "n_pairs")
 
 
 @query("spearman_by_dimension")
 def q_spearman_by_dimension(spark, sf_dir):
-    s = ag.spearman_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE)
+    s = ag.spearman_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, raters=E_RATERS)
     return s.select("dimension", "model", round6("spearman_r").alias("spearman_r"), "n_pairs")
 
 

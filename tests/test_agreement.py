@@ -85,3 +85,11 @@ def test_outlier_paths_agree(spark):
             wide = wide.select(*cols[:5], *[F.round(c, 12).alias(c) for c in cols[5:]])
             joined = joined.select(*cols[:5], *[F.round(c, 12).alias(c) for c in cols[5:]])
         assert wide.exceptAll(joined).count() == 0 and joined.exceptAll(wide).count() == 0
+
+
+def test_pivot_pairs_equal_join_pairs(spark):
+    long = with_aggregate(fx.e_scores(spark, SF01), ["click", "error", "signup", "view"], digits=6)
+    raters = ["click", "error", "signup", "view", "aggregate_models"]
+    a = ag.pivot_pairs(long, "purchase", raters)
+    b = ag.complete_pairs(long, "purchase").select(*a.columns)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
