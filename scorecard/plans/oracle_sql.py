@@ -192,8 +192,7 @@ def oracles() -> dict[str, str]:
     o["eval_grid"] = ("WITH " + d_rubric_values() + ", " + d_raters_values() +
                       " SELECT CAST(d.doc_id AS VARCHAR) AS label, r.model, q.concept, q.dimension, "
                       "q.question_label FROM documents d CROSS JOIN raters r CROSS JOIN rubric q")
-    o["question_scores"] = d_with(
-        "x AS (SELECT 1)") + f"""
+    o["question_scores"] = "WITH " + d_question_ctes() + f"""
 SELECT label, model, concept, dimension, question_label, question, positive_contribution, answer,
        score, {r6('logprob')} AS logprob, matched, error FROM qs"""
     o["dimension_scores"] = d_with(rollup_ctes()) + \
