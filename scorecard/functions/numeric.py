@@ -76,3 +76,16 @@ def grid_sum(col, digits: int) -> Column:
     factor = 10 ** digits
     units = F.rint(_c(col) * F.lit(float(factor))).cast("bigint")
     return F.sum(units).cast("double") / F.lit(float(factor))
+
+
+def row_grid_mean(cols: list, digits: int | None = None) -> Column:
+    """Mean of the non-NULL values among ``cols`` of one row (NULL if none);
+    with ``digits`` the same exact grid arithmetic as :func:`grid_mean`."""
+    cols = [_c(c) for c in cols]
+    n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    if digits is None:
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
+        return F.when(n > 0, total / n.cast("double"))
+    factor = float(10 ** digits)
+    units = sum((F.coalesce(F.rint(c * F.lit(factor)), F.lit(0.0)) for c in cols), F.lit(0.0))
+    return F.when(n > 0, units / (n.cast("double") * F.lit(factor)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean, grid_sum, pearson
+from ..functions.numeric import grid_mean, grid_sum, pearson, row_grid_mean
 from ..functions.ranking import distinct_value_ranks
 from ..session import ensure_checkpoint_dir
 from .compare import AGGREGATE_MODEL, WIDE_KEYS
@@ -102,18 +102,6 @@ def abs_diff(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> Da
     return pairs.select(*keys, "model", F.abs(F.col("score") - F.col("ref_score")).alias("diff"))
 
 
-def _row_mean(cols: list[F.Column], digits: int | None) -> F.Column:
-    """Mean of the non-NULL values among ``cols`` (NULL if none); with
-    ``digits`` the same exact grid arithmetic as ``grid_mean``."""
-    n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
-    if digits is None:
-        total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
-        return F.when(n > 0, total / n.cast("double"))
-    factor = float(10 ** digits)
-    units = sum((F.coalesce(F.rint(c * F.lit(factor)), F.lit(0.0)) for c in cols), F.lit(0.0))
-    return F.when(n > 0, units / (n.cast("double") * F.lit(factor)))
-
-
 def outlier_scores(long: DataFrame, reference: str, excluded: str,
                    keys: list[str] = WIDE_KEYS, digits: int | None = None,
                    raters: list[str] | None = None) -> DataFrame:
@@ -135,8 +123,8 @@ def outlier_scores(long: DataFrame, reference: str, excluded: str,
         kept = [d for r, d in diffs.items() if r != excluded]
         top = F.greatest(*diffs.values()) if len(diffs) > 1 else next(iter(diffs.values()))
         return wide.select(
-            *keys, top.alias("max_diff"), _row_mean(list(diffs.values()), digits).alias("mean_diff"),
-            _row_mean(kept, digits).alias("avg_diff_excl") if kept else
+            *keys, top.alias("max_diff"), row_grid_mean(list(diffs.values()), digits).alias("mean_diff"),
+            row_grid_mean(kept, digits).alias("avg_diff_excl") if kept else
             F.lit(None).cast("double").alias("avg_diff_excl"),
             *[d.alias(f"diff_{r}") for r, d in diffs.items()])
     diffs = abs_diff(long, reference, keys)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean
+from ..functions.numeric import grid_mean, row_grid_mean
 from .flatten import tag_sources
 
 CELL_KEYS = ["label", "model", "concept", "dimension", "question"]
@@ -46,13 +46,19 @@ def with_aggregate(long: DataFrame, models: list[str], keys: list[str] = WIDE_KE
     return long.select(*keys, "model", "score").unionByName(agg.select(*keys, "model", "score"))
 
 
-def wide_by_model(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEYS) -> DataFrame:
+def wide_by_model(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEYS,
+                  aggregate_of: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """PV6: one row per key, one column per rater (explicit list).
 
     The key includes ``concept`` so equal names in two concepts stay apart.
     A duplicate cell keeps its mean; callers average cells first.
-    """
-    return long.groupBy(*keys).pivot("model", models).agg(F.avg("score"))
+    ``aggregate_of`` adds PV7's ``aggregate_models`` column, the row mean of
+    those raters' columns, in the same aggregation (``digits``: exact grid
+    mean, as :func:`aggregate_models`)."""
+    wide = long.groupBy(*keys).pivot("model", models).agg(F.avg("score"))
+    if aggregate_of:
+        wide = wide.withColumn(AGGREGATE_MODEL, row_grid_mean(aggregate_of, digits))
+    return wide
 
 
 def other_raters(columns: list[str], reference: str, keys: list[str] = WIDE_KEYS) -> list[str]:

@@ -316,7 +316,7 @@ def q_question_ranking(spark, sf_dir):
 
 # ------------------------------------------------- phase 6: agreement on E
 from ..operators import agreement as ag  # noqa: E402
-from ..operators.compare import AGGREGATE_MODEL, aggregate_models, wide_by_model, with_aggregate  # noqa: E402
+from ..operators.compare import AGGREGATE_MODEL, wide_by_model, with_aggregate  # noqa: E402
 
 E_OTHERS = [m for m in fx.E_MODELS if m != fx.E_REFERENCE]
 E_RATERS = E_OTHERS + [AGGREGATE_MODEL]
@@ -332,14 +332,15 @@ def e_long(spark, sf_dir):
 
 @query("wide_by_model")
 def q_wide_by_model(spark, sf_dir):
-    return wide_by_model(e_long(spark, sf_dir), fx.E_MODELS + [AGGREGATE_MODEL])
+    cells = flt.with_dimension(fx.e_scores(spark, sf_dir))
+    return wide_by_model(cells, fx.E_MODELS, aggregate_of=E_OTHERS, digits=6)
 
 
 @query("aggregate_models")
 def q_aggregate_models(spark, sf_dir):
-    cells = fx.e_scores(spark, sf_dir)
-    agg = aggregate_models(cells, E_OTHERS, digits=6).select(*E_KEYS, F.col("score").alias(AGGREGATE_MODEL))
-    return cells.select(*E_KEYS).distinct().join(agg, E_KEYS, "left")
+    cells = flt.with_dimension(fx.e_scores(spark, sf_dir))
+    wide = wide_by_model(cells, fx.E_MODELS, aggregate_of=E_OTHERS, digits=6)
+    return wide.select(*E_KEYS, AGGREGATE_MODEL)
 
 
 @query("spearman_overall")
