@@ -101,3 +101,29 @@ def split_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str, row
     off_hot = (left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
                .join(cold, keys, how))
     return on_hot.unionByName(off_hot.select(*on_hot.columns))
+
+
+class Remembered:
+    """What ``learn(list of keys)`` returned for keys, in two generations.
+
+    Keys not asked for during a whole generation are forgotten, so memory is
+    bounded by two generations of ``limit`` keys and one call's, while
+    frequent keys stay.
+    """
+
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit, self.young, self.old = learn, limit, {}, {}
+
+    def having(self, keys: set) -> dict:
+        """A table that holds all of ``keys`` until the next call."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        if new:
+            young.update(zip(new, self.learn(new)))
+        return young

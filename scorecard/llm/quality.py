@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, id_remainder, prepare
+from .common import HELD_OUT, Remembered, id_remainder, prepare
 from .labelled import SAMPLE_ROWS, fit, sample
 
 BITS = 18
 EPOCHS = 2
 RATE, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
-REMEMBERED = 400_000
+#: Words that a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,18 +53,13 @@ class Features:
     """Hashed features of a text: indices without repeats, and values."""
 
     def __init__(self, bits: int = BITS):
-        self.bits, self.memory = bits, {}
+        self.bits, self.memory = bits, Remembered(lambda words: [_hash(w.lower()) << 3 | _shape(w) for w in words],
+                                                  REMEMBERED)
 
     def _words(self, text: str) -> np.ndarray:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, out = self.memory, []
-        for w in _WORD.findall(text):
-            got = memory.get(w)
-            if got is None:
-                got = memory[w] = _hash(w.lower()) << 3 | _shape(w)
-            out.append(got)
-        return np.array(out, np.uint64)
+        words = _WORD.findall(text)
+        known = self.memory.having(set(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import Remembered, prepare, text_or_empty
 
 LIMIT = 4096
-#: Segments remembered by a worker.
-REMEMBERED = 400_000
+#: Segments that a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 PREFIXES = "struct<chars: array<int>, tokens: array<int>>"
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -45,7 +45,7 @@ class Counter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.memory: dict[str, int] = {}
+        self.memory = Remembered(self.learn, REMEMBERED)
         self.additive = self._additive()
         # what the line feed and the mark before it add to a segment's count
         self.lead = len(self.model.encode("\n"))
@@ -61,35 +61,28 @@ class Counter:
     def segments(self, text: str) -> list[str]:
         return _SEGMENT.findall(text) if self.additive else [text]
 
-    def learn(self, segments: list[str]) -> None:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+    def learn(self, segments: list[str]) -> list[int]:
         if not self.additive:
-            self.memory.update(zip(segments, map(len, self.model.encode(segments, num_threads=1))))
-            return
+            return list(map(len, self.model.encode(segments, num_threads=1)))
         # the model puts a space before a text; behind a line feed it doesn't count
-        ids = self.model.encode(["\n" + s for s in segments], num_threads=1)
-        self.memory.update((s, len(x) - self.lead) for s, x in zip(segments, ids))
-
-    def counts(self, segments: list[str]) -> list[int]:
-        """The count of each segment; the first one starts the text."""
-        memory = self.memory
-        new = [s for s in set(segments) if s not in memory]
-        if new:
-            self.learn(new)
-            memory = self.memory
-            if any(s not in memory for s in segments):
-                self.learn(list(set(segments)))
-        out = [memory[s] for s in segments]
-        if out and self.additive:
-            out[0] = len(self.model.encode(segments[0]))
+        return [len(x) - self.lead for x in self.model.encode(["\n" + s for s in segments], num_threads=1)]
+
+    def counts(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The counts of the segments of each text."""
+        known = self.memory.having({s for segments in split for s in segments})
+        out = [np.fromiter(map(known.__getitem__, segments), np.int32, len(segments)) for segments in split]
+        for segments, counts in zip(split, out):
+            if segments and self.additive:
+                counts[0] = len(self.model.encode(segments[0]))
         return out
 
+    def tables(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        split = [self.segments(t) if t else [] for t in texts]
+        return [(np.cumsum(np.fromiter(map(len, segments), np.int32, len(segments)), dtype=np.int32),
+                 np.cumsum(counts, dtype=np.int32)) for segments, counts in zip(split, self.counts(split))]
+
     def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        segments = self.segments(text) if text else []
-        n = len(segments)
-        return (np.cumsum(np.fromiter(map(len, segments), np.int32, n), dtype=np.int32),
-                np.cumsum(np.array(self.counts(segments), np.int32), dtype=np.int32))
+        return self.tables([text])[0]
 
     def prefix(self, text: str, chars: int, table=None) -> int:
         """Exact tokens of ``text[:chars]``; encodes within one segment only."""
@@ -121,7 +114,7 @@ def prefix_tables(model_file: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(model)
         for texts in batches:
-            rows = [own.table(t or "") for t in texts.to_pylist()]
+            rows = own.tables([t or "" for t in texts.to_pylist()])
             yield pa.StructArray.from_arrays([_lists([r[0] for r in rows]), _lists([r[1] for r in rows])],
                                              ["chars", "tokens"])
 

@@ -9,9 +9,9 @@ filter.
 The words between spaces are encoded on their own and remembered: the
 tokenizer splits at white space, its normaliser works on single characters,
 and no special token holds a space, so the ids are those of the whole text.
-A word not met before goes to the library; of those that are ASCII letters and
-trailing marks, the letters in lower case and the marks go apart, since the
-split pattern parts them too.
+A word not met before goes to the library; of those that are letters and
+trailing ASCII marks, the letters and the marks go apart, since the split
+pattern parts them too.
 
 Defined results: null text is empty and holds the end id only; null ids of
 documents come first, and rows of one id are in the order of their text's
@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import prepare, text_or_empty
+from .common import Remembered, prepare, text_or_empty
 
 END_ID = 1
-#: Words remembered by a worker.
-REMEMBERED = 300_000
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+#: Words, and runs of letters or marks, that a worker remembers, in each of two
+#: generations.
+REMEMBERED, REMEMBERED_RUNS = 200_000, 300_000
+#: Letters and then ASCII marks, which the split pattern parts.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
 #: ORC writer settings.
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
            "orc.create.index": "true", "orc.row.index.stride": "1000",
@@ -47,45 +49,60 @@ OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 def _worker(tokenizer: bytes):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_buffer(tokenizer), {}
+    return WordEncoder(Tokenizer.from_buffer(tokenizer))
 
 
 class WordEncoder:
-    """Encodes texts word by word; ``splits`` must hold for the tokenizer."""
+    """Encodes texts word by word, as the module's text says."""
 
-    def __init__(self, tokenizer, memory: dict | None = None):
+    def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.memory = {} if memory is None else memory
-
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for piece, i in ids.items() if piece.endswith("</w>")]] = True
+        self.runs = Remembered(self._encode_runs, REMEMBERED_RUNS)
+        self.words = Remembered(self._encode_words, REMEMBERED)
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Runs of letters or of marks: each ends in one piece that ends a
+        word, so many go to the library as one text."""
+        out = []
+        for i in range(0, len(runs), 1024):
+            part = runs[i:i + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+                out += [data[a:b] for a, b in zip(at, at[1:])]
+            else:
+                out += self.library(part)
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words not met before."""
-        plain, needed, whole = [], {}, []
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        letters, marks, whole = [], [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m:
-                core, marks = m[1].lower(), m[2]
-                plain.append((w, core, marks))
-                needed[core] = needed[marks] = None
-            else:
+            if m is None:
                 whole.append(w)
-        new = [x for x in needed if x not in self.memory] + whole
-        for x, ids in zip(new, self.library(new) if new else ()):
-            self.memory[x] = ids
-        for w, core, marks in plain:
-            self.memory[w] = self.memory[core] + self.memory[marks] if marks else self.memory[core]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+                letters.append("")
+                marks.append("")
+            else:
+                a = m[1]
+                letters.append(a.lower() if a.isascii() else a)
+                marks.append(m[2])
+        other = iter(self.library(whole) if whole else ())
+        runs = self.runs.having({*letters, *marks} - {""})
+        return [runs[a] + runs[b] if b else runs[a] if a else next(other) for a, b in zip(letters, marks)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.memory}
-        if new:
-            self.learn(list(new))
-        memory = self.memory
-        return [np.array([i for w in words for i in memory[w]], np.int32) for words in split]
+        ids = self.words.having({w for words in split for w in words})
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 def read_tokenizer(path: str) -> bytes:
@@ -98,12 +115,12 @@ def encoder(tokenizer: bytes, end_id: int | None = END_ID):
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordEncoder(*_worker(tokenizer))
-        tail = np.array([] if end_id is None else [end_id], np.int32)
+        words = _worker(tokenizer)
+        tail = np.array([] if end_id is None else [end_id], np.int32).tobytes()
         for texts in batches:
-            rows = [np.concatenate([ids, tail]) for ids in words.encode([t or "" for t in texts.to_pylist()])]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+            rows = [ids + tail for ids in words.encode([t or "" for t in texts.to_pylist()])]
+            ends = np.cumsum([0, *map(len, rows)]) // 4
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     return encode
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, id_remainder, prepare
+from .common import HELD_OUT, Remembered, id_remainder, prepare
 from .labelled import SAMPLE_ROWS, fit, sample
 
 THRESHOLD = 0.7
@@ -44,8 +44,8 @@ GRAM = 5
 #: Least likelihood ratio (twice the log) of what tells toxic documents.
 RATIO = 20.0
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 14
-#: Windows remembered by a worker.
-REMEMBERED = 400_000
+#: Windows that a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 #: Ordinary windows that the ordinary dictionary is trained on, at most.
 ORDINARY_WINDOWS = 20_000
 
@@ -98,24 +98,25 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.one, self.both = _compressor(ordinary), _compressor(ordinary + toxic)
-        self.memory: dict[str, int] = {}
+        self.memory = Remembered(self._measure, REMEMBERED)
+
+    def _measure(self, words: list[str]) -> list[int]:
+        one, both = self.one.compress, self.both.compress
+        return [len(one(w)) - len(both(w)) for w in map(window, words)]
 
     def savings(self, text: str) -> np.ndarray:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, words = self.memory, words_of(text)
-        for w in set(words):
-            if w not in memory:
-                data = window(w)
-                memory[w] = len(self.one.compress(data)) - len(self.both.compress(data))
-        return np.array([memory[w] for w in words], np.int64)
+        words = words_of(text)
+        known = self.memory.having(set(words))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def evidence(savings: np.ndarray, step: int) -> np.ndarray:
+    """Bias, largest saving, windows that save a step and two, and their share."""
     if not len(savings):
-        return np.array([1.0, 0.0, 0.0, 0.0])
+        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
     hits = int((savings >= step).sum())
-    return np.array([1.0, max(int(savings.max()), 0) / 4, np.log1p(hits), hits / len(savings)])
+    return np.array([1.0, max(int(savings.max()), 0) / 4, np.log1p(hits), np.log1p(int((savings >= 2 * step).sum())),
+                     hits / len(savings)])
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -218,7 +219,7 @@ def train(examples: list[tuple[str, int]]) -> Model | None:
     samples += [s for t in toxic for w in t if w not in tell for s in telling_stretches(spaced(w), runs)]
     per_text = max(1, ORDINARY_WINDOWS // len(ordinary))
     plain = [spaced(" ".join(t[i:i + 8])) for t in ordinary for i in range(0, min(len(t), 8 * per_text), 8)]
-    model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, samples), 1, (0.0,) * 4)
+    model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, samples), 1, (0.0,) * 5)
     measure = Distance(model.ordinary, model.toxic)
     found = [measure.savings(t) for t, _ in examples]
     best = np.inf
