@@ -197,8 +197,13 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, block: in
     buckets = (keys.groupBy("kind", "key")
                .agg(F.sum((F.col("side") == 0).cast("int")).alias("n_left"),
                     F.sum((F.col("side") == 1).cast("int")).alias("n_right"),
-                    F.min("fp").alias("low"), F.max("fp").alias("high"))
+                    F.min("fp").alias("low"), F.max("fp").alias("high"), F.expr("bit_xor(fp)").alias("all_xor"))
                .where("n_left > 0 and n_right > 0 and low <> high")
+               # most buckets hold two fingerprints that met by chance: their
+               # distance is known here (of three rows, the third is one of the two)
+               .withColumn("two", F.expr("n_left + n_right = 2 or n_left + n_right = 3 "
+                                         "and (all_xor ^ low ^ high) in (low, high)"))
+               .where(~F.col("two") | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= max_bits))
                .select("kind", "key", F.ceil(F.col("n_left") / block).cast("int").alias("lefts"),
                        F.ceil(F.col("n_right") / block).cast("int").alias("rights")))
     rows = keys.join(buckets, ["kind", "key"])
