@@ -16,6 +16,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def round_half_even(col, digits: int) -> Column:
     """Half-to-even rounding on the binary double: ``rint(x * 10^d) / 10^d``."""
     factor = float(10 ** digits)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean, grid_sum, pearson, row_grid_mean
+from ..functions.numeric import grid_mean, grid_sum, pearson, quoted, row_grid_mean
 from ..functions.ranking import distinct_value_ranks
 from ..session import ensure_checkpoint_dir
 from .compare import AGGREGATE_MODEL, WIDE_KEYS
@@ -63,9 +63,9 @@ def pivot_pairs(long: DataFrame, reference: str, raters: list[str],
     m, sc = F.col("model"), F.col("score")
     wide = long.groupBy(*keys).agg(
         F.max(F.when(m == reference, sc)).alias("ref_score"),
-        *[F.max(F.when(m == r, sc)).alias(f"_s_{r}") for r in raters])
-    stacked = F.array(*[F.struct(F.lit(r).alias("model"), F.col(f"_s_{r}").alias("score"))
-                        for r in raters])
+        *[F.max(F.when(m == r, sc)).alias(f"_s_{i}") for i, r in enumerate(raters)])
+    stacked = F.array(*[F.struct(F.lit(r).alias("model"), F.col(f"_s_{i}").alias("score"))
+                        for i, r in enumerate(raters)])
     return (wide.where(F.col("ref_score").isNotNull())
             .select(*keys, "ref_score", F.inline(stacked))
             .where(F.col("score").isNotNull())
@@ -118,8 +118,8 @@ def outlier_scores(long: DataFrame, reference: str, excluded: str,
         m, sc = F.col("model"), F.col("score")
         wide = long.groupBy(*keys).agg(
             F.max(F.when(m == reference, sc)).alias("_ref"),
-            *[F.max(F.when(m == r, sc)).alias(f"_s_{r}") for r in raters])
-        diffs = {r: F.abs(F.col(f"_s_{r}") - F.col("_ref")) for r in raters}
+            *[F.max(F.when(m == r, sc)).alias(f"_s_{i}") for i, r in enumerate(raters)])
+        diffs = {r: F.abs(F.col(f"_s_{i}") - F.col("_ref")) for i, r in enumerate(raters)}
         kept = [d for r, d in diffs.items() if r != excluded]
         top = F.greatest(*diffs.values()) if len(diffs) > 1 else next(iter(diffs.values()))
         return wide.select(
@@ -136,13 +136,14 @@ def outlier_scores(long: DataFrame, reference: str, excluded: str,
 
 
 def outliers_top(long: DataFrame, reference: str, excluded: str, raters: list[str],
-                 n: int = 20, keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
-    """AG5: the ``n`` cells with the largest ``max_diff`` (NULLs last, ties by
-    key), with one ``diff_<rater>`` column per other rater.  A top-k report:
-    the limit is the feature (ordered top-k per partition, then merged)."""
+                 n: int | None = None, keys: list[str] = WIDE_KEYS, digits: int | None = None) -> DataFrame:
+    """AG5: all cells in descending order of ``max_diff`` (NULLs last, ties by
+    key), with one ``diff_<rater>`` column per other rater.  With ``n`` the
+    first ``n`` of them (ordered top-k per partition, then merged)."""
     scores = outlier_scores(long, reference, excluded, keys, digits, raters)
-    return (scores.orderBy(F.desc_nulls_last("max_diff"), *keys).limit(n)
-            .select(*keys, *[f"diff_{r}" for r in raters], "max_diff", "mean_diff"))
+    ordered = scores.orderBy(F.desc_nulls_last("max_diff"), *keys)
+    return (ordered if n is None else ordered.limit(n)).select(
+        *keys, *[quoted(f"diff_{r}") for r in raters], "max_diff", "mean_diff")
 
 
 def error_by_dimension(long: DataFrame, reference: str, excluded: str, raters: list[str],
@@ -155,7 +156,7 @@ def error_by_dimension(long: DataFrame, reference: str, excluded: str, raters: l
         grid_mean("mean_diff", digits).alias("avg_mean_diff"),
         grid_mean("max_diff", digits).alias("avg_max_diff"),
         grid_mean("avg_diff_excl", digits).alias("avg_avg_diff_excl"),
-        *[grid_mean(f"diff_{r}", digits).alias(f"avg_diff_{r}") for r in raters])
+        *[grid_mean(quoted(f"diff_{r}"), digits).alias(f"avg_diff_{r}") for r in raters])
 
 
 def error_totals(by_dimension: DataFrame, digits: int | None = None) -> DataFrame:

@@ -39,10 +39,11 @@ def with_cache_key(grid: DataFrame, prompt_version: str) -> DataFrame:
 
 def unique(cache: DataFrame) -> DataFrame:
     """One row per key.  Equal keys mean equal prompts (e.g. exact copies of
-    a text), so the responses are interchangeable; ``min`` picks one
-    deterministically, as a partial/final aggregation."""
-    return cache.groupBy("cache_key").agg(F.min("top_logprobs").alias("top_logprobs"),
-                                          F.min("error").alias("error"))
+    a text), so the responses are interchangeable; ``min`` picks a whole row
+    deterministically (one without error, if there is one), as a
+    partial/final aggregation."""
+    best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "top_logprobs", "error"))
+    return cache.groupBy("cache_key").agg(best.alias("r")).select("cache_key", "r.top_logprobs", "r.error")
 
 
 def work_keys(todo: DataFrame) -> DataFrame:
@@ -66,10 +67,15 @@ def lookup(grid: DataFrame, cache: DataFrame) -> DataFrame:
 
 def append(cache: DataFrame, responses: DataFrame) -> DataFrame:
     """New cache contents: the old rows plus responses for new keys."""
-    new = missing(unique(responses.select("cache_key", "top_logprobs", "error")), cache)
+    new = missing(unique(succeeded(responses)), cache)
     return cache.unionByName(new)
 
 
+def succeeded(responses: DataFrame) -> DataFrame:
+    """Responses to keep: a failed call is tried again on the next run."""
+    return responses.where(F.col("error").isNull()).select("cache_key", "top_logprobs", "error")
+
+
 def write(responses: DataFrame, path: str, mode: str = "append") -> str:
-    unique(responses.select("cache_key", "top_logprobs", "error")).write.mode(mode).parquet(path)
+    unique(succeeded(responses)).write.mode(mode).parquet(path)
     return path

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean, row_grid_mean
+from ..functions.numeric import grid_mean, quoted, row_grid_mean
 from .flatten import tag_sources
 
 CELL_KEYS = ["label", "model", "concept", "dimension", "question"]
@@ -57,7 +57,7 @@ def wide_by_model(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEY
     mean, as :func:`aggregate_models`)."""
     wide = long.groupBy(*keys).pivot("model", models).agg(F.avg("score"))
     if aggregate_of:
-        wide = wide.withColumn(AGGREGATE_MODEL, row_grid_mean(aggregate_of, digits))
+        wide = wide.withColumn(AGGREGATE_MODEL, row_grid_mean([quoted(r) for r in aggregate_of], digits))
     return wide
 
 

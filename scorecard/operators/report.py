@@ -63,7 +63,8 @@ def profile_polar(prof: DataFrame, min_dimensions: int = MIN_PROFILE_DIMENSIONS)
 
 def _pad(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.lpad(c.cast("string"), 3, "0")
+    # wide enough for any BIGINT: a shorter one would cut, and mix up, positions
+    return F.lpad(c.cast("string"), 19, "0")
 
 
 def _line(path, depth: int, kind: str, name, score, answer, text) -> Column:

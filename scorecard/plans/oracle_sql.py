@@ -379,6 +379,7 @@ SELECT t.label, t.concept, t.dimension, t.question, {dcols},
        {r6('min(t.max_diff)')} AS max_diff, {r6('min(t.mean_diff)')} AS mean_diff
 FROM top t LEFT JOIN diffs d ON t.label = d.label AND t.concept = d.concept AND t.dimension = d.dimension
   AND t.question = d.question GROUP BY t.label, t.concept, t.dimension, t.question"""
+    o["outliers_full"] = o["outliers_top"].replace(" LIMIT 20)", ")")
     acols = ", ".join(f"{gmean(f'CASE WHEN model = {_lit(r)} THEN diff END', 9)} AS avg_diff_{r}"
                       for r in E_RATERS)
     ebd = (f""",
@@ -430,7 +431,7 @@ def band_sql(score: str = "score") -> str:
 
 
 def _pad(c: str) -> str:
-    return f"lpad(CAST({c} AS VARCHAR), 3, '0')"
+    return f"lpad(CAST({c} AS VARCHAR), 19, '0')"
 
 
 def report_sql() -> str:

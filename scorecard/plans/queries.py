@@ -377,6 +377,13 @@ def q_outliers_top(spark, sf_dir):
     return o.select(*E_KEYS, *[round6(c).alias(c) for c in cols])
 
 
+@query("outliers_full")
+def q_outliers_full(spark, sf_dir):
+    o = ag.outliers_top(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS, digits=E_DIGITS)
+    cols = [f"diff_{r}" for r in E_RATERS] + ["max_diff", "mean_diff"]
+    return o.select(*E_KEYS, *[round6(c).alias(c) for c in cols])
+
+
 @query("error_by_dimension")
 def q_error_by_dimension(spark, sf_dir):
     e = ag.error_by_dimension(e_long(spark, sf_dir), fx.E_REFERENCE, fx.E_EXCLUDED, E_RATERS,

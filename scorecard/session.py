@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The folder named by the session (``SparkContext.getCheckpointDir`` or
     ``spark.checkpoint.dir``) wins.  Only when neither is set, as in local
-    tests, a fresh scratch folder is created and registered.
+    tests, a fresh scratch folder is created and registered; a cluster without
+    the setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="scorecard-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -3,6 +3,8 @@ an ``ord`` column assigned at the scan."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,22 +31,29 @@ def read_rubric_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUBRIC_DOC).option("multiLine", True).json(path)
 
 
-def read_text_evals(spark: SparkSession, paths, multiline: bool = True) -> DataFrame:
-    """SRC3/SRC4: evaluation result files (a JSON array of TextEval or one
-    object per file; both are accepted) with ``text_key`` = file stem."""
+def read_text_evals(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
+    """SRC3/SRC4: evaluation results with ``text_key`` = file stem.
+
+    By default files hold one object a line, as the library's own sinks write.
+    Files of others that hold one array, or one object over several lines,
+    need ``multiline=True``; read as lines they raise instead of losing rows."""
     if isinstance(paths, str):
         paths = [paths]
     df = (spark.read.schema(schemas.TEXT_EVAL)
           .option("multiLine", multiline).option("allowNonNumericNumbers", True)
+          .option("mode", "FAILFAST")
           .json(list(paths)))
     return df.withColumn("text_key", F.regexp_replace(F.col("_metadata.file_name"),
                                                       r"\.json$", ""))
 
 
-def read_named_evals(spark: SparkSession, base_dir: str, names: list[str]) -> DataFrame:
-    """SRC3: the result files ``<base_dir>/<name>.json`` of the given names
-    (``text_key`` = name)."""
-    return read_text_evals(spark, [f"{base_dir.rstrip('/')}/{n}.json" for n in names])
+def read_named_evals(spark: SparkSession, base_dir: str, names: list[str],
+                     multiline: bool = False) -> DataFrame:
+    """SRC3: the results ``<base_dir>/<name>.json`` of the given names, each a
+    file or a folder that a sink wrote (``text_key`` = name)."""
+    return reduce(DataFrame.unionByName, [
+        read_text_evals(spark, f"{base_dir.rstrip('/')}/{n}.json", multiline).withColumn("text_key", F.lit(n))
+        for n in names])
 
 
 def read_flat_scores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -72,6 +81,7 @@ def read_rating_sheets(spark: SparkSession, path: str) -> DataFrame:
     :func:`scorecard.operators.human.clean_ratings`).
     """
     df = (spark.read.schema(schemas.SHEET).option("header", True)
+          .option("multiLine", True).option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
     cells = F.array(*[F.col(f"c{i}") for i in range(9)])
     # position of the last non-null cell = ragged row length
