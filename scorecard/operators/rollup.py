@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean, round3
+from ..functions.numeric import round3
 
 DIM_KEYS = ["label", "model", "concept", "dimension"]
 CONCEPT_KEYS = ["label", "model", "concept"]
@@ -28,7 +28,7 @@ def dimension_scores(q: DataFrame, extra: dict | None = None) -> DataFrame:
     # a rater that fails on any question of a text has no score on any level
     q = q.withColumn("_failed", F.bool_or(F.col("error").isNotNull()).over(Window.partitionBy(*MODEL_KEYS)))
     return (q.groupBy(*DIM_KEYS)
-            .agg(round3(F.when(~F.bool_or("_failed"), grid_mean("score", 3))).alias("score"),
+            .agg(round3(F.when(~F.bool_or("_failed"), F.avg("score"))).alias("score"),
                  *[c.alias(n) for n, c in (extra or {}).items()],
                  F.min("model_pos").alias("model_pos"),
                  F.min("concept_pos").alias("concept_pos"),
@@ -45,7 +45,7 @@ def concept_scores(d: DataFrame, weighted: bool = False, extra: dict | None = No
         mean = F.try_divide(F.sum(F.col("score") * F.col("weight")),
                             F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))))
     else:
-        mean = grid_mean("score", 3)
+        mean = F.avg("score")
     return (d.groupBy(*CONCEPT_KEYS)
             .agg(round3(mean).alias("score"),
                  *[c.alias(n) for n, c in (extra or {}).items()],
@@ -59,7 +59,7 @@ def model_scores(c: DataFrame, extra: dict | None = None) -> DataFrame:
     """RU3 + EV13 status: a failed rater has a NULL model score."""
     extra = extra or {}
     return (c.groupBy(*MODEL_KEYS)
-            .agg(round3(grid_mean("score", 3)).alias("_s"),
+            .agg(round3(F.avg("score")).alias("_s"),
                  F.min("model_pos").alias("model_pos"),
                  F.bool_or("failed").alias("failed"),
                  *[col.alias(n) for n, col in extra.items()])
@@ -73,7 +73,7 @@ def text_scores(m: DataFrame, extra: dict | None = None) -> DataFrame:
     """RU4: mean over raters that succeeded and have a score."""
     ok = F.when(F.col("status") == "ok", F.col("score"))
     return (m.groupBy("label")
-            .agg(round3(grid_mean(ok, 3)).alias("score"),
+            .agg(round3(F.avg(ok)).alias("score"),
                  F.count(ok).alias("n_models"),
                  *[c.alias(n) for n, c in (extra or {}).items()]))
 
