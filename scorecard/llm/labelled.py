@@ -45,4 +45,5 @@ def fit(examples: DataFrame, train: Callable[[list[tuple[str, int]]], object], r
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], ["model"])
 
     ordered = examples.orderBy("key", "text").limit(rows).coalesce(1)
-    return pickle.loads(ordered.mapInArrow(run, "model binary").first()["model"])
+    row = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else train([])  # no row: Spark ran no task
