@@ -86,7 +86,8 @@ class WordEncoder:
         letters, marks, whole = [], [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m is None:
+            # a letter whose lower case has a mark would join the marks behind it
+            if m is None or not m[1].lower().isalpha():
                 whole.append(w)
                 letters.append("")
                 marks.append("")
