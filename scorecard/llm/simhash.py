@@ -7,19 +7,23 @@ a bit is set if more than half of the shingles set it.
 to the one codeword within 3 bits.  A fingerprint is cut into segments of
 22, 21 and 21 bits, each padded with zeros to 23.  For a segment x, let p(x)
 be the codeword that x decodes to, and K(x) the codewords that x or a word
-one bit away decodes to (1 to 6 of them).  If segments x and y differ in at
-most one bit, p(y) is in K(x) and p(x) is in K(y).
-
-**Pigeonhole.**  Four errors over three segments leave two segments with at
-most one error each, or else (0, 2, 2) a segment without error.  So
-
-* for each pair (A, B) of segments, one side offers (k, p(B)) for k in K(A),
-  and the other (p(A), k) for k in K(B): with at most one error in A and in
-  B, both hold (p(A of the other), p(B of the one));
-* each whole segment is a key of both sides.
-
-Fingerprints that share a key with opposite sides are compared, and those
-with at most four differing bits are linked: no pair is missed.  Buckets are
+one bit away decodes to (1 to 6 of them).  If x and y differ in one bit, p(y)
+is in K(x) and p(x) in K(y); if they differ in two, the word between them
+shows that K(x) and K(y) meet.
+
+**Pigeonhole.**  Up to four errors over three segments leave either
+
+* a segment Z without error, and then another, B, with two at most: both
+  fingerprints offer (Z, k) for every k in K(B), for each of the six (Z, B); or
+* at least one error everywhere, so (1, 1, 1) or (2, 1, 1) in some order: two
+  segments A, B with exactly one, and one, C, with two at most, of whose three
+  parts one has none.  The parity of A differs, so the fingerprint whose A is
+  even offers (k, p(B)) for k in K(A), and the other (p(A), k) for k in K(B),
+  each with a part of C and the parities that follow.
+
+So about 75 keys of 33 bits or more find every pair of up to four differing
+bits, and chance meetings stay few.  Fingerprints that share a key are
+compared.  A bucket of two is settled where it is counted; larger ones are
 compared in blocks of bounded size, each of which returns a spanning forest of
 its links, never all pairs.
 
@@ -109,15 +113,11 @@ def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of unsigned fingerprints: ``row, kind, key, side``.
-
-    Kinds 0 to 2 are pairs of segments, 3 to 5 whole segments.  Sides are 0
-    and 1; rows to compare share kind and key, and have different sides.
-    """
+def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unsigned fingerprints: ``row, key``.  Rows to compare share a
+    key, which holds its kind (one of 15) in the bits from the 40th up."""
     table = golay_table()
-    n = len(fps)
-    words, primary, near = [], [], []
+    words, primary, near, parity = [], [], [], []
     shift = 0
     for bits in SEGMENTS:
         word = (fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -130,46 +130,51 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         words.append(word)
         primary.append(table[word].astype(np.int64))
         near.append((row, decoded[row, col].astype(np.int64)))
-    rows, kinds, keys, sides = [], [], [], []
+        parity.append((np.bitwise_count(word) & 1).astype(np.int64))
+    rows, keys = [], []
 
-    def add(row, kind, key, side):
+    def add(row, key):
         rows.append(row)
-        kinds.append(np.full(len(row), kind, np.int8))
-        keys.append(key)
-        sides.append(np.full(len(row), side, np.int8))
-
-    for kind, (a, b) in enumerate(PAIRS):
-        row, k = near[a]
-        add(row, kind, k << 12 | primary[b][row], 0)
-        row, k = near[b]
-        add(row, kind, primary[a][row] << 12 | k, 1)
-    every = np.arange(n)
-    for i, word in enumerate(words):
-        for side in (0, 1):
-            add(every, 3 + i, word, side)
-    return tuple(np.concatenate(x) for x in (rows, kinds, keys, sides))
+        keys.append(key | np.int64(len(keys)) << 40)
+
+    for z, whole in enumerate(words):
+        for row, k in (near[b] for b in range(3) if b != z):
+            add(row, whole[row] << 12 | k)
+    for a, b in PAIRS:
+        c = 3 - a - b
+        odd = parity[a].astype(bool)
+        (even_row, even_k), (odd_row, odd_k) = near[a], near[b]
+        even_k, even_row = even_k[~odd[even_row]], even_row[~odd[even_row]]
+        odd_k, odd_row = odd_k[odd[odd_row]], odd_row[odd[odd_row]]
+        row = np.concatenate([even_row, odd_row])
+        code = np.concatenate([even_k << 12 | primary[b][even_row], primary[a][odd_row] << 12 | odd_k])
+        code = code << 1 | (parity[a] ^ parity[b])[row]
+        # the first pair of segments also stands for (1, 1, 1)
+        code = code << 1 | (0 if (a, b) == PAIRS[0] else parity[c][row])
+        for part in (words[c] & 127, words[c] >> 7 & 127, words[c] >> 14):
+            add(row, code << 8 | part[row])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
-        row, kind, key, side = golay_keys(fps.view(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(key.astype(np.int32)), pa.array(side), pa.array(fps[row])],
-            ["kind", "key", "side", "fp"])
+        row, key = golay_keys(fps.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
 
 def _links(max_bits: int):
-    unit = ["kind", "key", "left", "right"]
+    unit = ["key", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in units(batches, unit):
-            fps = table.column("fp").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
-            side = table.column("side").combine_chunks().to_numpy(zero_copy_only=False)
+            fps, left, right, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+                                     for c in ("fp", "left", "right", "own"))
+            fps = fps.view(np.uint64)
             begin = starts(table, unit)
             found_u, found_v = [], []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(fps)]):
-                one, two = fps[a:b][side[a:b] == 0], fps[a:b][side[a:b] == 1]
+                one, two = fps[a:b][own[a:b] == left[a]], fps[a:b][own[a:b] == right[a]]
                 if not len(one) or not len(two):
                     continue
                 bits = np.bitwise_count(one[:, None] ^ two[None, :])
@@ -187,36 +192,27 @@ def _links(max_bits: int):
 
 def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Edges ``u, v`` between rows of ``distinct`` (one column ``fp``), which
-    connect exactly what all links connect.
+    connect exactly what all links connect.  Runs a job when called.
 
     ``max_bits`` is 4 at most: the keys promise no more.
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find links of up to {MAX_BITS} bits")
-    keys = distinct.select("fp").mapInArrow(_key_rows, "kind tinyint, key int, side tinyint, fp bigint")
-    buckets = (keys.groupBy("kind", "key")
-               .agg(F.sum((F.col("side") == 0).cast("int")).alias("n_left"),
-                    F.sum((F.col("side") == 1).cast("int")).alias("n_right"),
-                    F.min("fp").alias("low"), F.max("fp").alias("high"), F.expr("bit_xor(fp)").alias("all_xor"))
-               .where("n_left > 0 and n_right > 0 and low <> high")
-               # most buckets hold two fingerprints that met by chance: their
-               # distance is known here (of three rows, the third is one of the two)
-               .withColumn("two", F.expr("n_left + n_right = 2 or n_left + n_right = 3 "
-                                         "and (all_xor ^ low ^ high) in (low, high)"))
-               .where(~F.col("two") | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= max_bits))
-               .select("kind", "key", F.ceil(F.col("n_left") / block).cast("int").alias("lefts"),
-                       F.ceil(F.col("n_right") / block).cast("int").alias("rights")))
-    rows = keys.join(buckets, ["kind", "key"])
-    # a row goes to every block of the other side
-    left = F.col("side") == 0
-    rows = rows.select("kind", "key", "side", "fp", "lefts", "rights",
-                       block_of(F.col("fp"), F.when(left, F.col("lefts")).otherwise(F.col("rights"))).alias("own"),
-                       F.explode(F.sequence(F.lit(0), F.when(left, F.col("rights"))
-                                            .otherwise(F.col("lefts")) - 1)).alias("other"))
-    rows = rows.select("kind", "key", F.when(left, F.col("own")).otherwise(F.col("other")).alias("left"),
-                       F.when(left, F.col("other")).otherwise(F.col("own")).alias("right"), "side", "fp")
-    return in_units(rows, ["kind", "key", "left", "right"], []).mapInArrow(
-        _links(max_bits), "u bigint, v bigint")
+    keys = distinct.select("fp").mapInArrow(_key_rows, "key bigint, fp bigint")
+    close = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= max_bits
+    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"),
+                                             F.max("fp").alias("high"))
+                     .where((F.col("n") > 2) | (F.col("n") == 2) & close), "simhash-buckets")
+    pairs = buckets.where("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
+    large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = keys.join(large, "key")
+    # a row meets every block of its bucket, its own included
+    rows = rows.select("key", "fp", block_of(F.col("fp"), F.col("blocks")).alias("own"),
+                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+                       "own", "fp")
+    compared = in_units(rows, ["key", "left", "right"], []).mapInArrow(_links(max_bits), "u bigint, v bigint")
+    return pairs.unionByName(compared)
 
 
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
