@@ -163,6 +163,24 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key another row has; holds one batch."""
+    key = fp = np.empty(0, np.int64)
+    met = np.empty(0, bool)
+    for batch in batches:
+        # the last row waits for the next batch
+        key = np.concatenate([key[-1:], batch.column(0).to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([fp[-1:], batch.column(1).to_numpy(zero_copy_only=False)])
+        met = np.concatenate([met[-1:], np.zeros(batch.num_rows, bool)])
+        same = key[1:] == key[:-1]
+        met[1:] |= same
+        met[:-1] |= same
+        out = np.flatnonzero(met[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(fp[out])], ["key", "fp"])
+    if met[-1:].any():
+        yield pa.RecordBatch.from_arrays([pa.array(key[-1:]), pa.array(fp[-1:])], ["key", "fp"])
+
+
 def _links(max_bits: int):
     unit = ["key", "left", "right"]
 
@@ -199,10 +217,12 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, block: in
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find links of up to {MAX_BITS} bits")
     keys = distinct.select("fp").mapInArrow(_key_rows, "key bigint, fp bigint")
+    # most keys are met once; the rest is a small table
+    keys = stored(in_units(keys, ["key"], []).mapInArrow(_met, "key bigint, fp bigint"), "simhash-met")
     close = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= max_bits
-    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"),
-                                             F.max("fp").alias("high"))
-                     .where((F.col("n") > 2) | (F.col("n") == 2) & close), "simhash-buckets")
+    buckets = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"),
+                                       F.max("fp").alias("high"))
+               .where((F.col("n") > 2) | (F.col("n") == 2) & close))
     pairs = buckets.where("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
     large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = keys.join(large, "key")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF01, SCHEMA, components, empty_docs, sentence, sha, texts, tricky_docs
 from pyspark.sql import functions as F
@@ -140,6 +141,15 @@ def test_golay_keys_miss_no_pair():
     assert {r for r, _ in keys[0] & keys[1]} == set(range(60_000))
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 100])
+def test_keys_met_once_go(rows):
+    keys = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
+    table = pa.table({"key": keys, "fp": list(range(10))})
+    got = [r for b in simhash._met(iter(table.to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    assert got == [{"key": k, "fp": i} for i, k in enumerate(keys) if keys.count(k) > 1]
+    assert list(simhash._met(iter([]))) == []
+
+
 @pytest.mark.parametrize("block", [1, 3, 512])
 def test_linked_fingerprints_in_blocks(spark, block):
     rng = np.random.default_rng(1)
