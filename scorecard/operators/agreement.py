@@ -20,12 +20,16 @@ from .compare import AGGREGATE_MODEL, WIDE_KEYS
 
 
 def complete_pairs(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> DataFrame:
-    """Rows of every other rater joined with the reference score of the same
-    cell; incomplete pairs (either score NULL) are dropped."""
-    ref = (long.where((F.col("model") == reference) & F.col("score").isNotNull())
-           .select(*keys, F.col("score").alias("ref_score")))
-    other = long.where((F.col("model") != reference) & F.col("score").isNotNull())
-    return other.select(*keys, "model", "score").join(ref, keys, "inner")
+    """Rows of every other rater with the reference score of the same cell;
+    incomplete pairs (either score NULL) are dropped.  One aggregation per
+    cell that collects its raters, no self-join; NULL key parts are a cell of
+    their own, as in the listed form (:func:`pivot_pairs`)."""
+    is_ref = F.col("model") == reference
+    cells = long.where(F.col("score").isNotNull()).groupBy(*keys).agg(
+        F.max(F.when(is_ref, F.col("score"))).alias("ref_score"),
+        F.collect_list(F.when(~is_ref, F.struct("model", "score"))).alias("_others"))
+    return (cells.where(F.col("ref_score").isNotNull())
+            .select(*keys, F.inline("_others"), "ref_score"))
 
 
 def spearman(pairs: DataFrame, group_cols: list[str], checkpoint: bool = True) -> DataFrame:

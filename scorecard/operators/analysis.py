@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean
+from ..functions.numeric import grid_mean, quoted, round6, row_grid_mean
 
 
 def _mean_by(df: DataFrame, keys: list[str], digits: int | None) -> DataFrame:
@@ -53,13 +53,18 @@ def pivot_cells(df: DataFrame, index: list[str], column: str, values: list[str],
                 value: str = "score", strict: bool = False) -> DataFrame:
     """PV1/PV2: ``index`` x ``values`` pivot of unique cells.
 
-    Values are explicit (no discovery job).  Duplicate cells are resolved
-    by ``first``; :func:`duplicate_cells` counts them.  ``strict=True``
-    raises on duplicates like the reference (one extra aggregation job).
+    Values are explicit (no discovery job); a row whose value is not listed
+    fails the query instead of vanishing (filter first to leave it out; NULLs
+    have no column).  Duplicate cells are resolved by ``first``;
+    :func:`duplicate_cells` counts them.  ``strict=True`` raises on duplicates
+    like the reference (one extra aggregation job).
     """
     if strict and not duplicate_cells(df, index, column).isEmpty():
         raise ValueError("pivot: duplicate cells for " + ", ".join(index + [column]))
-    return df.groupBy(*index).pivot(column, values).agg(F.first(value))
+    of = F.col(column)
+    known = F.when(of.isNull() | of.isin(values), of).otherwise(
+        F.raise_error(F.concat(F.lit(f"pivot: {column} is not listed: "), of.cast("string"))))
+    return df.withColumn(column, known).groupBy(*index).pivot(column, values).agg(F.first(value))
 
 
 def duplicate_cells(df: DataFrame, index: list[str], column: str) -> DataFrame:
@@ -71,13 +76,12 @@ def duplicate_cells(df: DataFrame, index: list[str], column: str) -> DataFrame:
 def question_ranking(cells: DataFrame, index: list[str], column: str, values: list[str],
                      value: str = "score") -> DataFrame:
     """PV3: pivot plus the skip-null row mean over the value columns, sorted
-    descending (NULLs last); the mean is computed on the long side and only
+    descending (NULLs last, means that agree to six decimals by key); only
     its order is kept (``position``)."""
-    row_mean = (cells.where(F.col(column).isin(values)).groupBy(*index)
-                .agg(F.avg(value).alias("_avg")))
     wide = pivot_cells(cells, index, column, values, value)
-    ranked = wide.join(row_mean, index, "left")
+    mean = round6(row_grid_mean([quoted(v) for v in values], None))
     # one row per question: bounded by the rubric, so a global order is fine
     w = Window.orderBy(F.desc_nulls_last("_avg"), *index)
-    return (ranked.withColumn("position", F.row_number().over(w).cast("bigint"))
+    return (wide.withColumn("_avg", mean)
+            .withColumn("position", F.row_number().over(w).cast("bigint"))
             .orderBy("position").drop("_avg"))

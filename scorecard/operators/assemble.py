@@ -73,7 +73,7 @@ def assemble_text_evals(question_scores: DataFrame, texts: DataFrame | None = No
     else:
         out = out.withColumn("input_text", F.lit(None).cast("string"))
     if rubric_doc is not None:
-        out = out.crossJoin(F.broadcast(rubric_doc.select("concepts")))  # one row
+        out = out.crossJoin(rubric_doc.select("concepts"))  # one row
     else:
         out = out.withColumn("concepts", F.lit(None).cast(
             "array<struct<concept_description:string,dimensions:array<struct<"

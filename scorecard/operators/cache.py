@@ -2,8 +2,8 @@
 
 The cache is a table ``cache_key, top_logprobs, error`` in the shared
 store.  The key is content-addressed: SHA-256 over the rater, the prompt
-template version, the rubric position of the question, the temperature
-and the SHA-256 of the text.  Hashing the text once per text (before the
+template version, the question with its place in the rubric, examples and
+polarity, the temperature and the SHA-256 of the text.  Hashing the text once per text (before the
 grid expansion) keeps the per-row key cheap even for long texts.
 
 * work list = grid ``left_anti`` cache (only these rows go to the scorer);
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY_SEPARATOR = "|"
+#: Rubric columns that a prompt or its answer depends on.
+RUBRIC_PARTS = ["concept", "dimension", "question_label", "question", "examples", "positive_contribution"]
 
 
 def text_hash(text="input_text") -> Column:
@@ -25,11 +26,18 @@ def text_hash(text="input_text") -> Column:
 
 
 def cache_key(prompt_version: str, temperature: Column | None = None) -> Column:
-    """Key of one grid row (needs model, concept, dimension, question_label,
-    text_hash columns)."""
-    temp = F.coalesce(temperature.cast("string"), F.lit("")) if temperature is not None else F.lit("")
-    return F.sha2(F.concat_ws(KEY_SEPARATOR, F.col("model"), F.lit(prompt_version), F.col("concept"),
-                              F.col("dimension"), F.col("question_label"), temp, F.col("text_hash")), 256)
+    """Key of one grid row (needs model, the rubric columns and text_hash).
+
+    Every part is written as ``length:value``, a NULL as ``-``, so neither
+    NULLs nor separators inside a part make two prompts share a key.
+    """
+    temp = temperature if temperature is not None else F.lit(None)
+    parts = [F.col("model"), F.lit(prompt_version), *[F.col(c) for c in RUBRIC_PARTS], temp, F.col("text_hash")]
+    return F.sha2(F.concat(*[_part(p.cast("string")) for p in parts]), 256)
+
+
+def _part(value: Column) -> Column:
+    return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
 
 def with_cache_key(grid: DataFrame, prompt_version: str) -> DataFrame:

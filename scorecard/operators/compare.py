@@ -41,9 +41,18 @@ def aggregate_models(long: DataFrame, models: list[str], keys: list[str] = WIDE_
 
 def with_aggregate(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEYS,
                    digits: int | None = None) -> DataFrame:
-    """Long rows plus the aggregate pseudo-rater (PV7 then PV8's column set)."""
-    agg = aggregate_models(long, models, keys, digits)
-    return long.select(*keys, "model", "score").unionByName(agg.select(*keys, "model", "score"))
+    """Long rows plus the aggregate pseudo-rater (PV7 then PV8's column set).
+
+    One aggregation per cell, so the input is read and shuffled once; what it
+    collects is the raters of a cell (one row each)."""
+    chosen = F.col("model").isin(models)
+    cells = long.groupBy(*keys).agg(
+        F.collect_list(F.struct("model", "score")).alias("_rows"),
+        grid_mean(F.when(chosen, F.col("score")), digits).alias("_mean"),
+        F.bool_or(chosen).alias("_any"))
+    added = F.array(F.struct(F.lit(AGGREGATE_MODEL).alias("model"), F.col("_mean").alias("score")))
+    rows = F.when(F.col("_any"), F.concat("_rows", added)).otherwise(F.col("_rows"))
+    return cells.select(*keys, F.inline(rows))
 
 
 def wide_by_model(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEYS,

@@ -1,8 +1,8 @@
 """Evaluation grid (EV1), prompt rendering (EV2/EV3) and temperature sweep (EV12).
 
 The grid is texts x raters x rubric questions.  Raters and rubric are
-configuration; their product is broadcast after an explicit size check,
-so the texts are never shuffled for the expansion.  Texts are first
+configuration, which Spark broadcasts below its own byte threshold, so the
+texts are not shuffled for the expansion.  Texts are first
 hash-partitioned by ``label`` (one narrow row per text), and the
 broadcast nested-loop expansion keeps that partitioning, so every later
 aggregation keyed by a ``label`` prefix (the whole roll-up) runs without
@@ -16,34 +16,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Config tables up to this many rows are broadcast; larger ones fall back to
-# a distributed cartesian product (partition pairs, nothing gathered).
-MAX_BROADCAST_ROWS = 200_000
-
-
-_SIZES: dict[tuple, int] = {}
-
-
-def config_rows(df: DataFrame) -> int:
-    """Row count of a configuration table, remembered per plan (the same
-    rubric and raters are size-checked once per application)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    if key not in _SIZES:
-        _SIZES[key] = df.count()
-    return _SIZES[key]
-
-
-def expand(left: DataFrame, right: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Every left row x every row of a configuration table (size-checked)."""
-    n = config_rows(right)  # size check on a configuration table
-    if n <= max_rows:
-        return left.crossJoin(F.broadcast(right))
+def expand(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every left row x every row of a configuration table.  Spark broadcasts
+    it below its own byte threshold; beyond that, a distributed product."""
     return left.crossJoin(right)
 
 
 def evaluation_grid(texts: DataFrame, raters: DataFrame, rubric: DataFrame,
-                    num_partitions: int | None = None,
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """EV1: one row per (text, rater, question).
 
     ``texts`` should already be narrow (label + per-text columns the scorer
@@ -51,17 +31,13 @@ def evaluation_grid(texts: DataFrame, raters: DataFrame, rubric: DataFrame,
     """
     by_label = (texts.repartition(num_partitions, "label") if num_partitions
                 else texts.repartition("label"))
-    config = raters.crossJoin(F.broadcast(rubric)).cache()
-    if config_rows(config) <= max_broadcast_rows:  # size check
-        return by_label.crossJoin(F.broadcast(config))
-    config.unpersist()
-    return expand(expand(by_label, raters, max_broadcast_rows), rubric, max_broadcast_rows)
+    return expand(expand(by_label, raters), rubric)
 
 
 # --------------------------------------------------------------------------
 # Prompt templates.  Fixed values: the evaluation prompts of the reference
 # pipeline (system prompt and per-question prompt, Dutch), placeholders in
-# braces.  ``{question}`` occurs twice in the question prompt.
+# braces, blanks at line ends included.  ``{question}`` occurs twice in the question prompt.
 SYSTEM_PROMPT_TEMPLATE = """
 Je bent een expert in het beoordelen van teksten. Je bent gespecialiseerd in {concept}. Je beoordeelt teksten op basis van de informatie die je hebt gekregen. Je kunt alleen antwoorden met 'True' of 'False'.
 Het is belangrijk dat je neutraal blijft bij de beoordeling."""
@@ -70,7 +46,7 @@ QUESTION_PROMPT_TEMPLATE = """
 # Opdracht:
 Je krijgt een stuk tekst te zien. Je gaat de tekst evalueren op het gebied van {concept}. Je richt je hierbij op de volgende vraag:
 {question}
-De vraag draait om de dimensie {dimension} van het concept {concept}. Je mag de vraag alleen beantwoorden met 'True' of 'False'.
+De vraag draait om de dimensie {dimension} van het concept {concept}. Je mag de vraag alleen beantwoorden met 'True' of 'False'. 
 Bekijk de hele tekst goed. Wees hierbij erg kritisch. Geef niet het wenselijke antwoord, maar wees eerlijk. Het is beter om iets te streng te zijn dan te soepel.
 
 # Voorbeeld informatie:
@@ -80,10 +56,10 @@ Bekijk de hele tekst goed. Wees hierbij erg kritisch. Geef niet het wenselijke a
 {input_text}
 
 
-
+         
 # Herhaling vraag:
 {question}
-
+         
 Evalueer de tekst en beantwoordt de vraag met True of False, wees hierbij kritisch.
 """
 

@@ -77,8 +77,8 @@ def human_question_scores(texts: DataFrame, rubric: DataFrame, ratings: DataFram
     """HU1-HU6: rubric x texts, score = Likert-normalised rating.
 
     Texts join their rating map on ``label`` (both sides shuffled once, by
-    label), then expand against the broadcast rubric; that keeps the
-    label partitioning for the roll-up.  A missing sheet or question label
+    label), then expand against the rubric, which Spark broadcasts below its
+    own threshold; that keeps the label partitioning for the roll-up.  A missing sheet or question label
     gives a NULL score instead of the reference's KeyError/TypeError;
     ``strict=True`` raises when a text has no sheet at all (HU2).
     """
@@ -88,10 +88,10 @@ def human_question_scores(texts: DataFrame, rubric: DataFrame, ratings: DataFram
     # ratings or sort-merge), the grid keeps this partitioning for the roll-up
     # only ratings of rubric questions: keeps each text's map bounded by the
     # rubric even if a sheet carries many unrelated rows
-    known = F.broadcast(rubric.select(F.col("question_label").alias("label")).distinct())
+    known = rubric.select(F.col("question_label").alias("label")).distinct()
     ratings = ratings.join(known, "label", "left_semi")
     base = texts.select("label").repartition("label").join(ratings_by_text(ratings), "label", "left")
-    grid = base.crossJoin(F.broadcast(rubric))
+    grid = base.crossJoin(rubric)
     rating = F.try_element_at(F.col("ratings"), F.col("question_label"))
     pc = F.col("positive_contribution")
     score = likert_to_unit(rating, pc)

@@ -36,7 +36,7 @@ def profile(flat: DataFrame, concept: str, models: list[str], dim_order: DataFra
         f = f.where(F.col("label") == label)
     dims = (f.where(F.col("dimension").isNotNull() & (F.col("dimension") != ""))
             .select("label", "dimension").distinct()
-            .join(F.broadcast(dim_order), "dimension", "left"))
+            .join(dim_order, "dimension", "left"))
     # models: a short config list, expanded in place (no join)
     grid = dims.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     scores = f.where(F.col("level") == "dimension").select("label", "model", "dimension", "score")

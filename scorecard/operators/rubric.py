@@ -48,16 +48,18 @@ def dimension_order(flat: DataFrame) -> DataFrame:
 
 
 def dimension_weights(flat: DataFrame) -> DataFrame:
-    """RB4: weight = questions in the dimension / all questions."""
+    """RB4: weight = questions in the dimension / all questions.  The labels
+    are collected only if ``question_labels`` is read."""
     per_dim = flat.groupBy(F.col("Dimension").alias("dimension")).agg(
         F.count(F.lit(1)).alias("n_questions"),
+        F.min_by(F.col("Label").cast("string"), "ord").alias("first_label"),
         F.array_sort(F.collect_list(F.struct("ord", F.col("Label").cast("string").alias("label"))))
         .alias("_labels"))
     total = flat.agg(F.count(F.lit(1)).alias("_total"))
     return (per_dim.crossJoin(F.broadcast(total))  # one-row total
             .select("dimension", "n_questions",
                     (F.col("n_questions") / F.col("_total")).alias("weight"),
-                    F.transform("_labels", lambda s: s["label"]).alias("question_labels")))
+                    "first_label", F.transform("_labels", lambda s: s["label"]).alias("question_labels")))
 
 
 def concept_summary(flat: DataFrame, concept_name: str) -> DataFrame:

@@ -339,16 +339,14 @@ FROM e_raw WHERE score IS NOT NULL GROUP BY label, model, concept, dimension, qu
         for c in ["model", "concept", "text_key", "dimension"])
     o["pivot_dimension"] = (cm + f", dt AS (SELECT dimension, text_key, {r6('avg(score)')} AS score "
                             "FROM cm GROUP BY dimension, text_key)\n" + l_pivot("dt", "dimension"))
-    aq = ("WITH " + L_CTE + ", aq AS (" +
-          l_avg("concept, dimension, question, text_key", "dimension = '3'") + ")\n")
-    o["pivot_question"] = aq + l_pivot("aq", "concept, question")
-    years = ", ".join(f"'{y}'" for y in fx.L_YEARS)
-    o["question_ranking"] = (aq + ", pv AS (" + l_pivot("aq", "concept, question") + "),\n"
-                             f"ra AS (SELECT concept, question, avg(score) AS a FROM aq WHERE text_key IN ({years}) "
-                             "GROUP BY concept, question)\n"
+    aq = ("WITH " + L_CTE + ", aq AS (" + l_avg("concept, dimension, question, text_key") + ")\n")
+    index = "concept, dimension, question"
+    o["pivot_question"] = aq + l_pivot("aq", index)
+    o["question_ranking"] = (aq + ", pv AS (" + l_pivot("aq", index) + "),\n"
+                             f"ra AS (SELECT {index}, avg(score) AS a FROM aq GROUP BY {index})\n"
                              "SELECT pv.*, CAST(row_number() OVER (ORDER BY " + r6("ra.a") +
-                             " DESC NULLS LAST, pv.concept, pv.question) AS BIGINT) AS position "
-                             "FROM pv LEFT JOIN ra ON pv.concept = ra.concept AND pv.question = ra.question")
+                             f" DESC NULLS LAST, {index}) AS BIGINT) AS position "
+                             f"FROM pv LEFT JOIN ra USING ({index})")
     # ---- phase 6: agreement on E
     ew = "WITH " + E_CTES
     models = ["click", "error", "purchase", "signup", "view", "aggregate_models"]
@@ -461,9 +459,14 @@ def render_sql(template: str, cols: dict[str, str]) -> str:
     return "concat(" + ", ".join(parts) + ")"
 
 
+def _key_part(expr: str) -> str:
+    return f"coalesce(CAST(length(CAST({expr} AS VARCHAR)) AS VARCHAR) || ':' || CAST({expr} AS VARCHAR), '-')"
+
+
 KEYED = """th AS (SELECT CAST(doc_id AS VARCHAR) AS label, sha256(text) AS text_hash FROM documents),
-keyed AS (SELECT r.*, sha256(concat_ws('|', r.model, '{pv}', r.concept, r.dimension, r.question_label, '',
-          th.text_hash)) AS cache_key FROM resp r JOIN th ON r.label = th.label),
+keyed AS (SELECT r.*, sha256(""" + " || ".join(_key_part(p) for p in (
+    "r.model", "'{pv}'", "r.concept", "r.dimension", "r.question_label", "r.question", "r.examples",
+    "r.positive_contribution", "NULL", "th.text_hash")) + """) AS cache_key FROM resp r JOIN th ON r.label = th.label),
 cache AS (SELECT cache_key, min(top_logprobs) AS top_logprobs, min(error) AS error FROM keyed
           WHERE CAST(label AS BIGINT) % 3 = 0 GROUP BY cache_key)"""
 

@@ -109,8 +109,7 @@ def q_rubric_dimensions(spark, sf_dir):
 @query("rubric_weights")
 def q_rubric_weights(spark, sf_dir):
     w = rb.dimension_weights(fx.p_flat_rubric(spark, sf_dir))
-    return w.select("dimension", "n_questions", "weight",
-                    F.get(F.col("question_labels"), 0).alias("first_label"))
+    return w.select("dimension", "n_questions", "weight", "first_label")
 
 
 @query("rubric_concept")
@@ -233,6 +232,7 @@ from ..operators import filters as flt  # noqa: E402
 L_DIGITS = 3  # scores are 3-decimal values: exact, order-independent means
 L_DIMENSION = "3"
 L_MODEL = "R"
+L_QUESTION = ["concept", "dimension", "question"]
 
 
 def _l(spark, sf_dir):
@@ -304,14 +304,14 @@ def q_pivot_dimension(spark, sf_dir):
 
 @query("pivot_question")
 def q_pivot_question(spark, sf_dir):
-    cells = an.avg_question(flt.filter_dimension(_l(spark, sf_dir), L_DIMENSION), L_DIGITS)
-    return an.pivot_cells(cells, ["concept", "question"], "text_key", fx.L_YEARS)
+    cells = an.avg_question(_l(spark, sf_dir), L_DIGITS)
+    return an.pivot_cells(cells, L_QUESTION, "text_key", fx.L_YEARS)
 
 
 @query("question_ranking")
 def q_question_ranking(spark, sf_dir):
-    cells = an.avg_question(flt.filter_dimension(_l(spark, sf_dir), L_DIMENSION), L_DIGITS)
-    return an.question_ranking(cells, ["concept", "question"], "text_key", fx.L_YEARS)
+    cells = an.avg_question(_l(spark, sf_dir), L_DIGITS)
+    return an.question_ranking(cells, L_QUESTION, "text_key", fx.L_YEARS)
 
 
 # ------------------------------------------------- phase 6: agreement on E

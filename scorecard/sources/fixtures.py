@@ -48,7 +48,7 @@ HUMAN_RATER = "human"
 ABSTAIN_MAX_WORDS = 5  # fewer words -> the scorer answers "Maybe"
 
 PROMPT_VERSION = hashlib.sha256(
-    (SYSTEM_PROMPT_TEMPLATE + QUESTION_PROMPT_TEMPLATE).encode("utf-8")).hexdigest()[:16]
+    (SYSTEM_PROMPT_TEMPLATE + QUESTION_PROMPT_TEMPLATE).encode("utf-8")).hexdigest()
 
 
 _CONFIG: dict[tuple, DataFrame] = {}
@@ -156,7 +156,7 @@ def d_ratings(spark: SparkSession, sf_dir: str, rubric: DataFrame | None = None)
     rubric = rubric if rubric is not None else d_rubric(spark)
     labels = table(spark, sf_dir, "labels")
     qs = rubric.select("question_label", "positive_contribution")
-    return (labels.crossJoin(F.broadcast(qs))
+    return (labels.crossJoin(qs)
             .select(F.col("doc_id").cast("string").alias("sheet"),
                     F.col("question_label").alias("label"),
                     F.when(F.col("positive_contribution"), F.lit(1) + F.lit(4) * F.col("quality"))

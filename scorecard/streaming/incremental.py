@@ -40,7 +40,8 @@ def start_incremental_evaluation(spark: SparkSession, texts_dir: str, out_dir: s
     texts = reader.load(texts_dir)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        ev = evaluate(batch, raters, rubric, scorer)
+        # five tables are written: score each prompt once, not once a table
+        ev = evaluate(batch, raters, rubric, scorer, persist=True)
         q = ev.question_scores
         tables = {"question_scores": q, "dimension_scores": ev.dimension_scores,
                   "concept_scores": ev.concept_scores, "model_scores": ev.model_scores,

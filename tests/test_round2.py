@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorecard.operators import agreement as ag
-from scorecard.operators import cache, compare, report, rollup
+from scorecard.operators import analysis, cache, compare, report, rollup
 from scorecard.sources import readers, sinks
 
 RATERS = ["gpt-3.5-turbo-0125", "a.b.c", "plain"]
@@ -83,3 +83,38 @@ def test_partly_failed_rater_has_no_score(spark):
     assert d.where("model = 'ok' and score is not null").count() == 1
     m = {r.model: r.status for r in rollup.model_scores(c).collect()}
     assert m == {"m": "error", "ok": "ok"}
+
+
+def test_cache_key_follows_the_question(spark):
+    cols = ["model", *cache.RUBRIC_PARTS, "text_hash"]
+    row = {"model": "m", "concept": "c", "dimension": "d", "question_label": "q", "question": "Short?",
+           "examples": "", "positive_contribution": True, "text_hash": "h"}
+    rows = [row, {**row, "question": "Long?"}, {**row, "examples": "e"}, {**row, "positive_contribution": False},
+            {**row, "examples": None}, {**row, "concept": "c|d", "dimension": ""}, {**row, "concept": "c", "dimension": "|d"},
+            {**row, "concept": "c1:d", "dimension": ""}, row]
+    schema = ", ".join(f"{c} {'boolean' if c == 'positive_contribution' else 'string'}" for c in cols)
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema)
+    keys = [r.cache_key for r in cache.with_cache_key(df, "v1").collect()]
+    assert len(set(keys)) == len(rows) - 1 and keys[0] == keys[-1] and None not in keys
+
+
+def test_unlisted_pivot_values_raise(spark):
+    cells = spark.createDataFrame([("q", "a", 0.1), ("q", "b", 0.3), ("r", "a", 0.3), ("s", None, 0.9)],
+                                  "question string, text_key string, score double")
+    with pytest.raises(Exception, match="not listed"):
+        analysis.pivot_cells(cells, ["question"], "text_key", ["a"]).collect()
+    got = analysis.question_ranking(cells, ["question"], "text_key", ["a", "b"]).collect()
+    assert [(r.question, r.position) for r in got] == [("r", 1), ("q", 2), ("s", 3)]
+
+
+def test_pairs_and_aggregate_from_one_pass(spark):
+    df = long_table(spark).unionByName(spark.createDataFrame(
+        [("n", "c", None, "q", "ref", 0.5), ("n", "c", None, "q", "plain", 0.25), ("o", "c", "d", "q", "plain", None),
+         ("o", "c", "d", "q", "ref", 0.5), ("p", "c", "d", "q", "ref", 0.5)], long_table(spark).schema))
+    pairs = sorted(map(tuple, ag.complete_pairs(df, "ref").select("label", "question", "model", "score", "ref_score").collect()))
+    listed = sorted(map(tuple, ag.pivot_pairs(df, "ref", RATERS).select("label", "question", "model", "score", "ref_score").collect()))
+    assert pairs == listed and len(pairs) == 12 * 3 + 1
+    got = compare.with_aggregate(df, RATERS)
+    assert got.columns == df.columns and got.where("model <> 'aggregate_models'").exceptAll(df).count() == 0
+    agg = {r.label: r.score for r in got.where("model = 'aggregate_models'").collect()}
+    assert agg["n"] == 0.25 and agg["o"] is None and "p" not in agg and len(agg) == 14
