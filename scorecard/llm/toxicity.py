@@ -1,7 +1,8 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on the
-toxic text that ordinary text does not explain.  A window (one word with the
+Two zstandard dictionaries are made: one is trained on the whole ordinary
+texts of the sample, and one holds the toxic text that ordinary text does not
+explain.  A window (one word with the
 spaces around it) is compressed twice: with the ordinary dictionary, and with
 the ordinary and the toxic dictionary together.  What the second saves over
 the first, in bytes, is the window's distance; ordinary windows save next to
@@ -46,8 +47,8 @@ RATIO = 20.0
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 14
 #: Windows that a worker remembers, in each of two generations.
 REMEMBERED = 200_000
-#: Ordinary windows that the ordinary dictionary is trained on, at most.
-ORDINARY_WINDOWS = 20_000
+#: Words of a sample that the ordinary dictionary is trained on.
+ORDINARY_WORDS = 8
 
 
 @dataclass
@@ -208,7 +209,8 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 def train(examples: list[tuple[str, int]]) -> Model | None:
     """Dictionaries, step and calibration from labelled texts."""
     y = np.array([float(bool(label)) for _, label in examples])
-    words = [words_of(t) for t, _ in examples]
+    one: dict[str, str] = {}  # each word is held once
+    words = [[one.setdefault(w, w) for w in words_of(t)] for t, _ in examples]
     toxic, ordinary = ([w for w, label in zip(words, y) if label == k] for k in (1, 0))
     if not toxic or not ordinary:
         return None
@@ -217,8 +219,7 @@ def train(examples: list[tuple[str, int]]) -> Model | None:
     runs = telling_runs([spaced(" ".join(w)) for w in toxic], [spaced(" ".join(w)) for w in ordinary])
     samples = [spaced(w) for t in toxic for w in t if w in tell]
     samples += [s for t in toxic for w in t if w not in tell for s in telling_stretches(spaced(w), runs)]
-    per_text = max(1, ORDINARY_WINDOWS // len(ordinary))
-    plain = [spaced(" ".join(t[i:i + 8])) for t in ordinary for i in range(0, min(len(t), 8 * per_text), 8)]
+    plain = [spaced(" ".join(t[i:i + ORDINARY_WORDS])) for t in ordinary for i in range(0, len(t), ORDINARY_WORDS)]
     model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, samples), 1, (0.0,) * 5)
     measure = Distance(model.ordinary, model.toxic)
     found = [measure.savings(t) for t, _ in examples]

@@ -109,6 +109,21 @@ def test_classifiers_tricky_rows(spark):
     assert toxicity.drop_toxic(empty_docs(spark), None).count() == 0
 
 
+def test_toxicity_trains_on_whole_ordinary_texts(monkeypatch):
+    seen = {}
+    trained = toxicity._trained
+
+    def spy(size, samples):
+        seen.setdefault(len(seen), samples)
+        return trained(size, samples)
+
+    monkeypatch.setattr(toxicity, "_trained", spy)
+    ordinary = [" ".join(f"w{d}x{i}" for i in range(700)) for d in range(300)]
+    toxic = [f"{t} slurword slurword" for t in ordinary[:40]]
+    assert toxicity.train([(t, 0) for t in ordinary] + [(t, 1) for t in toxic])
+    assert {w for s in seen[0] for w in s.decode().split()} == {w for t in ordinary for w in t.split()}
+
+
 def test_pipeline_rows(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
