@@ -136,6 +136,37 @@ def test_token_counts_tricky_rows(spark, pieces):
     assert token_counts.count_documents(empty_docs(spark), queries.PIECES).count() == 0
 
 
+def test_stored_table_answers_every_prefix(spark, pieces):
+    rng = random.Random(4)
+    samples = ["".join(rng.choice("日本語東京abcdeTHE1234=+/é🙂\t") for _ in range(300)), "ab1" * 100, "x" * 300,
+               " " * 150 + "a" + " " * 90, base64.b64encode(rng.randbytes(240)).decode(), "internationalisation" * 12,
+               "a the\n\n thing " + "thereinafter_" * 20 + " end ", "", " a"]
+    own = token_counts.counter(open(queries.PIECES, "rb").read())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "doc_id bigint, text string")
+    table = F.col("prefixes")
+    ask = [5, 40, 100]
+    got = token_counts.count_documents(docs, queries.PIECES).select(
+        "doc_id", "prefixes", *[token_counts.fitting_chars(table, b).alias(f"f{b}") for b in ask],
+        *[token_counts.prefix_tokens(table, k).alias(f"p{k}") for k in ask]).collect()
+    assert len(got) == len(samples)
+    for r in got:
+        t = samples[r.doc_id]
+        want = [len(pieces.encode(t[:k])) for k in range(len(t) + 1)]
+        stored = np.array(r.prefixes.chars, int), np.array(r.prefixes.tokens, int)
+        assert [own.prefix("", k, stored) for k in range(len(t) + 1)] == want
+        for b in ask:
+            assert r[f"f{b}"] == max(k for k, n in enumerate(want) if n <= b), (t, b)
+            assert r[f"p{b}"] == want[min(b, len(t))], (t, b)
+
+
+def test_token_counts_without_additive_segments(pieces):
+    own = token_counts.Counter(open(queries.PIECES, "rb").read())
+    own.additive, own.pieces = False, set()
+    for t in ("the cat\n sat " * 8, "日本" * 50):
+        assert [own.prefix(t, k, own.table(t)) for k in range(len(t) + 1)] == [
+            len(pieces.encode(t[:k])) for k in range(len(t) + 1)]
+
+
 def test_word_splits_of_the_tokenizer(words):
     rng = random.Random(5)
     encode = token_orc.WordEncoder(words)
