@@ -236,16 +236,18 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, block: in
 
 
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``fp, n, component_id`` for each distinct fingerprint of ``fps``
-    (columns ``doc_id, fp``): ``n`` rows have it, and ``component_id`` is the
-    smallest id of all rows that links reach."""
+    """``fp, n, component, component_id`` for each distinct fingerprint of
+    ``fps`` (columns ``doc_id, fp``): ``n`` rows have it, ``component`` is one
+    fingerprint for all that links reach, and ``component_id`` is the smallest
+    id of their rows."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")),
                       "fingerprints")
     found = connected_components(linked_fingerprints(distinct, max_bits))
     placed = (distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "least", "n", F.coalesce("component", "fp").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return stored(placed.join(smallest, "component").select("fp", "n", "component_id"), "fingerprint-components")
+    return stored(placed.join(smallest, "component").select("fp", "n", "component", "component_id"),
+                  "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -266,12 +268,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group, all
-    columns kept, whatever their names.  Runs jobs when called."""
+    """``docs`` with one row of each group, all columns kept, whatever their
+    names: the one of the smallest id (null ids last), and of those that
+    share it, of the smallest hash of the text.  Runs jobs when called."""
     prepare(docs.sparkSession)
-    own = fingerprints(words)(docs["text"].cast("string"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("fp"))
-    fps = stored(rows.select("row.doc_id", "fp"), "simhash")
+    text = docs["text"].cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), fingerprints(words)(text).alias("fp"),
+                       F.xxhash64(text).alias("text_hash"))
+    fps = stored(rows.select("row.doc_id", "fp", "text_hash"), "simhash")
     comps = fingerprint_components(fps, max_bits)
-    return (split_hot(rows, comps, ["fp"], "n", fps.count())
-            .where(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).select("row.*"))
+    # the first row of each fingerprint, with the number of rows equal to it, and the first of those of a group
+    firsts = (fps.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("ties"))
+              .groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp",
+                                                "ties")).alias("best")))
+    chosen = stored(firsts.join(comps, "fp").groupBy("component").agg(
+        F.min("best").alias("best")).select("best.*"), "kept-of-groups")
+    sizes = comps.select("fp", "n").join(chosen.withColumnsRenamed({"doc_id": "best_id", "text_hash": "best_hash"}), "fp")
+    kept = split_hot(rows, sizes, ["fp"], "n", fps.count()).where(
+        F.col("row.doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")))
+    if chosen.where("ties > 1").isEmpty():
+        return kept.select("row.*")
+    # rows of one id and one text: any of them, by the hash of the whole row
+    tied = kept.where("ties > 1").groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.where("ties = 1").select("row.*").unionByName(tied.select("row.*"))

@@ -268,3 +268,18 @@ def test_near_copies_are_found(spark):
     found = sum(got[i] == i - i % 10 for i in got)
     assert found >= 0.9 * len(got) and all(got[i] // 10 == i // 10 for i in got)
     assert sentence(rng, 3)
+
+
+def test_one_row_of_each_near_duplicate_group(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = [" ".join(base), " ".join([*base, "."]), " ".join([*base, "!"])]
+    other = [" ".join(f"v{i}" for i in range(400)) + end for end in ("", " .", " !")]
+    third = " ".join(f"u{i}" for i in range(400))
+    rows = [(None, t) for t in near] + [(7, t) for t in other] + [(9, third), (9, third), (None, third), (11, "alone x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {(None, None), (7, 7), (9, 9), (None, 9), (11, 11)}
+    got = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["11", "7", "9", "None"]
+    assert all(tuple(r) in rows for r in got)
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
