@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, embedding_dedup, exact_dedup, lattice_lm, mixing, quality, simhash, token_counts, token_orc,
-               toxicity)
+               toxicity, url_filter)
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+#: Verdict, host and path of the url rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_model(docs, labels(spark, sf_dir)))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = url_filter.rule_table(spark, URL_RULES)
+    weights = url_filter.fit_model(url_filter.labelled_by_rules(pages, rules))
+    return url_filter.judge(pages, rules, weights)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,4 +93,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_dedup, op3_embedding_dedup, op4_simhash, op5_lattice_lm, op6_token_orc, op7_mixing,
-    op8_quality, op9_token_counts, op10_toxicity, pipeline)}
+    op8_quality, op9_token_counts, op10_toxicity, op11_url_filter, pipeline)}
