@@ -61,4 +61,52 @@ SELECT doc_id, source, text, round(rate, 6) AS rate, n_copies, copy,
 FROM copies
 """
 
-ORACLES = {"op2_exact_dedup": EXACT_DEDUP, "op3_embedding_dedup": EMBEDDINGS, "op7_mixing": MIXING}
+# crc32 of the decimal id, bit by bit: a step of -1 shifts, any other is a byte's xor
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+           range(1, len(CAST(conv_id AS VARCHAR)) + 1),
+           lambda i: [CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END),
+           CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns) d),
+rebuilt AS (
+  SELECT i.conv_id, t.k, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.k <= i.h
+  UNION ALL
+  SELECT i.conv_id, 100 + t.k, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.k > i.h),
+steps AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, strlen(text) AS bytes,
+         md5(len(role) || ':' || role || text) AS h FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS node, NULL AS parent FROM ids
+  UNION ALL
+  SELECT conv_id, depth, bytes, string_agg(h, '') OVER w AS node,
+         coalesce(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING
+                                          AND 1 PRECEDING), '') AS parent
+  FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved
+  FROM prefixes GROUP BY node, depth, parent),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+above AS (
+  SELECT n.node AS low, substr(n.node, 1, 32 * CAST(u.d AS INT)) AS node, n.saved,
+         CASE WHEN k.node IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM nodes n LEFT JOIN kids k ON k.node = n.node, unnest(range(0, n.depth + 1)) AS u(d)),
+below AS (SELECT node, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM above GROUP BY node),
+lasts AS (SELECT conv_id, arg_max(node, depth) AS node FROM prefixes GROUP BY conv_id),
+ends AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+         FROM lasts GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(k.n_children, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.parent
+LEFT JOIN kids k ON k.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
+ORACLES = {"op2_exact_dedup": EXACT_DEDUP, "op3_embedding_dedup": EMBEDDINGS, "op7_mixing": MIXING,
+           "op12_prefix_trie": PREFIX_TRIE}
