@@ -108,5 +108,37 @@ FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.par
 LEFT JOIN kids k ON k.node = n.node LEFT JOIN ends e ON e.node = n.node
 """
 
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))
+    AS phrase
+  FROM words, range(1, 5) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, CAST(k AS BIGINT) AS k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j.j, x.a AS l, y.a AS r,
+         CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM candidates c JOIN range(1, 4) AS j(j) ON j.j < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j.j + 1:], ' ')),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_phrases AS (
+  SELECT c.lang, array_to_string(c.w[i.i:i.i + m.m - 1], ' ') AS phrase, max(c.a) AS around
+  FROM candidates c JOIN range(2, 4) AS m(m) ON m.m < c.k JOIN range(1, 4) AS i(i) ON i.i + m.m - 1 <= c.k
+  GROUP BY 1, 2),
+kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN inner_phrases p ON p.lang = l.lang AND p.phrase = l.phrase
+  WHERE p.around IS NULL OR 100 * CAST(p.around AS HUGEINT) < 80 * CAST(l.a AS HUGEINT))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n,
+       score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
 ORACLES = {"op2_exact_dedup": EXACT_DEDUP, "op3_embedding_dedup": EMBEDDINGS, "op7_mixing": MIXING,
-           "op12_prefix_trie": PREFIX_TRIE}
+           "op12_prefix_trie": PREFIX_TRIE, "op13_collocations": COLLOCATIONS}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embedding_dedup, exact_dedup, lattice_lm, mixing, prefix_trie, quality, simhash, token_counts,
-               token_orc, toxicity, url_filter)
+from . import (bpe, collocations, embedding_dedup, exact_dedup, lattice_lm, mixing, prefix_trie, quality, simhash,
+               token_counts, token_orc, toxicity, url_filter)
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,6 +90,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.rebuilt_paths(conversations))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,4 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_dedup, op3_embedding_dedup, op4_simhash, op5_lattice_lm, op6_token_orc, op7_mixing,
-    op8_quality, op9_token_counts, op10_toxicity, op11_url_filter, op12_prefix_trie, pipeline)}
+    op8_quality, op9_token_counts, op10_toxicity, op11_url_filter, op12_prefix_trie,
+    op13_collocations, pipeline)}
