@@ -45,11 +45,13 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 SCALE = 2_000_000
 #: Phrases of a trie, about.
-TRIE = 200_000
+TRIE = 100_000
 #: Bytes of text that are split into words at once; words that are counted at once.
-PART, BLOCK = 1 << 21, 3_000_000
+PART, BLOCK = 1 << 20, 600_000
 #: Distinct words that a task numbers before it begins anew.
-NUMBERED = 1_000_000
+NUMBERED = 200_000
+#: Rows of the Arrow batches that tasks return.
+ROWS_OUT = 20_000
 #: Parts in which a language's phrases are ranked before the last ranking.
 RANKED = 8
 
@@ -128,11 +130,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbered, n
     yield from emptied()
 
 
-def _rows(lang: str, phrases: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(phrases), 50_000):
-        part = phrases[i:i + 50_000]
+def _rows(lang: str, phrase, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``phrase`` of each key with its count, in small batches."""
+    for i in range(0, len(keys), ROWS_OUT):
+        part = [phrase(k) for k in keys[i:i + ROWS_OUT].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                                          pa.array(n[i:i + 50_000])], schema=COUNTS)
+                                          pa.array(n[i:i + ROWS_OUT])], schema=COUNTS)
 
 
 def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +146,11 @@ def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         n[0] = 0
         found = np.flatnonzero(n)
         words = numbers.listed()
-        yield from _rows(lang, [b"", *[words[i] for i in found]], np.concatenate([[n.sum()], n[found]]))
+        yield from _rows(lang, lambda i: words[i] if i else b"", np.concatenate([[0], found]),
+                         np.concatenate([[n.sum()], n[found]]))
         a, b = own[:len(ids) - 1], ids[1:starts + 1]
         pairs, n = np.unique((a * size + b)[(a > 0) & (b > 0)], return_counts=True)
-        yield from _rows(lang, [words[x] + b" " + words[y] for x, y in zip(pairs // size, pairs % size)], n)
+        yield from _rows(lang, lambda p: words[p // size] + b" " + words[p % size], pairs, n)
 
 
 # --- double-array tries -----------------------------------------------------
@@ -189,33 +193,36 @@ class DoubleArrayTrie:
         ones, with a single child, fill the gaps."""
         used = np.zeros(2 * (len(nodes) + symbols) + 4, bool)
         used[:2] = True
-        state, base, low, end = {0: 1}, {}, 2, 2
-        taken: list[tuple[int, int]] = []
+        state, base, low, hint, end = {0: 1}, {}, 2, 2, 2
         for at in sorted(range(len(nodes)), key=lambda i: -len(nodes[i])):
             kids = nodes[at]
             if not kids:
                 break
             codes = np.fromiter(sorted(kids), np.int64, len(kids))
-            while low < len(used) and used[low]:
-                low += 1
             offset = codes - codes[0]
-            near = low + np.flatnonzero(~used[low:min(end, low + 2048)])
-            near = near[near + offset[-1] < len(used)]
-            fits = near[~used[near[:, None] + offset].any(axis=1)] if len(kids) > 1 else near
-            first = int(fits[0]) if len(fits) else max(end, low)
-            if first + offset[-1] + symbols + 2 > len(used):
-                used = np.concatenate([used, np.zeros(len(used) + int(offset[-1]) + symbols, bool)])
+            while used[low]:
+                low += 1
+            # nodes with several children begin where the last one fitted; the others fill the gaps before it
+            start, window = max(hint, low) if len(kids) > 1 else low, 256
+            while True:  # the end always fits
+                if start + window + offset[-1] >= len(used):
+                    used = np.concatenate([used, np.zeros(len(used) + window + int(offset[-1]), bool)])
+                near = start + np.flatnonzero(~used[start:start + window])
+                fits = near[~used[near[:, None] + offset].any(axis=1)]
+                if len(fits):
+                    break
+                start, window = start + window, max(min(2 * window, (1 << 20) // len(kids)), 1)
+            first, hint = int(fits[0]), start
             used[first + offset] = True
             end = max(end, first + int(offset[-1]) + 1)
             base[at] = first - int(codes[0])
-            taken.append((at, first))
         order = [0]
         for at in order:  # parents first: states of children follow from the base
             for c, kid in nodes[at].items():
                 state[kid] = base[at] + c
                 order.append(kid)
         size = end + symbols + 1
-        self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int32)
+        self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         self.accept = np.full(size, -1, np.int32)
         for at, kids in enumerate(nodes):
             if kids:
@@ -228,7 +235,7 @@ class DoubleArrayTrie:
 
     def advance(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The next states; 0 where there is none, and for code 0."""
-        to = self.base[states] + codes
+        to = self.base[states] + codes  # no state is below minus the number of codes
         return np.where((self.check[to] == states) & (codes > 0), to, 0)
 
 
@@ -275,8 +282,7 @@ def proposed(batches: Iterator[pa.RecordBatch], trie: DoubleArrayTrie) -> Iterat
             at, found = at[inside], found[inside].astype(np.int64)
             after = ids[at + level]
             longer, n = np.unique((found * size + after)[after > 0], return_counts=True)
-            yield from _rows(lang, [trie.phrases[p][1].encode() + b" " + words[w]
-                                    for p, w in zip(longer // size, longer % size)], n)
+            yield from _rows(lang, lambda x: trie.phrases[x // size][1].encode() + b" " + words[x % size], longer, n)
 
 
 def counted(batches: Iterator[pa.RecordBatch], trie: DoubleArrayTrie) -> Iterator[pa.RecordBatch]:
@@ -285,8 +291,8 @@ def counted(batches: Iterator[pa.RecordBatch], trie: DoubleArrayTrie) -> Iterato
     for block in blocks(batches):
         for _, _, found in walk.accepted(*block):
             n += np.bincount(found, minlength=len(n))
-    for i in range(0, len(n), 50_000):
-        some = np.flatnonzero(n[i:i + 50_000]) + i
+    for i in range(0, len(n), ROWS_OUT):
+        some = np.flatnonzero(n[i:i + ROWS_OUT]) + i
         yield pa.RecordBatch.from_arrays(
             [pa.array([trie.phrases[j][0] for j in some], pa.string()),
              pa.array([trie.phrases[j][1] for j in some], pa.string()), pa.array(n[some])], schema=COUNTS)
@@ -310,9 +316,8 @@ def tries(phrases: DataFrame, size: int = TRIE) -> Iterator[DoubleArrayTrie]:
         part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)).cast("int")
         built = stored(phrases.select("lang", "phrase", part.alias("part")).groupBy("part")
                        .applyInPandas(build, "part int, trie binary"), "phrase-tries")
-        for i in range(parts):
-            for row in built.where(F.col("part") == i).collect():  # one trie
-                yield pickle.loads(row["trie"])
+        for i in sorted(row["part"] for row in built.select("part").collect()):
+            yield pickle.loads(built.where(F.col("part") == i).first()["trie"])  # one trie
 
 
 def walked(texts: DataFrame, phrases: DataFrame, walk, size: int = TRIE) -> DataFrame:
