@@ -9,14 +9,15 @@ words at spaces and tabs.  Phrases are 2 to 4 words next to each other in a piec
    words are (Apriori), so a trie of the frequent phrases of k words is
    walked over the text, and what follows an accepted phrase is proposed.
    Proposals with too few occurrences do not become candidates.
-3. Counts.  Double-array tries of all candidates are broadcast, one at a
+3. Counts.  Double-array tries of all candidates are broadcast, ``TOGETHER`` at a
    time; numpy advances the states of all text positions at once, a level
    for each word, counts the accepting states, and Spark sums the shards.
 4. Scores are exact whole numbers (decimals of 38 digits).
 
-Candidates are dealt by hash into as many tries as it takes for ``TRIE`` phrases each,
-about, whatever their number; a trie is built in a task, and only one is
-with the driver or a worker at a time.  Each trie costs a pass over the texts.
+Candidates are dealt by the hash of their first two words into as many tries as it
+takes for ``TRIE`` phrases each, about, whatever their number; a trie is built in a
+task, the driver holds one, and a worker ``TOGETHER`` of them.  So many tries cost one
+pass over the texts, in which each position meets a single trie.
 
 Defined results: null text is empty, null ``lang`` is ``und``; empty texts have no
 words; repeated rows and ids count each.  A very long text passes in parts of ``PART``
@@ -28,6 +29,7 @@ occurrences are ordered by phrase.  Empty tables give no rows.  Columns other th
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,10 +46,10 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase is dropped if a longer one around it has this share of its occurrences (percent).
 COVERED = 80
 SCALE = 2_000_000
-#: Phrases of a trie, about.
-TRIE = 100_000
+#: Phrases of a trie, about, and tries that one pass over the texts takes along.
+TRIE, TOGETHER = 100_000, 8
 #: Bytes of text that are split into words at once; words that are counted at once.
-PART, BLOCK = 1 << 20, 600_000
+PART, BLOCK = 1 << 20, 1_000_000
 #: Distinct words that a task numbers before it begins anew.
 NUMBERED = 200_000
 #: Rows of the Arrow batches that tasks return.
@@ -87,7 +89,7 @@ class Numbered:
         self.words: list[bytes] = []
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
     def listed(self) -> list[bytes]:
         """All words by number."""
@@ -123,7 +125,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbered, n
                 if total >= BLOCK:
                     yield from emptied(lang)
                     total = 0
-            waiting[lang].append(np.zeros(1, np.int64))
+            waiting[lang].append(np.zeros(1, np.int32))
             if len(numbers.ids) > NUMBERED:
                 yield from emptied()
                 numbers, total = Numbered(), 0
@@ -149,7 +151,8 @@ def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from _rows(lang, lambda i: words[i] if i else b"", np.concatenate([[0], found]),
                          np.concatenate([[n.sum()], n[found]]))
         a, b = own[:len(ids) - 1], ids[1:starts + 1]
-        pairs, n = np.unique((a * size + b)[(a > 0) & (b > 0)], return_counts=True)
+        inside = (a > 0) & (b > 0)
+        pairs, n = np.unique(a[inside].astype(np.int64) * size + b[inside], return_counts=True)
         yield from _rows(lang, lambda p: words[p // size] + b" " + words[p % size], pairs, n)
 
 
@@ -160,9 +163,14 @@ class DoubleArrayTrie:
     ``base[s] + c`` if ``check`` there is ``s``.  State 0 is dead, 1 the root; a
     language is the root's first symbol."""
 
-    def __init__(self, phrases: list[tuple[str, str]]):
-        self.phrases = sorted(phrases)
-        keys = [(lang, *phrase.encode().split(b" ")) for lang, phrase in self.phrases]
+    def __init__(self, phrases: list[tuple[str, str]], part: int = 0):
+        phrases = sorted(phrases)
+        self.part, self.names = part, sorted({lang for lang, _ in phrases})
+        at = {lang: i for i, lang in enumerate(self.names)}
+        self.lang_of = np.array([at[lang] for lang, _ in phrases], np.int32)
+        texts = [phrase.encode() for _, phrase in phrases]
+        self.text, self.ends = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        keys = [(lang, *text.split(b" ")) for (lang, _), text in zip(phrases, texts)]
         seen: dict = defaultdict(int)
         for key in keys:
             for x in key:
@@ -173,6 +181,12 @@ class DoubleArrayTrie:
         self.langs = {x: self.base[1] + c for x, c in self.codes.items() if isinstance(x, str)}
         self.depth = max((len(k) - 1 for k in keys), default=0)
 
+    def __len__(self) -> int:
+        return len(self.lang_of)
+
+    def phrase(self, i: int) -> bytes:
+        return self.text[self.ends[i]:self.ends[i + 1]]
+
     def _children(self, keys: list[tuple]) -> list[dict[int, int]]:
         """Children by code of the plain trie's nodes; the root is node 0."""
         nodes, self._ends = [{}], {}
@@ -239,101 +253,122 @@ class DoubleArrayTrie:
         return np.where((self.check[to] == states) & (codes > 0), to, 0)
 
 
+def owner(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    """The part of phrases that begin with two words, from the words' CRC-32."""
+    return (31 * first + second) % parts
+
+
 class Walk:
-    """A trie's states over blocks of text."""
+    """The states of some tries, of ``parts`` in all, over blocks of text.
 
-    def __init__(self, trie: DoubleArrayTrie):
-        self.trie, self.numbers, self.codes = trie, None, np.zeros(0, np.int64)
+    Each position is walked by the one trie that holds the phrases of its first
+    two words, so the work does not grow with the number of tries.
+    """
 
-    def _codes(self, numbers: Numbered) -> np.ndarray:
+    def __init__(self, tries: list[DoubleArrayTrie], parts: int):
+        self.tries, self.parts, self.numbers = tries, parts, None
+
+    def _learn(self, numbers: Numbered) -> None:
+        """Codes of the words in each trie, and their checksums."""
         words = numbers.listed()
         if numbers is not self.numbers:
-            self.numbers, self.codes = numbers, np.zeros(0, np.int64)
-        if len(self.codes) < len(words):
-            get = self.trie.codes.get
-            self.codes = np.concatenate([self.codes, np.fromiter(
-                (get(w, 0) for w in words[len(self.codes):]), np.int64, len(words) - len(self.codes))])
-        return self.codes
+            self.numbers, self.sums = numbers, np.zeros(0, np.int64)
+            self.codes = [np.zeros(0, np.int32) for _ in self.tries]
+        new = words[len(self.sums):]
+        if new:
+            self.sums = np.concatenate([self.sums, np.fromiter(map(zlib.crc32, new), np.int64, len(new))])
+            self.codes = [np.concatenate([c, np.fromiter((t.codes.get(w, 0) for w in new), np.int32, len(new))])
+                          for c, t in zip(self.codes, self.tries)]
 
     def accepted(self, lang: str, numbers: Numbered, ids: np.ndarray, starts: int):
-        """For each level, the start positions of accepted phrases, and their numbers."""
-        trie, codes = self.trie, self._codes(numbers)[ids]
-        if lang not in trie.langs:
-            return
-        at = np.arange(starts)
-        states = np.full(starts, trie.langs[lang], np.int64)
-        for level in range(trie.depth):
-            inside = at + level < len(ids)
-            at, states = at[inside], states[inside]
-            states = trie.advance(states, codes[at + level])
-            alive = states > 0
-            at, states = at[alive], states[alive]
-            found = trie.accept[states]
-            yield level + 1, at[found >= 0], found[found >= 0]
-
-
-def proposed(batches: Iterator[pa.RecordBatch], trie: DoubleArrayTrie) -> Iterator[pa.RecordBatch]:
+        """For each trie (by place) and level: the start positions of accepted
+        phrases, and their numbers."""
+        self._learn(numbers)
+        first = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        first = first[first < starts]
+        if self.parts > 1:
+            part = owner(self.sums[ids[first]], self.sums[ids[first + 1]], self.parts)
+            order = np.argsort(part, kind="stable")
+            first, part = first[order], part[order]
+        for i, (trie, codes) in enumerate(zip(self.tries, self.codes)):
+            if lang not in trie.langs:
+                continue
+            at = first if self.parts == 1 else first[slice(*np.searchsorted(part, [trie.part, trie.part + 1]))]
+            states = np.full(len(at), trie.langs[lang], np.int32)
+            for level in range(trie.depth):
+                inside = at + level < len(ids)
+                at, states = at[inside], states[inside]
+                states = trie.advance(states, codes[ids[at + level]])
+                alive = states > 0
+                at, states = at[alive], states[alive]
+                found = trie.accept[states]
+                yield i, level + 1, at[found >= 0], found[found >= 0]
+
+
+def proposed(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], parts: int) -> Iterator[pa.RecordBatch]:
     """Counts of the accepted phrases with each word that follows them."""
-    walk = Walk(trie)
+    walk = Walk(tries, parts)
     for lang, numbers, ids, starts in blocks(batches):
         size, words = len(numbers.ids), numbers.listed()
-        for level, at, found in walk.accepted(lang, numbers, ids, starts):
+        for i, level, at, found in walk.accepted(lang, numbers, ids, starts):
             inside = at + level < len(ids)
             at, found = at[inside], found[inside].astype(np.int64)
             after = ids[at + level]
             longer, n = np.unique((found * size + after)[after > 0], return_counts=True)
-            yield from _rows(lang, lambda x: trie.phrases[x // size][1].encode() + b" " + words[x % size], longer, n)
+            yield from _rows(lang, lambda x, t=tries[i]: t.phrase(x // size) + b" " + words[x % size], longer, n)
 
 
-def counted(batches: Iterator[pa.RecordBatch], trie: DoubleArrayTrie) -> Iterator[pa.RecordBatch]:
-    """Counts of the trie's phrases."""
-    walk, n = Walk(trie), np.zeros(len(trie.phrases), np.int64)
+def counted(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the tries' phrases."""
+    walk, counts = Walk(tries, parts), [np.zeros(len(t), np.int64) for t in tries]
     for block in blocks(batches):
-        for _, _, found in walk.accepted(*block):
-            n += np.bincount(found, minlength=len(n))
-    for i in range(0, len(n), ROWS_OUT):
-        some = np.flatnonzero(n[i:i + ROWS_OUT]) + i
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([trie.phrases[j][0] for j in some], pa.string()),
-             pa.array([trie.phrases[j][1] for j in some], pa.string()), pa.array(n[some])], schema=COUNTS)
+        for i, _, _, found in walk.accepted(*block):
+            counts[i] += np.bincount(found, minlength=len(counts[i]))
+    for trie, n in zip(tries, counts):
+        for j, lang in enumerate(trie.names):
+            own = np.flatnonzero((trie.lang_of == j) & (n > 0))
+            yield from _rows(lang, trie.phrase, own, n[own])
 
 
 # --- the corpus -------------------------------------------------------------
 
-def tries(phrases: DataFrame, size: int = TRIE) -> Iterator[DoubleArrayTrie]:
-    """Tries of about ``size`` phrases each, of all ``lang, phrase``, one by one.
+def built_tries(phrases: DataFrame, size: int = TRIE) -> tuple[DataFrame, int]:
+    """``part, trie`` (pickled) of tries of about ``size`` phrases each, of all
+    ``lang, phrase``, and the number of parts.
 
-    A phrase's trie is the hash of the phrase; so the number of phrases in a trie
-    scatters by its square root only.
+    A phrase's part follows from its first two words (:func:`owner`).
     """
-    parts = -(-phrases.count() // size)
+    parts = max(-(-phrases.count() // size), 1)
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        trie = DoubleArrayTrie(list(zip(group["lang"], group["phrase"])))
+        trie = DoubleArrayTrie(list(zip(group["lang"], group["phrase"])), int(key[0]))
         return pd.DataFrame({"part": [int(key[0])], "trie": [pickle.dumps(trie)]})
 
-    if parts:
-        part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)).cast("int")
-        built = stored(phrases.select("lang", "phrase", part.alias("part")).groupBy("part")
-                       .applyInPandas(build, "part int, trie binary"), "phrase-tries")
-        for i in sorted(row["part"] for row in built.select("part").collect()):
-            yield pickle.loads(built.where(F.col("part") == i).first()["trie"])  # one trie
-
-
-def walked(texts: DataFrame, phrases: DataFrame, walk, size: int = TRIE) -> DataFrame:
-    """``lang, phrase, n``: the sums of ``walk`` over all tries and texts."""
-    spark, parts = texts.sparkSession, []
-    for trie in tries(phrases, size):
-        sent = spark.sparkContext.broadcast(trie)
-        rows = texts.mapInArrow(lambda batches, sent=sent: walk(batches, sent.value), COUNTS_SQL)
-        parts.append(stored(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "walked"))
-        sent.unpersist()
-    if not parts:
+    first, second = (F.crc32(F.encode(F.split("phrase", " ")[i], "UTF-8")) for i in (0, 1))
+    part = F.pmod(31 * first + second, F.lit(parts)).cast("int")
+    return stored(phrases.select("lang", "phrase", part.alias("part")).groupBy("part")
+                  .applyInPandas(build, "part int, trie binary"), "phrase-tries"), parts
+
+
+def walked(texts: DataFrame, phrases: DataFrame, walk, size: int = TRIE, together: int = TOGETHER) -> DataFrame:
+    """``lang, phrase, n``: the sums of ``walk`` over all tries and texts, a pass
+    over the texts for each ``together`` tries."""
+    spark, done = texts.sparkSession, []
+    built, parts = built_tries(phrases, size)
+    names = sorted(row["part"] for row in built.select("part").collect())  # a number a trie
+    for at in range(0, len(names), together):
+        sent = [spark.sparkContext.broadcast(pickle.loads(built.where(F.col("part") == i).first()["trie"]))
+                for i in names[at:at + together]]
+        rows = texts.mapInArrow(lambda batches, sent=sent: walk(batches, [b.value for b in sent], parts), COUNTS_SQL)
+        done.append(stored(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "walked"))
+        for b in sent:
+            b.unpersist()
+    if not done:
         return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in
                                        (("lang", "string"), ("phrase", "string"), ("n", "long"))])
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    union = done[0]
+    for d in done[1:]:
+        union = union.unionByName(d)
     return union  # a phrase comes from a single trie: no further sum
 
 

@@ -54,7 +54,7 @@ def test_op13_whole_table(spark):
     assert got(queries.op13_collocations(spark, SF001)) == expected(rows, C.LEAST, C.TOP)
 
 
-@pytest.mark.parametrize("size", [200_000, 300])
+@pytest.mark.parametrize("size", [200_000, 100])
 def test_many_tries_and_tricky_texts(spark, size):
     rng = random.Random(2)
     words = ["a", "B", "b", "cc", "é", "日本", "x y", "d\x1ce", "🙂", "don't"]
@@ -96,10 +96,10 @@ def test_cuts_of_long_texts(monkeypatch, part, block, numbered):
     assert short == Counter({(x, " ".join(p)): n for x in f for p, n in f[x].items() if len(p) < 3} | {
         (x, ""): sum(n for p, n in f[x].items() if len(p) == 1) for x in f})
     trie = C.DoubleArrayTrie([(x, " ".join(p)) for x in f for p in f[x] if len(p) > 1])
-    assert summed(C.counted(iter(batches), trie)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
+    assert summed(C.counted(iter(batches), [trie], 1)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
                                                       if len(p) > 1}
     pairs = C.DoubleArrayTrie([(x, " ".join(p)) for x in f for p in f[x] if len(p) == 2])
-    assert summed(C.proposed(iter(batches), pairs)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
+    assert summed(C.proposed(iter(batches), [pairs], 1)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
                                                         if len(p) == 3}
 
 
@@ -116,7 +116,8 @@ def test_double_array():
     while stack:
         s, lang, words = stack.pop()
         if trie.accept[s] >= 0:
-            assert trie.phrases[trie.accept[s]] == (lang, " ".join(words))
+            assert (trie.names[trie.lang_of[trie.accept[s]]], trie.phrase(trie.accept[s])) == (
+                lang, " ".join(words).encode())
             found.add((lang, " ".join(words)))
         codes = np.array(sorted(letters))
         for c, t in zip(codes, trie.advance(np.full(len(codes), s), codes)):
