@@ -26,16 +26,16 @@ from ..session import ensure_checkpoint_dir
 
 def distinct_value_ranks(df: DataFrame, group_cols: list[str], value_col: str,
                          rank_col: str = "rank", num_partitions: int | None = None,
-                         checkpoint: bool = True) -> DataFrame:
+                         checkpoint: bool = True, count_col: str | None = None) -> DataFrame:
     """One row per distinct ``(group_cols, value_col)`` with its average rank.
 
     NULL values are not ranked (they are dropped first, as with complete
-    observations).
+    observations).  With ``count_col`` a row stands for that many observations.
     """
     spark = df.sparkSession
     counts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col)
-              .agg(F.count(F.lit(1)).alias("_n")))
+              .agg((F.sum(count_col) if count_col else F.count(F.lit(1))).alias("_n")))
     # without an explicit count AQE may merge adjacent ranges, which keeps
     # the range order the prefix sum relies on
     ranged = (counts.repartitionByRange(num_partitions, *group_cols, value_col) if num_partitions

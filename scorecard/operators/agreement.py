@@ -10,10 +10,10 @@ by ordinary aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import grid_mean, grid_sum, pearson, quoted, row_grid_mean
+from ..functions.numeric import grid_mean, grid_sum, quoted, row_grid_mean
 from ..functions.ranking import distinct_value_ranks
 from ..session import ensure_checkpoint_dir
 from .compare import AGGREGATE_MODEL, WIDE_KEYS
@@ -32,31 +32,65 @@ def complete_pairs(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS)
             .select(*keys, F.inline("_others"), "ref_score"))
 
 
-def spearman(pairs: DataFrame, group_cols: list[str], checkpoint: bool = True) -> DataFrame:
-    """Spearman rank correlation per group: average-tie ranks of both sides
-    within the group's complete pairs, then Pearson of the ranks.  Constant
-    ranks or fewer than two pairs give NULL.
-
-    The pairs feed three consumers (ranks of each side, the join back, the
-    correlation); with ``checkpoint`` they are written once to the shared
-    checkpoint folder instead of being recomputed from the inputs."""
-    if checkpoint:
-        ensure_checkpoint_dir(pairs.sparkSession)
-        pairs = pairs.checkpoint(eager=True)
-    # both sides ranked in one pass (one range partitioning, one checkpoint)
-    sides = (pairs.select(*group_cols, F.lit("s").alias("_side"), F.col("score").alias("_v"))
-             .unionByName(pairs.select(*group_cols, F.lit("r").alias("_side"),
-                                       F.col("ref_score").alias("_v"))))
-    ranks = distinct_value_ranks(sides, [*group_cols, "_side"], "_v", "_rank")
-    r_s = ranks.where(F.col("_side") == "s").select(
-        *group_cols, F.col("_v").alias("score"), F.col("_rank").alias("r_score"))
-    r_ref = ranks.where(F.col("_side") == "r").select(
-        *group_cols, F.col("_v").alias("ref_score"), F.col("_rank").alias("r_ref"))
-    ranked = (pairs.join(r_s, [*group_cols, "score"], "inner")
-              .join(r_ref, [*group_cols, "ref_score"], "inner"))
-    return ranked.groupBy(*group_cols).agg(
-        pearson("r_score", "r_ref").alias("spearman_r"),
-        F.count(F.lit(1)).alias("n_pairs"))
+def contingency(long: DataFrame, reference: str, group_cols: list[str],
+                keys: list[str] = WIDE_KEYS) -> DataFrame:
+    """``group_cols, score, ref_score, n``: how often each other rater (any
+    rater, listed or not) gave ``score`` where the reference gave ``ref_score``.
+    Either may be NULL, so a rater without a complete pair still has rows.
+
+    One pass over the scores: an aggregation per cell puts its raters next to
+    the reference, a second one counts.  Ratings have few distinct values, so
+    what is left is small however many cells there are."""
+    is_ref = F.col("model") == reference
+    cells = long.groupBy(*keys).agg(
+        F.max(F.when(is_ref, F.col("score"))).alias("ref_score"),
+        F.collect_list(F.when(~is_ref, F.struct("model", "score"))).alias("_others"))
+    return (cells.select(*keys, "ref_score", F.inline("_others"))
+            .groupBy(*group_cols, "score", "ref_score").agg(F.count(F.lit(1)).alias("n")))
+
+
+#: Rows of a contingency table whose ranks are taken by windows; a larger one
+#: (scores without a grid) is ranked by distributed prefix sums.
+WINDOW_ROWS = 1_000_000
+
+
+def spearman(table: DataFrame, group_cols: list[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Spearman rank correlation per group from a :func:`contingency` table:
+    average-tie ranks of both sides within the group's complete pairs, then
+    Pearson of the ranks, weighted by the counts.  Constant ranks or fewer than
+    two pairs give NULL; a group without pairs has NULL in both columns.
+
+    The table, not the pairs, is written once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(table.sparkSession)
+    table = table.checkpoint(eager=True)
+    whole = F.col("score").isNotNull() & F.col("ref_score").isNotNull()
+    table = table.withColumn("_n", F.when(whole, F.col("n")).otherwise(F.lit(0)))
+    if table.count() <= window_rows:
+        def rank(value: str) -> F.Column:
+            up_to = F.sum("_n").over(Window.partitionBy(*group_cols).orderBy(value))
+            tied = F.sum("_n").over(Window.partitionBy(*group_cols, value))
+            return up_to - (tied - F.lit(1)) / F.lit(2.0)
+        ranked = table.select(*group_cols, "_n", rank("score").alias("_x"), rank("ref_score").alias("_y"))
+    else:
+        sides = (table.where(whole).select(*group_cols, F.lit("s").alias("_side"), F.col("score").alias("_v"), "n")
+                 .unionByName(table.where(whole).select(*group_cols, F.lit("r").alias("_side"),
+                                                        F.col("ref_score").alias("_v"), "n")))
+        ranks = distinct_value_ranks(sides, [*group_cols, "_side"], "_v", "_rank", count_col="n")
+        x = ranks.where(F.col("_side") == "s").select(*group_cols, F.col("_v").alias("score"), F.col("_rank").alias("_x"))
+        y = ranks.where(F.col("_side") == "r").select(*group_cols, F.col("_v").alias("ref_score"),
+                                                      F.col("_rank").alias("_y"))
+        ranked = (table.join(x, [*group_cols, "score"], "left").join(y, [*group_cols, "ref_score"], "left")
+                  .select(*group_cols, "_n", "_x", "_y"))
+    # the mean rank of n pairs is (n + 1) / 2 whatever the ties, so only sums remain
+    pairs = F.sum("_n").over(Window.partitionBy(*group_cols))
+    x, y = (F.when(F.col("_n") > 0, F.col(c) - (pairs + F.lit(1)) / F.lit(2.0)) for c in ("_x", "_y"))
+    n = F.col("_n").cast("double")
+    return (ranked.select(*group_cols, "_n", x.alias("_x"), y.alias("_y"))
+            .select(*group_cols, "_n", (n * F.col("_x") * F.col("_y")).alias("_xy"),
+                    (n * F.col("_x") * F.col("_x")).alias("_xx"), (n * F.col("_y") * F.col("_y")).alias("_yy"))
+            .groupBy(*group_cols)
+            .agg(F.try_divide(F.sum("_xy"), F.sqrt(F.sum("_xx")) * F.sqrt(F.sum("_yy"))).alias("spearman_r"),
+                 F.nullif(F.sum("_n"), F.lit(0)).alias("n_pairs")))
 
 
 def pivot_pairs(long: DataFrame, reference: str, raters: list[str],
@@ -78,26 +112,18 @@ def pivot_pairs(long: DataFrame, reference: str, raters: list[str],
 
 def spearman_overall(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS,
                      raters: list[str] | None = None) -> DataFrame:
-    """AG1: one row per other rater (aggregate included when present).
-    With ``raters`` given the pairs come from one per-cell aggregation."""
-    present = long.where(F.col("model") != reference).select("model").distinct()
-    pairs = (pivot_pairs(long, reference, raters, keys) if raters
-             else complete_pairs(long, reference, keys))
-    return present.join(spearman(pairs, ["model"]), "model", "left")
+    """AG1: one row per other rater (aggregate included when present).  All
+    raters are covered; ``raters`` is not needed and kept for callers."""
+    return spearman(contingency(long, reference, ["model"], keys), ["model"])
 
 
 def spearman_by_dimension(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS,
                           raters: list[str] | None = None) -> DataFrame:
     """AG2: per (dimension, rater), aggregate excluded; raters without any
-    score in a dimension are skipped."""
+    score in a dimension are skipped.  All raters are covered, as in AG1."""
     body = long.where(F.col("model") != AGGREGATE_MODEL)
-    present = (body.where((F.col("model") != reference) & F.col("score").isNotNull())
-               .select("dimension", "model").distinct())
-    listed = [r for r in (raters or []) if r != AGGREGATE_MODEL]
-    pairs = (pivot_pairs(body, reference, listed, keys) if listed
-             else complete_pairs(body, reference, keys))
-    stats = spearman(pairs, ["dimension", "model"])
-    return present.join(stats, ["dimension", "model"], "left")
+    table = contingency(body, reference, ["dimension", "model"], keys).where(F.col("score").isNotNull())
+    return spearman(table, ["dimension", "model"])
 
 
 def abs_diff(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> DataFrame:

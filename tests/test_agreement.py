@@ -93,3 +93,39 @@ def test_pivot_pairs_equal_join_pairs(spark):
     a = ag.pivot_pairs(long, "purchase", raters)
     b = ag.complete_pairs(long, "purchase").select(*a.columns)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_spearman_of_five_valued_ratings(spark):
+    """Many ties, raters nobody listed, raters without a pair; by windows and by prefix sums."""
+    rng = np.random.default_rng(4)
+    rows, scores = [], {}
+    for model in ("ref", "a", "b", "unlisted"):
+        scores[model] = [None if rng.random() < 0.2 else float(rng.integers(1, 6)) for _ in range(300)]
+        rows += [(str(i), "c", f"d{i % 3}", "q", model, v) for i, v in enumerate(scores[model])]
+    rows += [("x", "c", "d0", "q", "alone", 1.0), ("y", "c", "d0", "q", "blank", None)]
+    long = _long(spark, rows)
+
+    def brute(model, keep):
+        both = [(x, y) for i, (x, y) in enumerate(zip(scores[model], scores["ref"]))
+                if keep(i) and x is not None and y is not None]
+        return _spearman_brute(*zip(*both)), len(both)
+
+    for rows_by_window in (ag.WINDOW_ROWS, 0):
+        table = ag.contingency(long, "ref", ["model"])
+        got = {r.model: (r.spearman_r, r.n_pairs) for r in ag.spearman(table, ["model"], rows_by_window).collect()}
+        assert got.keys() == {"a", "b", "unlisted", "alone", "blank"}
+        assert got["alone"] == got["blank"] == (None, None)
+        for m in ("a", "b", "unlisted"):
+            r, n = brute(m, lambda i: True)
+            assert got[m] == (pytest.approx(r), n)
+    by_dim = {(r.dimension, r.model): (r.spearman_r, r.n_pairs) for r in ag.spearman_by_dimension(long, "ref").collect()}
+    assert len(by_dim) == 10  # three raters in three dimensions, and "alone", which has a score
+    for d in range(3):
+        r, n = brute("b", lambda i, d=d: i % 3 == d)
+        assert by_dim[f"d{d}", "b"] == (pytest.approx(r), n)
+
+
+def test_spearman_reads_the_scores_once(spark):
+    long = with_aggregate(fx.e_scores(spark, SF01), ["click", "error", "signup", "view"], digits=6)
+    plan = ag.contingency(long, "purchase", ["model"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("FileScan") == 1
