@@ -10,7 +10,8 @@ prefix is found by dynamic programming,
     tokens[i] = tokens[i - len(t)] + 1
 
 where ``t`` is the one piece that ends at ``i`` and stays as it is behind the
-last piece of the prefix before it.  (Merges are made best first, so pieces
+last piece of the prefix before it.  A U+2581 in a text is a space, as it is
+to the library.  (Merges are made best first, so pieces
 are a text's encoding if and only if each two neighbours are that of theirs.)
 
 The prefix table holds the places where the count changes, as characters and
@@ -49,7 +50,8 @@ ENCODED = 1 << 22
 #: Pairs of pieces that a worker remembers.
 PAIRS = 1 << 20
 PREFIXES = "struct<chars: array<int>, tokens: array<int>>"
-_SEGMENT = re.compile(r"\n| *[^ \n]+| +")
+#: The model reads its own mark, U+2581, in a text as a space.
+_SEGMENT = re.compile(r"\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
 
 class Counter:

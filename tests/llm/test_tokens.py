@@ -122,6 +122,18 @@ def test_token_counts_of_every_prefix(spark, pieces):
             assert own.prefix(t, k, table) == len(pieces.encode(t[:k])), (t, k)
 
 
+def test_a_mark_in_a_text_is_a_space(pieces):
+    own = token_counts.counter(open(queries.PIECES, "rb").read())
+    rng = random.Random(8)
+    samples = ["▁ ", " ▁ ▁ ", "▁", "▁▁▁▁ the", "the▁the", "\n▁\n", "a▁\n ▁b"]
+    samples += ["".join(rng.choice(["▁", "▁", " ", " ", "\n", "the", "a", "é", "日", "\t", "1."]) for _ in range(25))
+                for _ in range(300)]
+    for t in samples:
+        table = own.table(t)
+        assert [own.prefix(t, k, table) for k in range(len(t) + 1)] == [
+            len(pieces.encode(t[:k])) for k in range(len(t) + 1)], t
+
+
 def test_token_counts_tricky_rows(spark, pieces):
     docs = tricky_docs(spark, extra=True)
     table = F.col("prefixes")
