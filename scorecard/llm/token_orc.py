@@ -102,7 +102,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = self.words.having({w for words in split for w in words})
+        ids = self.words.having(set().union(*split))
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
