@@ -220,6 +220,21 @@ SELECT 'parts' AS concept_description, CAST(count(*) AS BIGINT) AS n_dimensions,
     o["rubric_roundtrip"] = "WITH " + P_LONG + """
 SELECT concept, concept_pos, concept_weight, dimension, dim_pos, dim_weight, question_label, question,
        positive_contribution, examples, q_pos FROM lr"""
+    o["rubric_documents"] = o["rubric_positions"] = """
+WITH flat AS (
+  SELECT p_partkey AS ord, CAST(floor(p_partkey / 200) AS BIGINT) AS rubric, p_brand AS dimension,
+         CAST(p_partkey AS VARCHAR) AS question_label, p_name AS question, p_size % 2 = 0 AS positive_contribution,
+         CASE WHEN p_size >= 10 THEN p_type ELSE '' END AS examples FROM part),
+dims AS (
+  SELECT rubric, dimension, count(*) AS n_q,
+         row_number() OVER (PARTITION BY rubric ORDER BY min(ord)) AS dim_pos FROM flat GROUP BY rubric, dimension),
+totals AS (SELECT rubric, count(*) AS n FROM flat GROUP BY rubric)
+SELECT f.rubric, 'parts' AS concept, CAST(1 AS BIGINT) AS concept_pos, CAST(1.0 AS DOUBLE) AS concept_weight,
+       f.dimension, d.dim_pos, CAST(d.n_q AS DOUBLE) / CAST(t.n AS DOUBLE) AS dim_weight, f.question_label, f.question,
+       f.positive_contribution, f.examples,
+       row_number() OVER (PARTITION BY f.rubric, f.dimension ORDER BY f.ord) AS q_pos
+FROM flat f JOIN dims d ON d.rubric = f.rubric AND d.dimension IS NOT DISTINCT FROM f.dimension
+JOIN totals t ON t.rubric = f.rubric"""
     # ---- phase 3: human ratings
     o["human_scores_dedup"] = "WITH " + H_VALID + """
 SELECT sheet, label, arg_max(sc, ord) AS score FROM cls WHERE reason IS NULL GROUP BY sheet, label"""

@@ -119,6 +119,19 @@ def q_rubric_concept(spark, sf_dir):
                     F.concat_ws("|", "dimensions").alias("dimensions"), "weight")
 
 
+@query("rubric_documents")
+def q_rubric_documents(spark, sf_dir):
+    """RB6, RB8 over many rubrics: a document each, and back to questions."""
+    nested = rb.nest_rubric(fx.p_flat_rubrics(spark, sf_dir), fx.P_CONCEPT)
+    return rb.unnest_rubric(nested)
+
+
+@query("rubric_positions")
+def q_rubric_positions(spark, sf_dir):
+    """The long rubrics of the same table, without documents."""
+    return rb.long_rubric(fx.p_flat_rubrics(spark, sf_dir), fx.P_CONCEPT)
+
+
 @query("rubric_roundtrip")
 def q_rubric_roundtrip(spark, sf_dir):
     nested = rb.nest_rubric(fx.p_flat_rubric(spark, sf_dir), fx.P_CONCEPT)

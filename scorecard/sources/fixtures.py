@@ -225,6 +225,12 @@ def p_flat_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") >= F.lit(10), F.col("p_type")).alias("Examples"))
 
 
+def p_flat_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture P as many rubrics of 200 parts at most, told apart by ``rubric``."""
+    return p_flat_rubric(spark, sf_dir).withColumn(
+        "rubric", F.floor(F.col("ord") / F.lit(200)).cast("bigint"))
+
+
 # ---------------------------------------------------------------- fixture H
 def h_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
