@@ -6,6 +6,7 @@ template version, the question with its place in the rubric, examples and
 polarity, the temperature and the SHA-256 of the text.  Hashing the text once per text (before the
 grid expansion) keeps the per-row key cheap even for long texts.
 
+* :func:`table` keeps the cache bucketed and sorted by key;
 * work list = grid ``left_anti`` cache (only these rows go to the scorer);
 * lookup = grid ``left`` join cache;
 * append = ``unionByName`` / append-mode write of the new responses.
@@ -13,7 +14,9 @@ grid expansion) keeps the per-row key cheap even for long texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rubric columns that a prompt or its answer depends on.
@@ -87,3 +90,38 @@ def succeeded(responses: DataFrame) -> DataFrame:
 def write(responses: DataFrame, path: str, mode: str = "append") -> str:
     unique(succeeded(responses)).write.mode(mode).parquet(path)
     return path
+
+
+#: Buckets of a new cache table.
+BUCKETS = 200
+
+
+def table(spark: SparkSession, path: str, buckets: int | None = None) -> str:
+    """The name of the cache table at ``path``, made if there is none yet:
+    bucketed and sorted by key, so that a lookup shuffles the keys it looks
+    for but never the cache.  A path keeps the number of buckets it was made with, which
+    every session has to name alike (``BUCKETS`` by default)."""
+    name = "response_cache_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    n = buckets or BUCKETS
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (cache_key STRING, "
+              "top_logprobs ARRAY<STRUCT<token: STRING, logprob: DOUBLE>>, error STRING) "
+              f"USING parquet CLUSTERED BY (cache_key) SORTED BY (cache_key) INTO {n} BUCKETS "
+              f"LOCATION '{path}'")
+    return name
+
+
+def add(responses: DataFrame, name: str) -> None:
+    """Append responses for new keys to the cache table ``name``."""
+    spark = responses.sparkSession
+    unique(succeeded(responses)).write.insertInto(name)
+    spark.catalog.refreshTable(name)
+
+
+def wanted_texts(texts: DataFrame, todo: DataFrame) -> DataFrame:
+    """``label, input_text, text_hash, wanted``: one text for each hash that
+    misses responses, and the configuration rows it misses.  The work list is
+    narrow; a text moves only if it is wanted."""
+    asked = todo.groupBy("text_hash").agg(F.min("label").alias("_label"), F.collect_set("config_id").alias("wanted"))
+    own = texts.select("label", "input_text", text_hash().alias("_hash"))
+    return (own.join(asked, (own["label"] == asked["_label"]) & (own["_hash"] == asked["text_hash"]))
+            .select("label", "input_text", "text_hash", "wanted").dropDuplicates(["text_hash"]))

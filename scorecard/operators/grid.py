@@ -106,6 +106,14 @@ def prompt_columns(grid: DataFrame, system_template: str = SYSTEM_PROMPT_TEMPLAT
                              "user_prompt": render(question_template, cols)})
 
 
+def prompt_values(values: dict) -> dict[str, str]:
+    """The same prompts from a row's values, for code inside a task."""
+    def filled(template: str) -> str:
+        return "".join(part if kind == "lit" else "" if values.get(part) is None else str(values[part])
+                       for kind, part in template_parts(template))
+    return {"system_prompt": filled(SYSTEM_PROMPT_TEMPLATE), "user_prompt": filled(QUESTION_PROMPT_TEMPLATE)}
+
+
 def with_temperatures(grid: DataFrame, temperatures: list[float]) -> DataFrame:
     """EV12: repeat every grid row per temperature (a config list)."""
     temps = F.explode(F.array(*[F.lit(float(t)) for t in temperatures]))

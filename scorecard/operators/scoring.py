@@ -7,8 +7,8 @@ implementations:
 * :class:`RuleScorer` - deterministic column expressions (no Python in the
   hot path); used for the driver-table fixtures and benchmarks.
 * :class:`PandasScorer` - wraps an arbitrary batch function (e.g. a client of
-  a hosted model) with ``mapInPandas``; Arrow batches, per-row error
-  isolation, never per-row Python UDFs.
+  a hosted model); one text per Arrow row, the configuration looped inside the
+  batch, calls bounded in rows and bytes, failures isolated by halving.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from __future__ import annotations
 from typing import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.answers import token_table, with_answers
-from .grid import prompt_columns
+from .grid import prompt_columns, prompt_values
 
 
 class Scorer:
@@ -105,48 +106,110 @@ RESPONSE_FIELDS = [T.StructField("top_logprobs", schemas.TOP_LOGPROBS, True),
 
 
 class PandasScorer(Scorer):
-    """Batch scorer callback run with ``mapInPandas``.
+    """Batch scorer callback (e.g. a client of a hosted model) in Arrow batches.
 
     ``fn(batch: pd.DataFrame) -> list`` receives rows with ``model,
-    system_prompt, user_prompt`` (+ ``temperature`` if present) and returns,
-    per row, a list of ``{"token", "logprob"}`` dicts.  An exception for a
-    batch is retried row by row; a failing row gets ``error`` set and no
-    candidates (the failure stays isolated to that row).
+    system_prompt, user_prompt`` and the other configuration columns (rubric,
+    ``temperature``) and returns, per row, a list of ``{"token", "logprob"}`` dicts.
+
+    Each text goes to Python once.  There it is put into the prompts of all
+    configuration rows, which the task holds, in calls of at most ``batch_rows``
+    prompts and, but for a longer single one, ``batch_bytes`` characters.  A
+    call that raises is repeated in halves, until the row that fails is alone:
+    it gets ``error`` and no candidates, and every other prompt is answered by one
+    call.  If a call returns more or fewer answers than prompts, none can be
+    told to be whose, and its rows get ``error``.
     """
 
-    def __init__(self, fn: Callable[[pd.DataFrame], list], n_logprobs: int = 5):
+    def __init__(self, fn: Callable[[pd.DataFrame], list], n_logprobs: int = 5, batch_rows: int = 256,
+                 batch_bytes: int = 4 << 20):
         self.fn = fn
         self.n_logprobs = n_logprobs
+        self.batch_rows, self.batch_bytes = batch_rows, batch_bytes
 
     def prepare(self, texts: DataFrame, extra: dict | None = None) -> DataFrame:
         return texts.select("label", "input_text", *[c.alias(n) for n, c in (extra or {}).items()])
 
+    def answers(self, rows: list[dict]) -> list[tuple[list | None, str | None]]:
+        """Candidates and error of each prompt."""
+        try:
+            out = list(self.fn(pd.DataFrame(rows)))
+        except Exception as exc:  # noqa: BLE001 - reported as data
+            if len(rows) == 1:
+                return [(None, f"{type(exc).__name__}: {exc}")]
+            half = len(rows) // 2
+            return self.answers(rows[:half]) + self.answers(rows[half:])
+        if len(out) != len(rows):
+            return [(None, f"{len(out)} answers to {len(rows)} prompts")] * len(rows)
+        return [(None if x is None else [{"token": c["token"], "logprob": c["logprob"]} for c in list(x)[:self.n_logprobs]],
+                 None) for x in out]
+
+    def respond_texts(self, texts: DataFrame, config: DataFrame, wanted: str | None = None) -> DataFrame:
+        """The columns of ``texts`` but the text, those of ``config``, ``top_logprobs`` and
+        ``error``: a row per text and row of ``config``, which the driver reads.
+
+        With ``wanted``, an array column of ``texts``, only the configuration rows
+        whose ``config_id`` it holds."""
+        kept = [f for f in texts.schema.fields if f.name not in ("input_text", wanted)]
+        table = config.toArrow().combine_chunks()
+        setup = table.to_batches()[0] if table.num_rows else None
+        values = table.to_pylist()
+        schema = T.StructType([*kept, *config.schema.fields, *RESPONSE_FIELDS])
+        top = pa.list_(pa.struct([("token", pa.string()), ("logprob", pa.float64())]))
+        names, most_rows, most_bytes, answers = [f.name for f in kept], self.batch_rows, self.batch_bytes, self.answers
+
+        def run(batches):
+            for batch in batches:
+                rows, at, size = [], [], 0
+
+                def flushed(batch=batch):
+                    found = answers(rows)
+                    own = [batch.column(n).take(pa.array([i for i, _ in at], pa.int64())) for n in names]
+                    conf = setup.take(pa.array([j for _, j in at], pa.int64())).columns
+                    return pa.RecordBatch.from_arrays(
+                        [*own, *conf, pa.array([x for x, _ in found], top), pa.array([e for _, e in found], pa.string())],
+                        names=schema.names)
+
+                asked = batch.column(wanted).to_pylist() if wanted else None
+                for i, text in enumerate(batch.column("input_text")):
+                    text = text.as_py() or ""
+                    for j, conf in enumerate(values):
+                        if asked is not None and conf["config_id"] not in asked[i]:
+                            continue
+                        prompts = prompt_values({**conf, "input_text": text})
+                        rows.append({**conf, **prompts})
+                        at.append((i, j))
+                        size += len(prompts["user_prompt"])
+                        if len(rows) >= most_rows or size >= most_bytes:
+                            yield flushed()
+                            rows, at, size = [], [], 0
+                if rows:
+                    yield flushed()
+
+        return texts.mapInArrow(run, schema)
+
     def respond(self, grid: DataFrame) -> DataFrame:
-        fn, n = self.fn, self.n_logprobs
+        """Rows that already carry their text and configuration, one by one."""
         prompted = prompt_columns(grid)
         out_schema = T.StructType(list(prompted.schema.fields) + RESPONSE_FIELDS)
+        most_rows, answers = self.batch_rows, self.answers
 
         def run(batches):
-            for pdf in batches:
-                try:
-                    tops, errs = list(fn(pdf)), [None] * len(pdf)
-                except Exception:  # isolate: retry row by row
-                    tops, errs = [], []
-                    for i in range(len(pdf)):
-                        try:
-                            tops.append(list(fn(pdf.iloc[i:i + 1]))[0])
-                            errs.append(None)
-                        except Exception as exc:  # noqa: BLE001 - reported as data
-                            tops.append(None)
-                            errs.append(f"{type(exc).__name__}: {exc}")
-                pdf = pdf.copy()
-                pdf["top_logprobs"] = [None if t is None else list(t)[:n] for t in tops]
-                pdf["error"] = errs
-                yield pdf
+            for whole in batches:
+                for at in range(0, len(whole), most_rows):
+                    pdf = whole.iloc[at:at + most_rows].copy()
+                    found = answers(pdf.to_dict("records"))
+                    pdf["top_logprobs"], pdf["error"] = [x for x, _ in found], [e for _, e in found]
+                    yield pdf
 
         return prompted.mapInPandas(run, out_schema)
 
 
+def with_config_id(config: DataFrame) -> DataFrame:
+    """``config`` with a number for each row, made of its values."""
+    return config.withColumn("config_id", F.xxhash64(*config.columns))
+
+
 def score_responses(responses: DataFrame, negative_mode: str = "reference") -> DataFrame:
     """EV5-EV10: responses -> answer, score, logprob, matched."""
     return with_answers(responses, negative_mode=negative_mode)

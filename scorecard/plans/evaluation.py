@@ -15,9 +15,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import rollup
-from ..operators.grid import evaluation_grid, with_temperatures
+from ..operators.grid import evaluation_grid, expand, with_temperatures
 from ..operators.human import human_question_scores
-from ..operators.scoring import Scorer, score_responses
+from ..operators.scoring import Scorer, score_responses, with_config_id
 from ..functions.partitioning import spread
 from ..session import ensure_checkpoint_dir
 
@@ -67,7 +67,15 @@ def responses(texts: DataFrame, raters: DataFrame, rubric: DataFrame, scorer: Sc
               temperatures: list[float] | None = None) -> DataFrame:
     """EV1 + EV4 (+EV12): grid rows with the scorer's ``top_logprobs`` /
     ``error``.  ``text_columns`` are extra per-text columns computed before
-    the grid expansion (e.g. the text hash of the cache key)."""
+    the grid expansion (e.g. the text hash of the cache key).
+
+    A scorer that takes whole texts gets each text once; other scorers get
+    the rows of the grid."""
+    if hasattr(scorer, "respond_texts"):
+        config = expand(raters, rubric)
+        if temperatures is not None:
+            config = with_temperatures(config, temperatures)
+        return scorer.respond_texts(scorer.prepare(spread(texts), text_columns), config)
     grid = evaluation_grid(scorer.prepare(spread(texts), text_columns), raters, rubric,
                            num_partitions)
     if temperatures is not None:
@@ -125,25 +133,35 @@ def read_cache(spark, path: str) -> DataFrame:
 
 def evaluate_cached(texts: DataFrame, raters: DataFrame, rubric: DataFrame, scorer: Scorer,
                     cache_path: str, prompt_version: str, negative_mode: str = "reference",
-                    weighted: bool = False, num_partitions: int | None = None) -> Evaluation:
+                    weighted: bool = False, num_partitions: int | None = None,
+                    buckets: int | None = None) -> Evaluation:
     """PIPE1 with the response cache (EV14): each distinct prompt is scored
     at most once across runs.
 
     Grid rows get a content-addressed key; only keys missing from the cache
     table at ``cache_path`` are scored (one row per distinct key), and the
     new responses are appended to it (this write is where the scorer runs).
-    All rows are then answered from the cache.
+    All rows are then answered from the cache, which is bucketed by key and
+    not shuffled.  A scorer that takes whole texts gets each text with missing
+    responses once, fetched by its hash; the work list itself has no texts.
     """
     from ..operators import cache as ch
 
     spark = texts.sparkSession
-    prepared = scorer.prepare(spread(texts), {"text_hash": ch.text_hash()})
-    grid = ch.with_cache_key(evaluation_grid(prepared, raters, rubric, num_partitions),
-                             prompt_version)
-    todo = ch.work_keys(ch.missing(grid, read_cache(spark, cache_path)))
-    ch.write(scorer.respond(todo), cache_path, mode="append")
-    answered = (ch.lookup(grid.drop("input_text") if "input_text" in grid.columns else grid,
-                          read_cache(spark, cache_path))
+    name = ch.table(spark, cache_path, buckets)
+    if hasattr(scorer, "respond_texts"):
+        config = with_config_id(expand(raters, rubric))
+        narrow = spread(texts).select("label", ch.text_hash().alias("text_hash"))
+        grid = ch.with_cache_key(expand(narrow, config), prompt_version)
+        todo = ch.missing(grid, spark.table(name))
+        asked = scorer.respond_texts(ch.wanted_texts(texts, todo), config, "wanted")
+        ch.add(ch.with_cache_key(asked, prompt_version), name)
+    else:
+        prepared = scorer.prepare(spread(texts), {"text_hash": ch.text_hash()})
+        grid = ch.with_cache_key(evaluation_grid(prepared, raters, rubric, num_partitions), prompt_version)
+        todo = ch.work_keys(ch.missing(grid, spark.table(name)))
+        ch.add(scorer.respond(todo), name)
+    answered = (ch.lookup(grid, spark.table(name))
                 .withColumnRenamed("cached_top_logprobs", "top_logprobs")
                 .withColumnRenamed("cached_error", "error"))
     q = score_responses(answered, negative_mode).select(*QUESTION_COLUMNS)
