@@ -50,6 +50,39 @@ def _scored(m: Column, last_token: Column, positive, negative_mode: str) -> dict
     }
 
 
+#: The part of a completion that is read.
+RESPONSE = ("struct<choices: array<struct<logprobs: struct<content: array<struct<token: string, "
+            "top_logprobs: array<struct<token: string, logprob: double>>>>>>>, _corrupt_record: string>")
+
+
+def parsed_response(response="response") -> dict[str, Column]:
+    """EV5 from the JSON text of a completion: ``top_logprobs`` of the first content
+    position of the first choice, and ``response_error``.
+
+    The error is NULL if there are candidates, else says what is missing:
+    ``no response``, ``broken JSON``, ``no choices``, ``no logprobs``, ``empty content`` or
+    ``no candidates``."""
+    r = F.from_json(_c(response), RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    choice = F.get(r["choices"], F.lit(0))
+    content = choice["logprobs"]["content"]
+    top = F.get(content, F.lit(0))["top_logprobs"]
+    error = (F.when(_c(response).isNull(), F.lit("no response"))
+             .when(r.isNull() | r["_corrupt_record"].isNotNull(), F.lit("broken JSON"))
+             .when(choice.isNull(), F.lit("no choices"))
+             .when(content.isNull(), F.lit("no logprobs"))
+             .when(F.size(content) == 0, F.lit("empty content"))
+             .when(F.coalesce(F.size(top), F.lit(0)) <= 0, F.lit("no candidates")))
+    return {"top_logprobs": F.when(error.isNull(), top), "response_error": error}
+
+
+def with_parsed_responses(df, response="response"):
+    """Replace the JSON text by ``top_logprobs``; what is wrong with it goes to
+    ``error``, unless the call had failed already."""
+    staged = df.withColumns(parsed_response(response)).drop(response)
+    own = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    return staged.withColumn("error", F.coalesce(own, F.col("response_error"))).drop("response_error")
+
+
 def answer_columns(top_logprobs="top_logprobs",
                    positive="positive_contribution",
                    negative_mode: str = "reference") -> dict[str, Column]:

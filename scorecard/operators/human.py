@@ -60,6 +60,23 @@ def superseded_count(raw: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n")))
 
 
+def sheet_counts(raw: DataFrame) -> DataFrame:
+    """All QA1 counts of the sheets in one pass: a row per (sheet, label) holds
+    its rejected rows by reason, its valid rows and the one that wins."""
+    rows = classify_sheet_rows(raw)
+    valid = F.col("reject_reason").isNull()
+    reasons = ("short_row", "empty_cell", "bad_cast")
+    per = rows.groupBy("sheet", "label").agg(
+        *[F.count_if(F.col("reject_reason") == r).alias(r) for r in reasons],
+        F.count_if(valid).alias("n"), F.max_by(F.when(valid, F.col("_score")), F.when(valid, F.col("ord"))).alias("score"))
+
+    def total(c) -> F.Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(*[total(r).alias(f"sheet_{r}") for r in reasons],
+                   total(F.greatest(F.col("n") - 1, F.lit(0))).alias("sheet_superseded"),
+                   F.count_if((F.col("score") < RATING_MIN) | (F.col("score") > RATING_MAX)).alias("rating_out_of_range"))
+
+
 def ratings_by_text(ratings: DataFrame) -> DataFrame:
     """One row per text: ``ratings MAP<question_label, score>``.
 

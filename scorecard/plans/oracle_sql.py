@@ -54,11 +54,9 @@ def d_rubric_values() -> str:
 
 
 def d_raters_values() -> str:
-    rows = ", ".join("(" + ", ".join([_lit(m), str(p), repr(k), _lit(mc)]) + ")"
-                     for m, p, k, mc in fx.D_RATERS)
-    return (f"raters_raw AS (SELECT * FROM (VALUES {rows}) AS t(model, model_pos, k, max_chars)), "
-            "raters AS (SELECT model, CAST(model_pos AS BIGINT) AS model_pos, "
-            "CAST(k AS DOUBLE) AS k, CAST(max_chars AS BIGINT) AS max_chars FROM raters_raw)")
+    rows = ", ".join("(" + ", ".join([_lit(m), str(p), repr(k)]) + ")" for m, p, k in fx.D_RATERS)
+    return (f"raters_raw AS (SELECT * FROM (VALUES {rows}) AS t(model, model_pos, k)), "
+            "raters AS (SELECT model, CAST(model_pos AS BIGINT) AS model_pos, CAST(k AS DOUBLE) AS k FROM raters_raw)")
 
 
 D_FEATURES = r"""feat AS (
@@ -85,8 +83,11 @@ def _top(p: str) -> str:
     return f"CASE WHEN {p} >= 0.5 THEN [{t}, {f}] ELSE [{f}, {t}] END"
 
 
-def d_response_ctes(temperature: bool = False) -> str:
-    """grid -> z -> p -> top_logprobs/error (the fixture D rule scorer)."""
+def d_response_ctes(temperature: bool = False, failing: bool = False) -> str:
+    """grid -> z -> p -> top_logprobs/error (the fixture D rule scorer; ``failing``: the
+    one with failures and abstentions)."""
+    def at(place) -> str:
+        return f"CAST(label AS BIGINT) % {place[0]} = {place[1]}" if failing else "FALSE"
     temps = ""
     zexpr = "z0"
     if temperature:
@@ -97,9 +98,9 @@ def d_response_ctes(temperature: bool = False) -> str:
 grid AS (SELECT * FROM {grid_from}),
 zz AS (SELECT *, {D_LOGIT} AS z0 FROM grid),
 pp AS (SELECT *, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-greatest(least({zexpr}, CAST(10.0 AS DOUBLE)), CAST(-10.0 AS DOUBLE)))) AS p FROM zz),
-er AS (SELECT *, CASE WHEN max_chars IS NOT NULL AND n > max_chars THEN 'scorer failed: input too long' END AS error FROM pp),
+er AS (SELECT *, CASE WHEN model = 'strict' AND {at(fx.FAILS_AT)} THEN '{fx.FAILURE}' END AS error FROM pp),
 resp AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL
-                        WHEN w < CAST({float(fx.ABSTAIN_MAX_WORDS)} AS DOUBLE) THEN [{{'token': 'Maybe', 'logprob': ln(CAST(0.9 AS DOUBLE))}}]
+                        WHEN {at(fx.ABSTAINS_AT)} THEN [{{'token': 'Maybe', 'logprob': ln(CAST(0.9 AS DOUBLE))}}]
                         ELSE {_top('p')} END AS top_logprobs FROM er)"""
 
 
@@ -113,8 +114,8 @@ ANSWER_COLS = f"""coalesce(m.token, lower(top_logprobs[-1].token)) AS answer,
   m.logprob AS logprob, m IS NOT NULL AS matched"""
 
 
-def d_question_ctes() -> str:
-    return (d_response_ctes() + ",\n" + SCAN.format(src="resp") +
+def d_question_ctes(failing: bool = False) -> str:
+    return (d_response_ctes(failing=failing) + ",\n" + SCAN.format(src="resp") +
             f""",
 qs AS (SELECT label, model, model_pos, concept, concept_pos, concept_weight, dimension, dim_pos,
               dim_weight, question_label, question, q_pos, positive_contribution, examples,
@@ -143,8 +144,8 @@ def rollup_ctes(src: str = "qs", weighted: bool = False, prefix: str = "") -> st
       count(CASE WHEN status = 'ok' THEN score END) AS n_models FROM {p}ms GROUP BY label)"""
 
 
-def d_with(*tail: str) -> str:
-    return "WITH " + d_question_ctes() + ",\n" + ",\n".join(tail)
+def d_with(*tail: str, failing: bool = False) -> str:
+    return "WITH " + ",\n".join([d_question_ctes(failing), *tail])
 
 
 HUMAN_CTES = """hr AS (SELECT CAST(l.doc_id AS VARCHAR) AS sheet, q.question_label AS label,
@@ -180,7 +181,7 @@ H_VALID = r"""raw AS (SELECT CAST(user_id AS VARCHAR) AS sheet, event_type AS la
       CASE WHEN value < 1.0 THEN '' WHEN value < 2.0 THEN 'n/a'
            ELSE CAST(CAST(floor(value) AS BIGINT) % 7 AS VARCHAR) END AS score_text FROM events),
 cls AS (SELECT *, CASE WHEN regexp_full_match(score_text, '\s*[+-]?[0-9]+\s*') THEN TRY_CAST(score_text AS INTEGER) END AS sc,
-      CASE WHEN label = '' OR score_text = '' THEN 'empty_cell'
+      CASE WHEN ord % 31 = 5 THEN 'short_row' WHEN label = '' OR score_text = '' THEN 'empty_cell'
            WHEN NOT regexp_full_match(score_text, '\s*[+-]?[0-9]+\s*') OR TRY_CAST(score_text AS INTEGER) IS NULL THEN 'bad_cast' END AS reason
     FROM raw)"""
 
@@ -260,8 +261,8 @@ UNION ALL SELECT label, model, concept, dimension, {n}, score, 'dimension' FROM
 UNION ALL SELECT label, model, concept, dimension, question_label, score, 'question' FROM {q}"""
 
 
-def d_and_human_with() -> str:
-    return ("WITH " + d_question_ctes() + ",\n" + rollup_ctes("qs") + ",\n" + HUMAN_CTES + ",\n" +
+def d_and_human_with(failing: bool = False) -> str:
+    return ("WITH " + d_question_ctes(failing) + ",\n" + rollup_ctes("qs") + ",\n" + HUMAN_CTES + ",\n" +
             rollup_ctes("hq", prefix="h_"))
 
 
@@ -506,8 +507,8 @@ pts AS (SELECT label, model, i + 1 AS point, dimension, 2.0 * pi() * i / n AS an
 SELECT label, model, CAST(point AS BIGINT) AS point, dimension, {r6('angle')} AS angle, score FROM pts"""
     o["score_bands"] = fw + f"\nSELECT *, {band_sql()} AS band FROM ({flat_union()})"
     o["report_lines"] = fw + "\n" + report_sql()
-    o["quality_report"] = d_and_human_with() + ",\n" + H_VALID + ",\n" + E_CTES + """
-SELECT 'sheet_short_row' AS reason, CAST(0 AS BIGINT) AS n
+    o["quality_report"] = d_and_human_with(failing=True) + ",\n" + H_VALID + ",\n" + E_CTES + """
+SELECT 'sheet_short_row' AS reason, count(*) AS n FROM cls WHERE reason = 'short_row'
 UNION ALL SELECT 'sheet_empty_cell', count(*) FROM cls WHERE reason = 'empty_cell'
 UNION ALL SELECT 'sheet_bad_cast', count(*) FROM cls WHERE reason = 'bad_cast'
 UNION ALL SELECT 'sheet_superseded', CAST(coalesce(sum(c - 1), 0) AS BIGINT)
@@ -539,7 +540,18 @@ FROM scan"""
                           "q.dimension, q.question_label, " + render_sql(SYSTEM_PROMPT_TEMPLATE, cols) +
                           " AS system_prompt, " + render_sql(QUESTION_PROMPT_TEMPLATE, cols) +
                           " AS user_prompt FROM documents d CROSS JOIN rubric q")
-    o["model_status"] = fw + """
+    o["response_content"] = d_with() + f"""
+SELECT label, model, question_label,
+       CASE WHEN k IS NULL THEN answer END AS answer, CASE WHEN k IS NULL THEN score END AS score, k AS error
+FROM (SELECT *, CASE CAST(label AS BIGINT) % 11 WHEN 0 THEN 'broken JSON' WHEN 1 THEN 'empty content'
+                WHEN 2 THEN 'no logprobs' WHEN 3 THEN 'no choices' END AS k FROM qs)"""
+    o["failed_scores"] = d_with(rollup_ctes(), failing=True) + """
+SELECT q.label, q.model, q.question_label, q.answer, q.score, q.matched, q.error, m.score AS model_score,
+       t.score AS text_score
+FROM qs q JOIN ms m ON m.label = q.label AND m.model = q.model JOIN ts t ON t.label = q.label"""
+    o["stored_scores"] = fw + """
+SELECT label, model, concept, dimension, score, DATE '2024-05-02' AS run_date FROM ds"""
+    o["model_status"] = d_with(failing=True) + """
 SELECT label, model, CASE WHEN bool_or(error IS NOT NULL) THEN 'error' ELSE 'ok' END AS status,
        min(error) AS error, count(*) AS n_questions, count(score) AS n_scored FROM qs GROUP BY label, model"""
     o["run_metadata"] = fw + f"""

@@ -37,6 +37,11 @@ def d_evaluation(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Ev
                     fx.d_scorer(), weighted=weighted)
 
 
+def d_failing(spark: SparkSession, sf_dir: str) -> Evaluation:
+    """The same with a scorer that fails and abstains for some documents."""
+    return evaluate(fx.d_texts(spark, sf_dir), fx.d_raters(spark), fx.d_rubric(spark), fx.d_failing_scorer())
+
+
 def d_human(spark: SparkSession, sf_dir: str) -> Evaluation:
     rubric = fx.d_rubric(spark)
     ratings = fx.d_ratings(spark, sf_dir, rubric)
@@ -414,7 +419,7 @@ def q_error_totals(spark, sf_dir):
 
 # ------------------------------------------------- phase 7: profile, report, QA
 from ..operators import report as rp  # noqa: E402
-from ..operators.human import rejected_rows, superseded_count  # noqa: E402
+from ..operators.human import sheet_counts  # noqa: E402
 
 
 def _d_dim_order(spark):
@@ -447,32 +452,25 @@ def q_report_lines(spark, sf_dir):
 
 @query("quality_report")
 def q_quality_report(spark, sf_dir):
-    """QA1: one aggregation per source, unpivoted to ``(reason, n)`` rows."""
-    raw = fx.h_raw(spark, sf_dir)
-    rej = rejected_rows(raw).agg(*[
-        F.count_if(F.col("reject_reason") == r).alias(f"sheet_{r}")
-        for r in ("short_row", "empty_cell", "bad_cast")])
-    kept = clean_ratings(raw).agg(
-        F.count_if((F.col("score") < 1) | (F.col("score") > 5)).alias("rating_out_of_range"))
+    """QA1: one pass over each source, its counts unpivoted to ``(reason, n)`` rows."""
+    sheets = sheet_counts(fx.h_raw(spark, sf_dir))
     hq = d_human(spark, sf_dir).question_scores.agg(
         F.count_if(~F.col("matched")).alias("missing_rating"))
-    q = d_evaluation(spark, sf_dir).question_scores.agg(
+    q = d_failing(spark, sf_dir).question_scores.agg(
         F.count_if(F.col("error").isNull() & ~F.col("matched")).alias("no_answer_match"),
         F.count_if(F.col("error").isNotNull()).alias("scorer_error"))
     cells = (fx.e_raw(spark, sf_dir).groupBy("label", "model", "concept", "dimension", "question")
              .agg(F.count(F.lit(1)).alias("c"))
              .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicate_cell")))
-    sup = superseded_count(raw).withColumnRenamed("n", "sheet_superseded")
-    parts = [rej, sup, kept, hq, q, cells]
-    return rp.quality_report([rp.unpivot_counts(p) for p in parts])
+    return rp.quality_report([rp.unpivot_counts(p) for p in (sheets, hq, q, cells)])
 
 
 # ------------------------------------------------- phase 8: cache, tokens, prompts
-from ..functions.answers import answer_columns  # noqa: E402
+from ..functions.answers import answer_columns, with_parsed_responses  # noqa: E402
 from ..operators import cache as ch  # noqa: E402
 from ..operators.grid import expand, prompt_columns  # noqa: E402
 from ..operators.rollup import run_metadata  # noqa: E402
-from ..operators.scoring import model_status, token_probabilities  # noqa: E402
+from ..operators.scoring import model_status, score_responses, token_probabilities  # noqa: E402
 from .evaluation import responses  # noqa: E402
 
 SWEEP_TEMPERATURES = [0.0, 0.5, 1.0]
@@ -535,9 +533,43 @@ def q_prompt_render(spark, sf_dir):
     return p.select("label", "concept", "dimension", "question_label", "system_prompt", "user_prompt")
 
 
+@query("stored_scores")
+def q_stored_scores(spark, sf_dir):
+    """SNK2: two days of long tables, the second written twice; that day read back."""
+    from ..session import shared_path
+    from ..sources.sinks import write_long_tables
+
+    at = shared_path(spark, "long-tables")
+    scores = d_evaluation(spark, sf_dir).dimension_scores.select("label", "model", "concept", "dimension", "score")
+    for day in ("2024-05-01", "2024-05-02", "2024-05-02"):
+        write_long_tables({"dimension_scores": scores}, at, day)
+    stored = spark.read.parquet(f"{at}/dimension_scores")
+    return stored.where(F.col("run_date") == F.lit("2024-05-02").cast("date"))
+
+
 @query("model_status")
 def q_model_status(spark, sf_dir):
-    return model_status(d_evaluation(spark, sf_dir).question_scores)
+    return model_status(d_failing(spark, sf_dir).question_scores)
+
+
+@query("failed_scores")
+def q_failed_scores(spark, sf_dir):
+    """EV9, EV13: questions without a usable answer or with a failed call, and what
+    the roll-up makes of them."""
+    ev = d_failing(spark, sf_dir)
+    m = ev.model_scores.select("label", "model", F.col("score").alias("model_score"))
+    t = ev.text_scores.select("label", F.col("score").alias("text_score"))
+    return (ev.question_scores.select("label", "model", "question_label", "answer", "score", "matched", "error")
+            .join(m, ["label", "model"]).join(t, "label"))
+
+
+@query("response_content")
+def q_response_content(spark, sf_dir):
+    """EV5 from raw responses, some of them broken or without content."""
+    resp = responses(fx.d_texts(spark, sf_dir), fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer())
+    raw = fx.d_raw_responses(resp).drop("top_logprobs")
+    q = score_responses(with_parsed_responses(raw))
+    return q.select("label", "model", "question_label", "answer", "score", "error")
 
 
 @query("run_metadata")

@@ -40,12 +40,14 @@ D_RUBRIC_ROWS = [
     ("structure", "q_long", "Is the text very long?", False, None),
 ]
 
-# Raters (model, model_pos, strictness k, max characters
-# before the rater fails; None = never fails).
-D_RATERS = [("strict", 1, 0.8, 20000), ("medium", 2, 1.0, None), ("lenient", 3, 1.2, None)]
+# Raters (model, model_pos, strictness k).
+D_RATERS = [("strict", 1, 0.8), ("medium", 2, 1.0), ("lenient", 3, 1.2)]
 D_MODELS = [r[0] for r in D_RATERS]
 HUMAN_RATER = "human"
-ABSTAIN_MAX_WORDS = 5  # fewer words -> the scorer answers "Maybe"
+# Fixed values of the queries that show failures and abstentions (divisor, remainder of
+# the document's id): rater "strict" fails, every rater answers "Maybe".
+FAILS_AT, ABSTAINS_AT = (50, 7), (40, 3)
+FAILURE = "scorer failed: no connection"
 
 PROMPT_VERSION = hashlib.sha256(
     (SYSTEM_PROMPT_TEMPLATE + QUESTION_PROMPT_TEMPLATE).encode("utf-8")).hexdigest()
@@ -86,7 +88,7 @@ def d_rubric(spark: SparkSession) -> DataFrame:
 
 def d_raters(spark: SparkSession) -> DataFrame:
     return _config(spark, "d_raters", lambda: literal_table(
-        spark, D_RATERS, "model string, model_pos bigint, k double, max_chars bigint"))
+        spark, D_RATERS, "model string, model_pos bigint, k double"))
 
 
 def d_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +145,33 @@ def d_logit() -> Column:
 
 
 def d_scorer() -> RuleScorer:
-    return RuleScorer(
-        features=d_features(), logit=d_logit,
-        abstain=lambda: F.col("w") < F.lit(float(ABSTAIN_MAX_WORDS)),
-        fails=lambda: F.col("max_chars").isNotNull() & (F.col("n") > F.col("max_chars")),
-        error_message="scorer failed: input too long")
+    """Every rater answers every question of every text."""
+    return RuleScorer(features=d_features(), logit=d_logit)
+
+
+def d_failing_scorer() -> RuleScorer:
+    """The same, but some documents, chosen by id, fail or get no usable answer."""
+    def at(place: tuple[int, int]) -> Column:
+        return F.col("label").cast("bigint") % F.lit(place[0]) == F.lit(place[1])
+    return RuleScorer(features=d_features(), logit=d_logit, abstain=lambda: at(ABSTAINS_AT),
+                      fails=lambda: (F.col("model") == "strict") & at(FAILS_AT), error_message=FAILURE)
+
+
+# Kinds of raw responses, by the remainder of the document's id by 11.
+RESPONSE_KINDS = {0: "broken", 1: "empty", 2: "no logprobs", 3: "no choices"}
+
+
+def d_raw_responses(responses: DataFrame) -> DataFrame:
+    """The scorer's candidates as the JSON text of a completion, ``response``; some
+    documents have broken JSON, no content, no logprobs or no choices."""
+    content = F.array(F.struct(F.get("top_logprobs", 0)["token"].alias("token"), F.col("top_logprobs")))
+    first = F.struct(F.lit(0).alias("index"), F.struct(content.alias("content")).alias("logprobs"))
+    whole = F.to_json(F.struct(F.lit("r").alias("id"), F.array(first).alias("choices")))
+    kind = F.col("label").cast("bigint") % F.lit(11)
+    return responses.withColumn("response", F.when(kind == 0, F.substring(whole, 1, 40))
+                                .when(kind == 1, F.lit('{"id":"r","choices":[{"index":0,"logprobs":{"content":[]}}]}'))
+                                .when(kind == 2, F.lit('{"id":"r","choices":[{"index":0,"logprobs":null}]}'))
+                                .when(kind == 3, F.lit('{"id":"r","choices":[]}')).otherwise(whole))
 
 
 def d_ratings(spark: SparkSession, sf_dir: str, rubric: DataFrame | None = None) -> DataFrame:
@@ -240,4 +264,6 @@ def h_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise((F.floor(v) % F.lit(7)).cast("string")))
     return ev.select(F.col("user_id").cast("string").alias("sheet"),
                      F.col("event_type").alias("label"), text.alias("score_text"),
-                     F.col("event_id").alias("ord"), F.lit(3).cast("bigint").alias("n_cells"))
+                     F.col("event_id").alias("ord"),
+                     F.when(F.col("event_id") % F.lit(31) == F.lit(5), F.lit(2)).otherwise(F.lit(3))
+                     .cast("bigint").alias("n_cells"))  # some records have no third cell

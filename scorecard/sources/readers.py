@@ -7,18 +7,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
 
 def _with_ord(df: DataFrame) -> DataFrame:
-    # With multiLine=true a file is a single partition, so the generated id
-    # follows the file order; across files it follows the file order too.
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """``ord``: the file's path and the row's place in it.
+
+    With multiLine=true a file is read by one task from its start, so the
+    generated number ascends along the file, wherever the file was packed;
+    the path orders the files, which Spark itself reads largest first."""
+    return df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"),
+                                         F.monotonically_increasing_id().alias("row")))
 
 
 def read_flat_rubric(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: rubric CSV with header; fails fast on malformed rows."""
+    """SRC1: rubric CSV with header; fails fast on malformed rows.  Rows of several
+    files are in the order of the files' paths."""
     df = (spark.read.schema(schemas.FLAT_RUBRIC)
           .option("header", True).option("multiLine", True)
           .option("mode", "FAILFAST").option("escape", '"')
@@ -31,24 +37,54 @@ def read_rubric_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUBRIC_DOC).option("multiLine", True).json(path)
 
 
-def read_text_evals(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
+#: The column of records that are no JSON, where they are kept.
+BAD_RECORD = "_corrupt_record"
+
+
+def json_layouts(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """For each file with content whether it is one value over all its lines (an array,
+    or an object written over several lines) instead of an object a line.
+
+    Its first line that is not blank tells; the driver gets a row a file."""
+    lines = (spark.read.text(paths).withColumn("row", F.monotonically_increasing_id())
+             .select(F.col("_metadata.file_path").alias("file"), "row", F.trim("value").alias("line"),
+                     F.col("_metadata.file_block_start").alias("at"))
+             .where(F.col("line") != ""))
+    first = lines.groupBy("file").agg(F.min_by(F.struct("line"), F.struct("at", "row")).alias("first"))
+    whole = F.col("first.line").startswith("[") | F.get_json_object("first.line", "$").isNull()
+    return {r["file"]: r["whole"] for r in first.select("file", whole.alias("whole")).collect()}
+
+
+def read_text_evals(spark: SparkSession, paths, multiline: bool | None = None, bad: str = "raise") -> DataFrame:
     """SRC3/SRC4: evaluation results with ``text_key`` = file stem.
 
-    By default files hold one object a line, as the library's own sinks write.
-    Files of others that hold one array, or one object over several lines,
-    need ``multiline=True``; read as lines they raise instead of losing rows."""
+    Files may hold an object a line, as the library's own sinks write, or one
+    array or object over several lines; each file's layout is looked up
+    (:func:`json_layouts`), unless ``multiline`` states it for all.  Records that
+    are no JSON raise; with ``bad="keep"`` they are rows with the record in
+    ``_corrupt_record`` and nothing else but ``text_key``."""
     if isinstance(paths, str):
         paths = [paths]
-    df = (spark.read.schema(schemas.TEXT_EVAL)
+    if multiline is None:
+        found = json_layouts(spark, list(paths))
+        parts = [read_text_evals(spark, sorted(f for f, w in found.items() if w is whole), whole, bad)
+                 for whole in (False, True) if whole in found.values()]
+        if parts:
+            return reduce(DataFrame.unionByName, parts)
+        multiline = False  # nothing but empty files
+    schema = schemas.TEXT_EVAL if bad == "raise" else T.StructType(
+        [*schemas.TEXT_EVAL.fields, T.StructField(BAD_RECORD, T.StringType())])
+    df = (spark.read.schema(schema)
           .option("multiLine", multiline).option("allowNonNumericNumbers", True)
-          .option("mode", "FAILFAST")
+          .option("mode", "FAILFAST" if bad == "raise" else "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", BAD_RECORD)
           .json(list(paths)))
     return df.withColumn("text_key", F.regexp_replace(F.col("_metadata.file_name"),
                                                       r"\.json$", ""))
 
 
 def read_named_evals(spark: SparkSession, base_dir: str, names: list[str],
-                     multiline: bool = False) -> DataFrame:
+                     multiline: bool | None = None) -> DataFrame:
     """SRC3: the results ``<base_dir>/<name>.json`` of the given names, each a
     file or a folder that a sink wrote (``text_key`` = name)."""
     return reduce(DataFrame.unionByName, [
@@ -76,18 +112,19 @@ def read_rating_sheets(spark: SparkSession, path: str) -> DataFrame:
     """SRC7/SRC8: exported rating sheets (one CSV per sheet, header row).
 
     Returns raw rows ``sheet, label, score_text, ord, n_cells`` where
-    ``sheet`` is the file stem (one sheet per text) and ``n_cells`` the
-    number of non-empty leading cells (rows with fewer than 3 are skipped by
-    :func:`scorecard.operators.human.clean_ratings`).
+    ``sheet`` is the file stem (one sheet per text) and ``n_cells`` the number of
+    cells of the record, empty ones included (rows with fewer than 3 are skipped by
+    :func:`scorecard.operators.human.clean_ratings`).  Spark keeps the text of a
+    record that has not the schema's nine cells; its separators outside of quotes
+    are counted.
     """
-    df = (spark.read.schema(schemas.SHEET).option("header", True)
-          .option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
-    cells = F.array(*[F.col(f"c{i}") for i in range(9)])
-    # position of the last non-null cell = ragged row length
-    n_cells = F.aggregate(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1)
-                                      .otherwise(F.lit(0))),
-                          F.lit(0), lambda acc, x: F.greatest(acc, x))
+    schema = T.StructType([*schemas.SHEET.fields, T.StructField(BAD_RECORD, T.StringType())])
+    df = (spark.read.schema(schema).option("header", True)
+          .option("multiLine", True).option("escape", '"').option("columnPruning", False)
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD).csv(path))
+    bare = F.regexp_replace(F.col(BAD_RECORD), r'"(?:[^"]|"")*+"', "")
+    n_cells = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1,
+                         F.lit(len(schemas.SHEET.fields)))
     return _with_ord(df).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("sheet"),
         F.coalesce(F.col("c0"), F.lit("")).alias("label"),

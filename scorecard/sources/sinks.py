@@ -19,12 +19,14 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def write_long_tables(tables: dict[str, DataFrame], path: str, run_date: str,
-                      mode: str = "append") -> str:
+                      mode: str = "overwrite") -> str:
     """SNK2 for the long score tables: Parquet, one folder per table,
-    partitioned by ``run_date`` so later reads prune by day."""
+    partitioned by ``run_date`` so later reads prune by day.  A run replaces its
+    own day and leaves the others; ``mode="append"`` adds to the day."""
     for name, df in tables.items():
         (df.withColumn("run_date", F.lit(run_date).cast("date"))
-         .write.mode(mode).partitionBy("run_date").parquet(f"{path}/{name}"))
+         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_date").parquet(f"{path}/{name}"))
     return path
 
 

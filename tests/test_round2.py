@@ -48,7 +48,7 @@ def test_default_read_returns_what_was_written(spark, tmpdir_path):
         json.dump([{"label": "a"}, {"label": "b"}], f, indent=2)
     assert readers.read_text_evals(spark, f"{tmpdir_path}/pretty.json", multiline=True).count() == 2
     with pytest.raises(Exception):
-        readers.read_text_evals(spark, f"{tmpdir_path}/pretty.json").collect()
+        readers.read_text_evals(spark, f"{tmpdir_path}/pretty.json", multiline=False).collect()
 
 
 def test_failures_are_not_cached(spark, tmpdir_path):

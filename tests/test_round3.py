@@ -113,3 +113,82 @@ def test_cached_rules_equal_plain_rules(spark, tmpdir_path):
     for _ in range(2):
         ev = evaluate_cached(texts, fx.d_raters(spark), fx.d_rubric(spark), fx.d_scorer(), path, "v", buckets=4)
         assert ev.text_scores.exceptAll(Q.d_evaluation(spark, SF001).text_scores).count() == 0
+
+
+def _put(folder, **files):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in files.items():
+        with open(os.path.join(folder, name.replace("__", ".")), "w") as f:
+            f.write(text)
+
+
+def test_rubric_files_keep_first_appearance_order(spark, tmpdir_path):
+    from scorecard.operators import rubric as rb
+    from scorecard.sources.readers import read_flat_rubric
+
+    head = "Dimension,Label,Question,positive_contribution,Examples\n"
+    folder = os.path.join(tmpdir_path, "rubrics")
+    _put(folder, a__csv=head + "small,s1,Q?,true,\n",
+         b__csv=head + "".join(f"large,l{i},{'Why? ' * 200},true,\n" for i in range(300)) + "small,s2,Q?,true,\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        flat = read_flat_rubric(spark, folder)
+        dims = [(r.dimension, r.dim_pos) for r in rb.dimension_order(flat).orderBy("dim_pos").collect()]
+        assert dims == [("small", 1), ("large", 2)]
+        doc = rb.nest_rubric(flat, "c").first().concepts[0]
+        assert [q.label for q in doc.dimensions[0].questions] == ["s1", "s2"]
+        assert [q.label for q in doc.dimensions[1].questions] == [f"l{i}" for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cells_of_a_sheet_row_are_counted(spark, tmpdir_path):
+    from scorecard.operators.human import clean_ratings, rejected_rows, sheet_counts
+    from scorecard.sources.readers import read_rating_sheets
+
+    folder = os.path.join(tmpdir_path, "sheets")
+    _put(folder, t1__csv='Label,Question,Score\n'
+         'two,Q?\nempty third,Q?,\n"q, 1","Say ""x, y""\nnow",4\nall,1,2,3,4,5,6,7,8\nten,a,3,,,,,,,j\n"only"\n')
+    raw = read_rating_sheets(spark, folder)
+    got = {r.label: (r.n_cells, r.score_text) for r in raw.collect()}
+    assert got == {"two": (2, ""), "empty third": (3, ""), "q, 1": (3, "4"), "all": (9, "2"), "ten": (10, "3"),
+                   "only": (1, "")}
+    assert {r.label: r.reject_reason for r in rejected_rows(raw).collect()} == {
+        "two": "short_row", "only": "short_row", "empty third": "empty_cell"}
+    assert {r.label: r.score for r in clean_ratings(raw).collect()} == {"q, 1": 4, "all": 2, "ten": 3}
+    c = sheet_counts(raw).first()
+    assert (c.sheet_short_row, c.sheet_empty_cell, c.sheet_bad_cast, c.sheet_superseded) == (2, 1, 0, 0)
+
+
+def test_mixed_layouts_in_one_folder(spark, tmpdir_path):
+    from scorecard.sources.readers import BAD_RECORD, read_text_evals
+
+    folder = os.path.join(tmpdir_path, "evals")
+    one = '{"label": "%s", "input_text": "x", "aggregated_score": 0.5}'
+    _put(folder, lines__json="\n".join(one % f"l{i}" for i in range(50)) + "\n", array__json=f"\n [{one % 'a0'},\n{one % 'a1'}]",
+         pretty__json=(one % "p0").replace(", ", ",\n  "), empty__json="\n\n")
+    got = sorted((r.text_key, r.label) for r in read_text_evals(spark, folder).collect())
+    assert got == sorted([("lines", f"l{i}") for i in range(50)] + [("array", "a0"), ("array", "a1"), ("pretty", "p0")])
+    _put(folder, bad__json=(one % "b0") + "\n{broken\n" + (one % "b1") + "\n")
+    rows = read_text_evals(spark, folder, bad="keep")
+    assert rows.count() == 53 + 3
+    assert [r.text_key for r in rows.where(F.col(BAD_RECORD).isNotNull()).collect()] == ["bad"]
+    try:
+        read_text_evals(spark, folder).collect()
+        raise AssertionError("a bad record must raise")
+    except Exception as exc:  # noqa: BLE001
+        assert "MALFORMED" in str(exc)
+
+
+def test_response_errors(spark):
+    from scorecard.functions.answers import with_parsed_responses
+
+    whole = '{"choices":[{"logprobs":{"content":[{"token":"True","top_logprobs":[{"token":"True","logprob":-0.5}]}]}}]}'
+    cases = {whole: None, whole[:50]: "broken JSON", "": "broken JSON", "[1]": "broken JSON", "{}": "no choices",
+             '{"choices":[]}': "no choices", '{"choices":[{}]}': "no logprobs",
+             '{"choices":[{"logprobs":{"content":[]}}]}': "empty content",
+             '{"choices":[{"logprobs":{"content":[{"token":"a"}]}}]}': "no candidates"}
+    df = spark.createDataFrame([(c, None) for c in cases] + [(None, None), (whole, "timeout")], "response string, error string")
+    got = {r.r: r.error for r in with_parsed_responses(df.withColumn("r", F.concat_ws("|", "response", "error"))).collect()}
+    assert got == {**cases, **{whole + "|timeout": "timeout"}, "": got[""]}
+    assert with_parsed_responses(df.where("response IS NULL")).first().error == "no response"
