@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import grid_mean, grid_sum, quoted, row_grid_mean
 from ..functions.ranking import distinct_value_ranks
 from ..session import ensure_checkpoint_dir
-from .compare import AGGREGATE_MODEL, WIDE_KEYS
+from .compare import AGGREGATE_MODEL, WIDE_KEYS, listed
 
 
 def complete_pairs(long: DataFrame, reference: str, keys: list[str] = WIDE_KEYS) -> DataFrame:
@@ -99,7 +99,7 @@ def pivot_pairs(long: DataFrame, reference: str, raters: list[str],
     listed rater's score next to the reference score, then the pairs are
     unstacked (``model, score, ref_score``, both non-NULL)."""
     m, sc = F.col("model"), F.col("score")
-    wide = long.groupBy(*keys).agg(
+    wide = listed(long, [reference, *raters]).groupBy(*keys).agg(
         F.max(F.when(m == reference, sc)).alias("ref_score"),
         *[F.max(F.when(m == r, sc)).alias(f"_s_{i}") for i, r in enumerate(raters)])
     stacked = F.array(*[F.struct(F.lit(r).alias("model"), F.col(f"_s_{i}").alias("score"))
@@ -142,11 +142,12 @@ def outlier_scores(long: DataFrame, reference: str, excluded: str,
     With the rater list given, one aggregation per cell pivots every rater's
     score next to the reference score and the differences (with one
     ``diff_<rater>`` column each, AG3 in wide form) are row expressions: one
-    shuffle, no join.  Without it, the differences come from the pair join.
+    shuffle, no join; a rater that is not listed raises.  Without it, the
+    differences come from the pair join.
     """
     if raters:
         m, sc = F.col("model"), F.col("score")
-        wide = long.groupBy(*keys).agg(
+        wide = listed(long, [reference, *raters]).groupBy(*keys).agg(
             F.max(F.when(m == reference, sc)).alias("_ref"),
             *[F.max(F.when(m == r, sc)).alias(f"_s_{i}") for i, r in enumerate(raters)])
         diffs = {r: F.abs(F.col(f"_s_{i}") - F.col("_ref")) for i, r in enumerate(raters)}

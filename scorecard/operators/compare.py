@@ -55,16 +55,24 @@ def with_aggregate(long: DataFrame, models: list[str], keys: list[str] = WIDE_KE
     return cells.select(*keys, F.inline(rows))
 
 
+def listed(long: DataFrame, models: list[str]) -> DataFrame:
+    """``long``, where a rater that is not listed raises, instead of vanishing
+    from a view with a column per rater."""
+    m = F.col("model")
+    other = F.raise_error(F.concat(F.lit("rater without a column: "), m)).cast("string")
+    return long.withColumn("model", F.when(m.isNull() | m.isin(models), m).otherwise(other))
+
+
 def wide_by_model(long: DataFrame, models: list[str], keys: list[str] = WIDE_KEYS,
                   aggregate_of: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """PV6: one row per key, one column per rater (explicit list).
+    """PV6: one row per key, one column per rater (explicit list; others raise).
 
     The key includes ``concept`` so equal names in two concepts stay apart.
     A duplicate cell keeps its mean; callers average cells first.
     ``aggregate_of`` adds PV7's ``aggregate_models`` column, the row mean of
     those raters' columns, in the same aggregation (``digits``: exact grid
     mean, as :func:`aggregate_models`)."""
-    wide = long.groupBy(*keys).pivot("model", models).agg(F.avg("score"))
+    wide = listed(long, models).groupBy(*keys).pivot("model", models).agg(F.avg("score"))
     if aggregate_of:
         wide = wide.withColumn(AGGREGATE_MODEL, row_grid_mean([quoted(r) for r in aggregate_of], digits))
     return wide

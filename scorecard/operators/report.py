@@ -45,6 +45,29 @@ def profile(flat: DataFrame, concept: str, models: list[str], dim_order: DataFra
                     F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
 
 
+def profile_of_scores(dimension_scores: DataFrame, concept: str, models: list[str],
+                      label: str | None = None) -> DataFrame:
+    """PR1 from the roll-up's dimension rows: one row per text holds its raters'
+    dimensions (as many as rubric and rater list have), and the profile is an
+    expression over it: no distinct, no join, and the roll-up's partitioning."""
+    d = dimension_scores.where((F.col("concept") == concept) & F.col("model").isin(models)
+                               & F.col("dimension").isNotNull() & (F.col("dimension") != ""))
+    if label is not None:
+        d = d.where(F.col("label") == label)
+    per = d.groupBy("label").agg(F.collect_list(F.struct("dim_pos", "dimension", "model", "score")).alias("_rows"))
+    dims = F.array_sort(F.array_distinct(F.transform(
+        "_rows", lambda r: F.struct(r["dim_pos"].alias("dim_pos"), r["dimension"].alias("dimension")))))
+
+    def point(m, x):
+        own = F.filter("_rows", lambda r: (r["model"] == m) & (r["dimension"] == x["dimension"]))
+        return F.struct(m.alias("model"), x["dimension"].alias("dimension"), x["dim_pos"].alias("dim_pos"),
+                        F.coalesce(F.get(own, F.lit(0))["score"], F.lit(0.0)).alias("score"))
+    points = F.flatten(F.transform(F.array(*[F.lit(m) for m in models]),
+                                   lambda m: F.transform("_dims", lambda x: point(m, x))))
+    return per.withColumn("_dims", dims).select("label", F.inline(points)).select(
+        "label", "model", "dimension", "dim_pos", "score")
+
+
 def profile_polar(prof: DataFrame, min_dimensions: int = MIN_PROFILE_DIMENSIONS) -> DataFrame:
     """PR2 + PR3: polar points per (text, rater), angle ``2*pi*i/N``, the
     first point repeated to close the loop; only with >= 3 dimensions."""

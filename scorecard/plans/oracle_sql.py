@@ -498,7 +498,7 @@ WHERE i <= {n}"""
 def phase78_oracles(o: dict[str, str]) -> None:
     from ..operators.grid import QUESTION_PROMPT_TEMPLATE, SYSTEM_PROMPT_TEMPLATE
     fw = d_with(rollup_ctes())
-    o["profile"] = fw + profile_ctes() + "\nSELECT label, model, dimension, dim_pos, score FROM prof"
+    o["profile"] = o["profile_of_flat"] = fw + profile_ctes() + "\nSELECT label, model, dimension, dim_pos, score FROM prof"
     o["profile_polar"] = fw + profile_ctes() + f""",
 pn AS (SELECT *, row_number() OVER (PARTITION BY label, model ORDER BY dim_pos) - 1 AS i,
        count(*) OVER (PARTITION BY label, model) AS n FROM prof),

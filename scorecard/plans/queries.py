@@ -428,15 +428,20 @@ def _d_dim_order(spark):
 
 @query("profile")
 def q_profile(spark, sf_dir):
-    flat = fl.flat_scores(d_evaluation(spark, sf_dir))
-    return rp.profile(flat, fx.D_CONCEPT, fx.D_MODELS, _d_dim_order(spark))
+    return rp.profile_of_scores(d_evaluation(spark, sf_dir).dimension_scores, fx.D_CONCEPT, fx.D_MODELS)
 
 
 @query("profile_polar")
 def q_profile_polar(spark, sf_dir):
+    prof = rp.profile_of_scores(d_evaluation(spark, sf_dir).dimension_scores, fx.D_CONCEPT, fx.D_MODELS)
+    return rp.profile_polar(prof).select("label", "model", "point", "dimension", round6("angle").alias("angle"), "score")
+
+
+@query("profile_of_flat")
+def q_profile_of_flat(spark, sf_dir):
+    """PR1 from the flat table, where dimension rows are looked up."""
     flat = fl.flat_scores(d_evaluation(spark, sf_dir))
-    pol = rp.profile_polar(rp.profile(flat, fx.D_CONCEPT, fx.D_MODELS, _d_dim_order(spark)))
-    return pol.select("label", "model", "point", "dimension", round6("angle").alias("angle"), "score")
+    return rp.profile(flat, fx.D_CONCEPT, fx.D_MODELS, _d_dim_order(spark))
 
 
 @query("score_bands")

@@ -192,3 +192,50 @@ def test_response_errors(spark):
     got = {r.r: r.error for r in with_parsed_responses(df.withColumn("r", F.concat_ws("|", "response", "error"))).collect()}
     assert got == {**cases, **{whole + "|timeout": "timeout"}, "": got[""]}
     assert with_parsed_responses(df.where("response IS NULL")).first().error == "no response"
+
+
+def test_unlisted_raters_raise(spark):
+    from scorecard.operators import agreement as ag
+    from scorecard.operators.compare import other_raters, wide_by_model
+
+    rows = [("a", "c", "d", "q", m, s) for m, s in (("ref", 0.5), ("x", 0.4), ("late", 1.0))]
+    long = spark.createDataFrame(rows, "label string, concept string, dimension string, question string, model string, "
+                                       "score double")
+    for made in (lambda: wide_by_model(long, ["ref", "x"]), lambda: ag.outlier_scores(long, "ref", "x", raters=["x"]),
+                 lambda: ag.error_by_dimension(long, "ref", "x", ["x"]), lambda: ag.pivot_pairs(long, "ref", ["x"])):
+        try:
+            made().collect()
+            raise AssertionError("a rater vanished")
+        except Exception as exc:  # noqa: BLE001
+            assert "rater without a column: late" in str(exc)
+    wide = wide_by_model(long, ["ref", "x", "late"])
+    assert other_raters(wide.columns, "ref") == ["x", "late"]  # PV8
+    assert ag.outlier_scores(long, "ref", "x", raters=["x", "late"]).first().max_diff == 0.5
+
+
+def test_rows_without_a_dimension_and_empty_frames(spark):
+    from scorecard.operators import agreement as ag
+    from scorecard.operators import report as rp
+
+    rows = [("a", "c", d, "q", m, s) for d in ("d", None) for m, s in (("ref", 0.5), ("x", 0.4))]
+    long = spark.createDataFrame(rows, "label string, concept string, dimension string, question string, model string, "
+                                       "score double")
+    body = long.where("dimension IS NOT NULL")  # FL5
+    assert [r.dimension for r in ag.error_by_dimension(body, "ref", "y", ["x"]).collect()] == ["d"]
+    none = long.where("false")  # FL6
+    assert ag.spearman_overall(none, "ref").collect() == []
+    assert ag.outliers_top(none, "ref", "x", ["x"], 3).collect() == []
+    dims = none.withColumn("dim_pos", F.lit(1))
+    assert rp.profile_polar(rp.profile_of_scores(dims, "c", ["x"])).collect() == []
+
+
+def test_rubric_document_is_read_back(spark, tmpdir_path):
+    from scorecard.operators import rubric as rb
+    from scorecard.sources.readers import read_rubric_json
+
+    folder = os.path.join(tmpdir_path, "csv")
+    _put(folder, My_Concept__csv="Dimension,Label,Question,positive_contribution,Examples\nd,l,Q?,true,\ne,m,R?,false,x\n")
+    doc, path = rb.process_concept_csv(spark, os.path.join(folder, "My_Concept.csv"), os.path.join(tmpdir_path, "out"))
+    back = read_rubric_json(spark, path)
+    assert back.select("concepts").collect() == doc.select("concepts").collect()
+    assert rb.unnest_rubric(back).count() == 2
