@@ -5,13 +5,13 @@ words at spaces and tabs.  Phrases are 2 to 4 words next to each other in a piec
 
 1. Words and pairs.  Each task counts them in blocks; Spark sums the blocks.
    Words and pairs with ``LEAST`` or more occurrences are kept.
-2. Candidates of k + 1 words.  A phrase can be frequent only if its first k
-   words are (Apriori), so a trie of the frequent phrases of k words is
-   walked over the text, and what follows an accepted phrase is proposed.
-   Proposals with too few occurrences do not become candidates.
-3. Counts.  Double-array tries of all candidates are broadcast, ``TOGETHER`` at a
-   time; numpy advances the states of all text positions at once, a level
-   for each word, counts the accepting states, and Spark sums the shards.
+2. Candidates of k words go into double-array tries, which are broadcast,
+   ``TOGETHER`` at a time.  Numpy advances the states of all text positions at once,
+   a level for each word, and counts the accepting states; Spark sums the shards.
+3. Candidates of k + 1 words.  A phrase can be frequent only if its first k
+   words are (Apriori), so in the same walk every accepting state is counted
+   with the words that follow it.  Those with ``LEAST`` or more occurrences are the
+   next candidates; at the last level these counts, which are exact, are final.
 4. Scores are exact whole numbers (decimals of 38 digits).
 
 Candidates are dealt by the hash of their first two words into as many tries as it
@@ -49,9 +49,9 @@ SCALE = 2_000_000
 #: Phrases of a trie, about, and tries that one pass over the texts takes along.
 TRIE, TOGETHER = 100_000, 8
 #: Bytes of text that are split into words at once; words that are counted at once.
-PART, BLOCK = 1 << 20, 1_000_000
+PART, BLOCK = 1 << 20, 1_500_000
 #: Distinct words that a task numbers before it begins anew.
-NUMBERED = 200_000
+NUMBERED = 500_000
 #: Rows of the Arrow batches that tasks return.
 ROWS_OUT = 20_000
 #: Parts in which a language's phrases are ranked before the last ranking.
@@ -305,25 +305,19 @@ class Walk:
                 yield i, level + 1, at[found >= 0], found[found >= 0]
 
 
-def proposed(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the accepted phrases with each word that follows them."""
-    walk = Walk(tries, parts)
+def stepped(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the tries' phrases, which have one length, and of each with every
+    word that follows it."""
+    walk, counts = Walk(tries, parts), [np.zeros(len(t), np.int64) for t in tries]
     for lang, numbers, ids, starts in blocks(batches):
         size, words = len(numbers.ids), numbers.listed()
         for i, level, at, found in walk.accepted(lang, numbers, ids, starts):
+            counts[i] += np.bincount(found, minlength=len(counts[i]))
             inside = at + level < len(ids)
             at, found = at[inside], found[inside].astype(np.int64)
             after = ids[at + level]
             longer, n = np.unique((found * size + after)[after > 0], return_counts=True)
             yield from _rows(lang, lambda x, t=tries[i]: t.phrase(x // size) + b" " + words[x % size], longer, n)
-
-
-def counted(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the tries' phrases."""
-    walk, counts = Walk(tries, parts), [np.zeros(len(t), np.int64) for t in tries]
-    for block in blocks(batches):
-        for i, _, _, found in walk.accepted(*block):
-            counts[i] += np.bincount(found, minlength=len(counts[i]))
     for trie, n in zip(tries, counts):
         for j, lang in enumerate(trie.names):
             own = np.flatnonzero((trie.lang_of == j) & (n > 0))
@@ -381,14 +375,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, size: int = TRIE) -> D
     enough = (F.col("n") >= least) | (F.col("phrase") == "")
     short = stored(texts.mapInArrow(words_and_pairs, COUNTS_SQL).groupBy("lang", "phrase")
                    .agg(F.sum("n").alias("n")).where(enough), "words-and-pairs")
-    pair = F.instr("phrase", " ") > 0
-    level = short.where(pair)
-    candidates = level
-    for _ in range(2, LONGEST):
-        level = stored(walked(texts, level, proposed, size).where(enough), "candidates")
-        candidates = candidates.unionByName(level)
-    counts = walked(texts, candidates.select("lang", "phrase"), counted, size)
-    return stored(short.where(~pair).unionByName(counts), "phrase-counts")
+    n_words = F.size(F.split("phrase", " "))
+    counts, level = short.where(n_words == 1), short.where(n_words == 2)
+    for k in range(2, LONGEST):
+        rows = stored(walked(texts, level, stepped, size).where(enough), "candidates")
+        counts, level = counts.unionByName(rows.where(n_words == k)), rows.where(n_words == k + 1)
+    return stored(counts.unionByName(level), "phrase-counts")
 
 
 def _joined(words, start, n):

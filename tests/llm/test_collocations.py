@@ -95,12 +95,10 @@ def test_cuts_of_long_texts(monkeypatch, part, block, numbered):
     short = summed(C.words_and_pairs(iter(batches)))
     assert short == Counter({(x, " ".join(p)): n for x in f for p, n in f[x].items() if len(p) < 3} | {
         (x, ""): sum(n for p, n in f[x].items() if len(p) == 1) for x in f})
-    trie = C.DoubleArrayTrie([(x, " ".join(p)) for x in f for p in f[x] if len(p) > 1])
-    assert summed(C.counted(iter(batches), [trie], 1)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
-                                                      if len(p) > 1}
-    pairs = C.DoubleArrayTrie([(x, " ".join(p)) for x in f for p in f[x] if len(p) == 2])
-    assert summed(C.proposed(iter(batches), [pairs], 1)) == {(x, " ".join(p)): n for x in f for p, n in f[x].items()
-                                                        if len(p) == 3}
+    for k in (2, 3):
+        trie = C.DoubleArrayTrie([(x, " ".join(p)) for x in f for p in f[x] if len(p) == k])
+        assert summed(C.stepped(iter(batches), [trie], 1)) == {
+            (x, " ".join(p)): n for x in f for p, n in f[x].items() if k <= len(p) <= k + 1}
 
 
 def test_double_array():
