@@ -65,6 +65,25 @@ def test_lm_tricky_rows(spark):
     assert lattice_lm.score_documents(empty_docs(spark), queries.PIECES).count() == 0
 
 
+def test_score_is_the_sum_over_all_cuts(spark):
+    """The marginal of each text by a plain sum over segmentations, under the vocabulary's scores."""
+    from scorecard.llm.lattice import vocabulary
+
+    texts = ["the cat sat", "", "Zyx q the", "é \t日本 the the"]
+    docs = spark.createDataFrame([(7 * i + 10**12 * i, t) for i, t in enumerate(texts)] * 2, "doc_id bigint, text string")
+    rows = lattice_lm.score_documents(docs, queries.PIECES, block_docs=2).collect()
+    assert len(rows) == 8
+    vocab = vocabulary(open(queries.PIECES, "rb").read())
+
+    def marginal(word):
+        from scorecard.llm.lattice import log_probabilities
+        return log_probabilities(vocab, [word], vocab.start)[0]
+    for r in rows:
+        text = texts[[7 * i + 10**12 * i for i in range(4)].index(r.doc_id)]
+        want = sum(marginal(w.decode()) for w in lattice_lm.words_of(text.encode())) - math.log(vocab.size + 1)
+        assert abs(r.score - want / math.log(10)) < 1e-9 and math.isfinite(r.mixture_score)
+
+
 def test_poisson_draws():
     con = duckdb.connect()
     con.sql("create table documents as select i as doc_id, 'abcd' as text, if(i % 3 = 0, 'x', 'y') as source "
