@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import shared_path
 
 #: Documents per Arrow batch: a batch of the longest texts must fit a worker.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 #: Labels are learnt only from rows whose ``crc32(doc_id) mod 3`` is not this.
 HELD_OUT = 1
@@ -24,16 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` if it is larger.
-
-    Spark cuts batches by rows only, so whole texts need a small number; a
-    smaller setting of the session stays as it is.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``size`` bytes if they
+    are larger; smaller settings of the session stay as they are."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.sub(r"\D+$", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def ship_code(spark: SparkSession) -> None:

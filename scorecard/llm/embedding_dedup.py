@@ -136,13 +136,26 @@ def linkable(column: str = "embedding") -> F.Column:
                       & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
+#: Ways to name a vector by 64 bits, tried in this order until no two vectors share a name.
+IDENTIFIERS = tuple(lambda *cols, salt=salt: F.xxhash64(F.lit(salt), *cols) for salt in range(8))
+
+
+def identified(nodes: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
+    """``nodes`` (distinct ``label, vector``) with a verified ``node`` number."""
+    for identifier in identifiers:
+        named = nodes.withColumn("node", identifier("label", "vector"))
+        if named.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            return named
+    raise ValueError("two vectors share every identifier")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
                     projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED,
                     block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id, embedding, label``; other
     columns are ignored): ``vec_id, n_links, component_id, kept``.
 
-    Runs jobs when called.
+    An empty table gives no rows.  Runs jobs when called.
     """
     prepare(vectors.sparkSession)
     rows = stored(vectors.select(
@@ -152,12 +165,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     # one node for equal vectors of a label; -0.0 is 0.0
     key = [F.col("label"), F.transform("vector", lambda e: e + F.lit(0.0)).alias("vector")]
     members = good.select("vec_id", *key)
-    nodes = stored(members.distinct().groupBy("label", "vector")
-                   .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).
-                   withColumn("node", F.xxhash64("label", "vector")), "vector-nodes")
-    clash = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    if not clash.isEmpty():
-        raise ValueError("two vectors share a 64-bit hash; give the labels another type or offset")
+    nodes = identified(stored(members.distinct().groupBy("label", "vector").agg(
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")), "vector-nodes"))
     hashed = nodes.select("node", "vector").mapInArrow(
         _hashed(tables, projections, width, seed), "node bigint, keys array<bigint>")
     hashed = stored(nodes.select("node", "label", F.size("vector").alias("dim"), "n", "vector")
@@ -184,8 +193,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
               .select("label", "vector", "least", "n", "node",
                       (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                       F.coalesce("component", "node").alias("component")))
-    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = stored(placed.join(smallest, "component")
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    placed = stored(split_hot(placed, smallest, ["component"], "members", nodes.count())
                     .select("label", "vector", "n", "n_links", "component_id"), "vector-components")
     linked = split_hot(members, placed, ["label", "vector"], "n", members.count()).select(
         "vec_id", "n_links", "component_id")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_of, forest, in_units, starts, units
-from .common import prepare, split_hot, stored
+from .common import id_text, prepare, split_hot, stored
 from .components import connected_components
 
 #: Words of a shingle, and the most bits in which linked fingerprints differ.
@@ -245,9 +245,9 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     found = connected_components(linked_fingerprints(distinct, max_bits))
     placed = (distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "least", "n", F.coalesce("component", "fp").alias("component")))
-    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return stored(placed.join(smallest, "component").select("fp", "n", "component", "component_id"),
-                  "fingerprint-components")
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return stored(split_hot(placed, smallest, ["component"], "members", distinct.count())
+                  .select("fp", "n", "component", "component_id"), "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -269,25 +269,29 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group, all columns kept, whatever their
-    names: the one of the smallest id (null ids last), and of those that
-    share it, of the smallest hash of the text.  Runs jobs when called."""
+    names and types: the one of the smallest id (null ids last), of those that
+    share it, of the smallest hash of the text, and of those, of the smallest
+    hash of the whole row.  An empty table stays empty, and a very long text is
+    one row like any other.  Runs jobs when called.
+
+    Fingerprints are made once and stored without the texts; the chosen
+    rows are found again by id and hash of the text."""
     prepare(docs.sparkSession)
     text = docs["text"].cast("string")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), fingerprints(words)(text).alias("fp"),
-                       F.xxhash64(text).alias("text_hash"))
-    fps = stored(rows.select("row.doc_id", "fp", "text_hash"), "simhash")
+    fps = stored(docs.select("doc_id", fingerprints(words)(text).alias("fp"), F.xxhash64(text).alias("text_hash")), "simhash")
     comps = fingerprint_components(fps, max_bits)
     # the first row of each fingerprint, with the number of rows equal to it, and the first of those of a group
     firsts = (fps.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("ties"))
-              .groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp",
-                                                "ties")).alias("best")))
-    chosen = stored(firsts.join(comps, "fp").groupBy("component").agg(
-        F.min("best").alias("best")).select("best.*"), "kept-of-groups")
-    sizes = comps.select("fp", "n").join(chosen.withColumnsRenamed({"doc_id": "best_id", "text_hash": "best_hash"}), "fp")
-    kept = split_hot(rows, sizes, ["fp"], "n", fps.count()).where(
-        F.col("row.doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")))
+              .groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "ties"))
+                                 .alias("best")))
+    chosen = stored(firsts.join(comps, "fp").groupBy("component").agg(F.min("best").alias("best"))
+                    .select(id_text("best.doc_id").alias("own_id"), "best.text_hash", "best.ties"), "kept-of-groups")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_text("doc_id").alias("own_id"),
+                       F.xxhash64(text).alias("text_hash"))
+    kept = split_hot(rows, chosen, ["own_id", "text_hash"], "ties", fps.count())
     if chosen.where("ties > 1").isEmpty():
         return kept.select("row.*")
     # rows of one id and one text: any of them, by the hash of the whole row
-    tied = kept.where("ties > 1").groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    tied = kept.where("ties > 1").groupBy("own_id", "text_hash").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return kept.where("ties = 1").select("row.*").unionByName(tied.select("row.*"))

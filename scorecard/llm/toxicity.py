@@ -156,15 +156,20 @@ def telling_runs(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     return runs[_telling(a, b, len(toxic), len(ordinary))]
 
 
-def without_copies(texts: list[list[str]], words: int = 3) -> list[list[str]]:
-    """One of the texts whose smallest shingle hash is the same: near copies
-    would count the words of one text many times."""
-    found: dict[int, list[str]] = {}
+def without_copies(texts: list[list[str]], words: int = 3, least: float = 0.8) -> list[list[str]]:
+    """``texts`` without near copies of earlier ones, which would count the words
+    of one text many times.  Texts that share their smallest shingle hash are
+    compared, and left out only where ``least`` of the shingles of both are shared."""
+    found: dict[int, list[set[int]]] = {}
+    kept = []
     for t in texts:
-        key = min(zlib.crc32(" ".join(t[i:i + words]).encode("utf-8", "surrogatepass"))
-                  for i in range(max(len(t) - words + 1, 1)))
-        found.setdefault(key, t)
-    return list(found.values())
+        own = {zlib.crc32(" ".join(t[i:i + words]).encode("utf-8", "surrogatepass"))
+               for i in range(max(len(t) - words + 1, 1))}
+        others = found.setdefault(min(own), [])
+        if not any(len(own & x) >= least * len(own | x) for x in others):
+            others.append(own)
+            kept.append(t)
+    return kept
 
 
 def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
@@ -193,7 +198,9 @@ def telling_stretches(text: bytes, runs: np.ndarray) -> list[bytes]:
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
     """Content of a zstandard dictionary trained on ``samples``; too few of
-    them are joined as they are, the most frequent last (and so nearest)."""
+    them are joined as they are, the most frequent last (and so nearest).  If
+    zstandard finds nothing to train on in them, the dictionary is what fits of
+    the joined samples: the most frequent ones."""
     import zstandard as zstd
 
     joined = b"".join(x for x, _ in reversed(Counter(samples).most_common()))

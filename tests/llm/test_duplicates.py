@@ -283,3 +283,26 @@ def test_one_row_of_each_near_duplicate_group(spark):
     assert sorted(str(r.doc_id) for r in got) == ["11", "7", "9", "None"]
     assert all(tuple(r) in rows for r in got)
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_vectors_with_one_hash_get_another_name(spark):
+    from scorecard.llm import embedding_dedup as E
+
+    nodes = spark.createDataFrame([(i % 3, [float(i), 1.0]) for i in range(50)], "label int, vector array<double>")
+    clash = [lambda *cols: F.lit(7).cast("bigint"), lambda *cols: F.xxhash64(*cols)]
+    assert E.identified(nodes, clash).select("node").distinct().count() == 50
+    with pytest.raises(ValueError):
+        E.identified(nodes, clash[:1])
+
+
+def test_ties_with_map_columns_and_hot_components(spark):
+    docs = spark.createDataFrame([(i // 2, "the same few words here", {"k": i}) for i in range(60)]
+                                 + [(None, "x", None), (None, "x", {"a": 1}), (None, None, None)],
+                                 "doc_id bigint, text string, tags map<string, int>").repartition(5)
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    again = simhash.drop_near_duplicates(docs.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert (0, "the same few words here") in {(r.doc_id, r.text) for r in rows}
+    assert sum(r.doc_id is not None for r in rows) == 1
