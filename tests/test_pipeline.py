@@ -21,15 +21,17 @@ from scorecard.sources.sinks import normalize_and_export
 
 
 def test_fixture_d_counts(spark):
-    ev = Q.d_evaluation(spark, SF01)
-    q = ev.question_scores
-    assert q.count() == 18000 and q.where("score IS NULL").count() == 174
-    d = ev.dimension_scores
-    assert d.count() == 9000 and d.where("score IS NULL").count() == 87
-    c = ev.concept_scores
-    assert c.count() == 3000 and c.where("score IS NULL").count() == 29
-    t = ev.text_scores
-    assert t.count() == 1000 and t.where("score IS NULL").count() == 8
+    # every rater scores every text; of 1,000 ids, "strict" fails for 20 (7 mod 50) and
+    # all three raters abstain for 25 others (3 mod 40) in the failing evaluation
+    for ev, failed, blank in ((Q.d_evaluation(spark, SF01), 0, 0), (Q.d_failing(spark, SF01), 20, 25)):
+        q = ev.question_scores
+        assert q.count() == 18000 and q.where("score IS NULL").count() == 6 * (failed + 3 * blank)
+        d = ev.dimension_scores
+        assert d.count() == 9000 and d.where("score IS NULL").count() == 3 * (failed + 3 * blank)
+        c = ev.concept_scores
+        assert c.count() == 3000 and c.where("score IS NULL").count() == failed + 3 * blank
+        t = ev.text_scores
+        assert t.count() == 1000 and t.where("score IS NULL").count() == blank
     bad = q.where("score < 0 OR score > 1").count()
     assert bad == 0
 
