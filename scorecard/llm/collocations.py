@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,11 +133,13 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbered, n
     yield from emptied()
 
 
-def _rows(lang: str, phrase, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``phrase`` of each key with its count, in small batches."""
-    for i in range(0, len(keys), ROWS_OUT):
-        part = [phrase(k) for k in keys[i:i + ROWS_OUT].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+def _rows(lang: str, parts: list[tuple[pa.Array, np.ndarray]], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases with their counts, in small batches; a phrase joins what ``parts`` (texts
+    and places in them) have for it."""
+    for i in range(0, len(n), ROWS_OUT):
+        texts = [words.take(pa.array(at[i:i + ROWS_OUT])) for words, at in parts]
+        phrases = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())) if len(texts) > 1 else texts[0]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), phrases.cast(pa.string()),
                                           pa.array(n[i:i + ROWS_OUT])], schema=COUNTS)
 
 
@@ -147,13 +150,13 @@ def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         n = np.bincount(own, minlength=size)
         n[0] = 0
         found = np.flatnonzero(n)
-        words = numbers.listed()
-        yield from _rows(lang, lambda i: words[i] if i else b"", np.concatenate([[0], found]),
-                         np.concatenate([[n.sum()], n[found]]))
+        words = pa.array(numbers.listed(), pa.binary())
+        yield from _rows(lang, [(words, found)], n[found])
+        yield from _rows(lang, [(pa.array([b""], pa.binary()), np.zeros(1, np.int64))], n.sum(keepdims=True))
         a, b = own[:len(ids) - 1], ids[1:starts + 1]
         inside = (a > 0) & (b > 0)
         pairs, n = np.unique(a[inside].astype(np.int64) * size + b[inside], return_counts=True)
-        yield from _rows(lang, lambda p: words[p // size] + b" " + words[p % size], pairs, n)
+        yield from _rows(lang, [(words, pairs // size), (words, pairs % size)], n)
 
 
 # --- double-array tries -----------------------------------------------------
@@ -169,7 +172,7 @@ class DoubleArrayTrie:
         at = {lang: i for i, lang in enumerate(self.names)}
         self.lang_of = np.array([at[lang] for lang, _ in phrases], np.int32)
         texts = [phrase.encode() for _, phrase in phrases]
-        self.text, self.ends = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        self.text, self.ends = b"".join(texts), np.cumsum([0, *map(len, texts)], dtype=np.int32)
         keys = [(lang, *text.split(b" ")) for (lang, _), text in zip(phrases, texts)]
         seen: dict = defaultdict(int)
         for key in keys:
@@ -184,8 +187,9 @@ class DoubleArrayTrie:
     def __len__(self) -> int:
         return len(self.lang_of)
 
-    def phrase(self, i: int) -> bytes:
-        return self.text[self.ends[i]:self.ends[i + 1]]
+    def phrases(self) -> pa.Array:
+        """The phrases by number."""
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(self.ends), pa.py_buffer(self.text)])
 
     def _children(self, keys: list[tuple]) -> list[dict[int, int]]:
         """Children by code of the plain trie's nodes; the root is node 0."""
@@ -309,19 +313,20 @@ def stepped(batches: Iterator[pa.RecordBatch], tries: list[DoubleArrayTrie], par
     """Counts of the tries' phrases, which have one length, and of each with every
     word that follows it."""
     walk, counts = Walk(tries, parts), [np.zeros(len(t), np.int64) for t in tries]
+    phrases = [t.phrases() for t in tries]
     for lang, numbers, ids, starts in blocks(batches):
-        size, words = len(numbers.ids), numbers.listed()
+        size, words = len(numbers.ids), pa.array(numbers.listed(), pa.binary())
         for i, level, at, found in walk.accepted(lang, numbers, ids, starts):
             counts[i] += np.bincount(found, minlength=len(counts[i]))
             inside = at + level < len(ids)
             at, found = at[inside], found[inside].astype(np.int64)
             after = ids[at + level]
             longer, n = np.unique((found * size + after)[after > 0], return_counts=True)
-            yield from _rows(lang, lambda x, t=tries[i]: t.phrase(x // size) + b" " + words[x % size], longer, n)
-    for trie, n in zip(tries, counts):
+            yield from _rows(lang, [(phrases[i], longer // size), (words, longer % size)], n)
+    for trie, texts, n in zip(tries, phrases, counts):
         for j, lang in enumerate(trie.names):
             own = np.flatnonzero((trie.lang_of == j) & (n > 0))
-            yield from _rows(lang, trie.phrase, own, n[own])
+            yield from _rows(lang, [(texts, own)], n[own])
 
 
 # --- the corpus -------------------------------------------------------------

@@ -114,7 +114,7 @@ def test_double_array():
     while stack:
         s, lang, words = stack.pop()
         if trie.accept[s] >= 0:
-            assert (trie.names[trie.lang_of[trie.accept[s]]], trie.phrase(trie.accept[s])) == (
+            assert (trie.names[trie.lang_of[trie.accept[s]]], trie.phrases()[trie.accept[s]].as_py()) == (
                 lang, " ".join(words).encode())
             found.add((lang, " ".join(words)))
         codes = np.array(sorted(letters))
