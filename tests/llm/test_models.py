@@ -84,6 +84,14 @@ def test_score_is_the_sum_over_all_cuts(spark):
         assert abs(r.score - want / math.log(10)) < 1e-9 and math.isfinite(r.mixture_score)
 
 
+def test_op5_score_learns(spark):
+    """On held-out rows the score is near the base score, which knows the training words too."""
+    rows = [r for r in queries.op5_lattice_lm(spark, SF01).collect() if r.held_out]
+    base, score, spelt = (sum(r[c] for r in rows) for c in ("base_score", "score", "lattice_score"))
+    assert rows and all(math.isfinite(r.score) for r in rows)
+    assert score > 1.25 * base and spelt < 1.5 * base
+
+
 def test_poisson_draws():
     con = duckdb.connect()
     con.sql("create table documents as select i as doc_id, 'abcd' as text, if(i % 3 = 0, 'x', 'y') as source "
