@@ -160,18 +160,24 @@ def without_copies(texts: list[list[str]], words: int = 3, least: float = 0.8) -
     """``texts`` without near copies of earlier ones, which would count the words
     of one text many times.  Texts that share their smallest shingle hash are
     compared, and left out only where ``least`` of the shingles of both are shared."""
-    found: dict[int, list[set[int]]] = {}
+    found: dict[int, list[np.ndarray]] = {}  # sorted hashes: a sample's would not fit as sets
     kept = []
     for t in texts:
-        own = {zlib.crc32(" ".join(t[i:i + words]).encode("utf-8", "surrogatepass"))
-               for i in range(max(len(t) - words + 1, 1))}
-        others = found.setdefault(min(own), [])
-        if not any(len(own & x) >= least * len(own | x) for x in others):
+        own = np.unique(np.array([zlib.crc32(" ".join(t[i:i + words]).encode("utf-8", "surrogatepass"))
+                                  for i in range(max(len(t) - words + 1, 1))], np.uint32))
+        others = found.setdefault(int(own[0]), [])
+        if not any(_alike(own, x, least) for x in others):
             others.append(own)
             kept.append(t)
     return kept
 
 
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether ``least`` of the numbers in either are in both; each has a number once."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
 def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
     """Words that toxic documents hold significantly more often."""
     a = Counter(w for t in toxic for w in set(t))
@@ -203,13 +209,22 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
     the joined samples: the most frequent ones."""
     import zstandard as zstd
 
-    joined = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
-    if len(joined) <= size:
-        return joined
+    def joined() -> bytes:
+        return b"".join(x for x, _ in reversed(Counter(samples).most_common()))
+
+    different, total = set(), 0
+    for x in samples:
+        if x not in different:
+            different.add(x)
+            total += len(x)
+            if total > size:
+                break
+    else:
+        return joined()
     try:
         trained = zstd.train_dictionary(size, samples, k=64, d=6).as_bytes()
     except zstd.ZstdError:
-        return joined[-size:]
+        return joined()[-size:]
     return trained
 
 

@@ -151,6 +151,28 @@ def test_toxicity_trains_on_whole_ordinary_texts(monkeypatch):
     assert {w for s in seen[0] for w in s.decode().split()} == {w for t in ordinary for w in t.split()}
 
 
+def test_copies_of_a_sample_are_found_in_little_memory():
+    """20,000 rows of 400 words are compared in one task."""
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(1000)]
+    rng = np.random.default_rng(5)
+    texts = [[words[i] for i in rng.integers(0, 1000, 400)] for _ in range(300)]
+    near = [*texts[0][:-4], "other", "ending", "of", "it"]
+    far = [*texts[1][:200], *texts[2][:200]]
+    tracemalloc.start()
+    kept = toxicity.without_copies([*texts, near, far, texts[3], [], []])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == [*texts, far, []] and held < 300 * 10_000
+
+
+def test_samples_of_a_small_dictionary_are_joined():
+    few = [b" a ", b" b ", b" b "]
+    assert toxicity._trained(6, few) == b" a  b " and toxicity._trained(0, []) == b""
+    assert 0 < len(toxicity._trained(256, [bytes([i % 250 + 1]) * 40 for i in range(2000)])) <= 256
+
+
 def test_pipeline_rows(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
