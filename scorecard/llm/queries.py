@@ -48,9 +48,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``score`` is the model that learns; the lattice by the vocabulary's own scores is ``lattice_score``."""
-    scored = lattice_lm.score_documents(documents(spark, sf_dir), PIECES)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
-                         F.col("mixture_score").alias("score"), F.col("score").alias("lattice_score"))
+    return (lattice_lm.score_documents(documents(spark, sf_dir), PIECES)
+            .withColumnRenamed("score", "lattice_score").withColumn("score", F.col("mixture_score")))
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
