@@ -188,5 +188,41 @@ def test_word_splits_of_the_tokenizer(words):
         assert np.frombuffer(encode.encode([t])[0], np.int32).tolist() == words.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_splits_with_little_memory(words, monkeypatch):
+    for name, value in (("REMEMBERED", 8), ("PART_BYTES", 10), ("JOINED", 3)):
+        monkeypatch.setattr(token_orc, name, value)
+    rng = random.Random(6)
+    encode = token_orc.WordEncoder(words)
+    signs = ["ab", "don't", "LL'", "'S", "''", " ", "\n", "\0", "é", "É,", "H\u0331", "T\u0308.", "=\u0338", "×.", "(x", "-", "_",
+             "|>", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "İ.", "ŉ!", "½", "日", "🙂", "abcdefghijklmno", "abcdefghijklmnop"]
+    for _ in range(60):
+        rows = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 9))]
+        got = [np.frombuffer(ids, np.int32).tolist() for ids in encode.encode(rows)]
+        assert got == [words.encode(t, add_special_tokens=False).ids for t in rows]
+    dense = "".join(f"{a}{b}." for a in "abcdefghijklm" for b in "nopqrstuvwxyz")  # more units than slots, no space
+    assert np.frombuffer(encode.encode([dense])[0], np.int32).tolist() == words.encode(dense, add_special_tokens=False).ids
+
+
+def test_units_met_before_skip_the_library(words):
+    class Counting:
+        def __init__(self):
+            self.units = 0
+
+        def __getattr__(self, name):
+            return getattr(words, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.units += sum(len(t.split(" ")) for t in texts)
+            return words.encode_batch_fast(texts, **options)
+
+    encode = token_orc.WordEncoder(counting := Counting())
+    encode.model = counting
+    encode.encode(["house cat"])
+    got = encode.encode(["House, CAT! (cat) house-cat.", "house?"])
+    assert counting.units == 2 + len({",", "!", "(", ")", "-", ".", "?"})
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in got] == [
+        words.encode(t, add_special_tokens=False).ids for t in ("House, CAT! (cat) house-cat.", "house?")]
+
+
 def test_documents_have_long_texts():
     assert max(len(r[1] or "") for r in read(SF01, "documents")) > 10000
