@@ -157,7 +157,7 @@ def _weigh(model: bytes, logp: np.ndarray):
             words = table.column("word").to_pylist()
             # the end is one more symbol beside the pieces
             end, ends = -math.log(vocab.size + 1), np.array([not w for w in words], bool)
-            own, fitted = (np.where(ends, end, log_probabilities(vocab, words, p)) for p in (vocab.start, logp))
+            own, fitted = (np.where(ends, end, p) for p in log_probabilities(vocab, words, vocab.start, logp))
             yield pa.RecordBatch.from_arrays(
                 [*[table.column(c).combine_chunks() for c in ("word", "c", "blocks")], pa.array(own), pa.array(fitted)],
                 ["word", "c", "blocks", "spelt", "fitted"])
@@ -200,14 +200,15 @@ def _score(total: int, distinct: int, unseen: float):
                              c > 0)
                     words, counts, spelt, fitted = [], [], [], []
                 place, base, score, mixture, known = ready
-                rows = []
+                end = place[b""]
+                found, ends = [], [0]
                 for text in part.column("text").cast(pa.binary()).to_pylist():
-                    found = [place[w] for w in words_of(text)]
-                    found.append(place[b""])
-                    at = np.array(found, np.int64)
-                    rows.append((len(at), int(known[at].sum()), float(base[at].sum()), float(score[at].sum()),
-                                 float(mixture[at].sum())))
-                n, k, x, y, z = zip(*rows)
+                    found += map(place.__getitem__, words_of(text))
+                    found.append(end)
+                    ends.append(len(found))
+                at, n = np.array(found, np.int64), np.diff(ends)
+                k, x, y, z = ([values[i:j].sum() for i, j in zip(ends, ends[1:])]
+                              for values in (column[at] for column in (known, base, score, mixture)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([not t for t in part.column("train").to_pylist()]),
                      pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(x), pa.array(y), pa.array(z)], fields)

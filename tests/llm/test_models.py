@@ -40,6 +40,32 @@ def test_lattice_sums_all_cuts():
     assert (uses >= 0).all() and uses.sum() >= len(words)
 
 
+def test_lattice_of_several_models_is_built_once(monkeypatch):
+    vocab = lattice.vocabulary(open(queries.PIECES, "rb").read())
+    words = ["the", "a", "thation", "grün", "🙂x", "日本語", "the", "don't"]
+    other = np.where(vocab.usable, -math.log(vocab.usable.sum()), -np.inf)
+    built, init = [], lattice.Lattice.__init__
+    monkeypatch.setattr(lattice.Lattice, "__init__", lambda self, v, w: (built.extend(w), init(self, v, w))[1])
+    first, second = lattice.log_probabilities(vocab, words, vocab.start, other)
+    assert sorted(built) == sorted("▁" + w for w in words)
+    for got, logp in ((first, vocab.start), (second, other)):
+        assert np.allclose(np.exp(got), [by_hand(vocab, w, logp) for w in words], rtol=1e-9)
+
+
+def test_lattice_of_very_long_words(monkeypatch):
+    vocab = lattice.vocabulary(open(queries.PIECES, "rb").read())
+    words = ["日本語" * 60, "the", "𐀀" * 180, "x" * 180, "ab" * 90, "grün"]
+    want = lattice.log_probabilities(vocab, words, vocab.start)
+    counts = np.array([1.0, 2, 3, 1, 1, 1])
+    uses = lattice.expected_counts(vocab, words, counts, vocab.start)
+    # these underflow; in log space all give the same
+    assert np.isfinite(want).all() and want.min() < -1000 and np.isfinite(uses).all()
+    assert abs(uses[vocab.byte_ids].sum() - 3 * 180 * 4) < 1e-6 * 3 * 180 * 4
+    monkeypatch.setattr(lattice, "LEAST", 2.0)
+    assert np.allclose(lattice.log_probabilities(vocab, words, vocab.start), want, rtol=1e-12)
+    assert np.allclose(lattice.expected_counts(vocab, words, counts, vocab.start), uses, rtol=1e-9)
+
+
 def test_op5_base_and_counts(spark):
     docs = {i: t.encode().lower().split() for i, t in texts(SF01).items()}
     train = Counter()
