@@ -4,8 +4,8 @@ A word (``▁`` and its characters) can be cut into vocabulary pieces in many
 ways; its probability is the sum over all of them of the product of the pieces'
 probabilities, by forward recursion; words of less than ``LEAST`` are done again
 in log space, where nothing underflows.  Characters that are no piece are spelt
-by the vocabulary's byte pieces.  Words of one length form a
-matrix, and pieces are found by 64-bit polynomial hashes of substrings.
+by the vocabulary's byte pieces.  Words of one length form a matrix, and pieces
+are found by 64-bit polynomial hashes of substrings.
 """
 
 from __future__ import annotations

@@ -11,9 +11,9 @@ spaces and line feeds, and between a letter and an ASCII mark.  The split patter
 parts there too and looks at nothing beyond, the normaliser joins nothing across,
 and no special token holds such a place (marks before a letter exclude ``'``, which
 begins contractions, and ``|`` is never cut off).  Letters here are those of ASCII,
-and U+00C0 to U+017F before a mark.  ASCII capitals are lowered before, except
-before other letters (which may be combining marks) and where ``<|``, with which
-special tokens begin, occurs.  So the ids are those of the whole text.
+and U+00C0 to U+017F before a mark.  ASCII capitals are lowered first, except
+before a character outside ASCII (it may be a combining mark) and where ``<|``, with
+which special tokens begin, occurs.  So the ids are those of the whole text.
 
 Units lie in numpy arrays: their bytes, up to 15 with their number, are the keys of
 a table of ids, and only units not met before become Python strings.
